@@ -35,3 +35,16 @@ def sql_ratio(num: str, den: str, scale: int = 100, digits: int = 1) -> str:
 
 def sql_floor_div(num: str, den: str) -> str:
     return f"CAST(floor(({num})::DECIMAL(38,0)/NULLIF({den},0)) AS BIGINT)"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def sql_first_match(column: str, rules, flag: str = "", default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN regexp_matches({column}, {sql_text(flag + p)}) THEN {sql_text(v)}" for p, v in rules)
+    return f"CASE {whens} ELSE {default} END"
+
+
+def sql_pick(index: str, values) -> str:
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {sql_text(v)}" for i, v in enumerate(values)) + " END"

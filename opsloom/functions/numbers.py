@@ -8,8 +8,8 @@ WIDE = "decimal(38,0)"
 
 
 def cents(amount: Column) -> Column:
-    """A decimal amount held as double, as signed integer cents."""
-    return F.round(amount * 100).cast("long")
+    """A decimal amount held as double, as signed integer cents (``rint`` stays in generated code)."""
+    return F.rint(amount * 100).cast("long")
 
 
 def quotient(a: Column, b: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.functions.numbers import cents
+from opsloom.schemas import TABLES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def text_of(*parts) -> Column:
@@ -153,3 +154,46 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
         text_of("S", F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),
         text_of("N", F.col("s_nationkey").cast("string")).alias("parent_id"))
     return region.unionByName(nation).unionByName(supplier)
+
+
+# bank wordings given to orders in turn; {n} is the customer number
+WORDINGS = [
+    "STARBUCKS STORE 0{n} COLUMBUS OH", "AMZN MKTP US*2K4L91", "AMAZON PRIME*{n} SEATTLE WA",
+    "PURCHASE AUTHORIZED ON 01/05 SQ *BLUE BOTTLE COFFEE 123456 SAN FRANCISCO CA", "TST* BLUE DOOR CAFE",
+    "KROGER #{n} COLUMBUS OH", "DEBIT CARD PURCHASE XXXX1234 JOE'S HARDWARE 555-123-4567", "POS DEBIT LOCAL PIZZA SHOP",
+    "ACME CORP PAYROLL DIRECT DEP", "DUKE ENERGY PAYMENT", "TRANSFER TO SAVINGS", "RENT PAYMENT OAK APARTMENTS",
+    "BRIGHTSPEED 833-692-7773 NC BRIGHTSPEED XXX-XXX-7773 NC", "#{n}", "ACH CREDIT REF A1B2C3D4E{n} MIDTOWN BAKERY TX",
+    "Corner shop Corner shop", "RECURRING PAYMENT AUTHORIZED ON 02/03 GYM {n} CO ID:55", "",
+]
+LABELS = ["Kids:Allowance", "Food & Dining:Groceries", "Income:Paycheck", "Savings", "Auto:Gas : Premium", "Uncategorized", "", "Hobby"]
+
+
+def pick(index: Column, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def bank_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as raw bank lines: wording by order number, sign by status, label of another ledger app."""
+    o = table(spark, folder, "orders")
+    n = F.col("o_custkey").cast("string")
+    raw = pick(F.col("o_orderkey") % len(WORDINGS), WORDINGS)
+    return o.select(
+        text_of("O", F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderkey").alias("line_no"),
+        text_of("u", (F.col("o_custkey") % 10).cast("string")).alias("user_id"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.replace(raw, F.lit("{n}"), n).alias("description"),
+        (cents(F.col("o_totalprice")) * F.when(F.col("o_orderstatus") == "O", 1).otherwise(-1)).alias("amount_cents"),
+        pick(F.col("o_custkey") % len(LABELS), LABELS).alias("source_label"),
+        F.when(F.col("o_custkey") % 5 == 0, "credit_card").otherwise("checking").alias("account_type"))
+
+
+def user_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Two rules for every second user number the customers map to."""
+    users = table(spark, folder, "customer").select((F.col("c_custkey") % 10).alias("u")).distinct().filter("u % 2 = 0")
+    both = users.select(text_of("u", F.col("u").cast("string")).alias("user_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    return both.select(
+        "user_id", text_of("r", F.col("k").cast("string")).alias("rule_id"),
+        F.when(F.col("k") == 0, "merchant_exact").otherwise("contains").alias("match_type"),
+        F.when(F.col("k") == 0, "Starbucks").otherwise("columbus").alias("pattern"),
+        F.when(F.col("k") == 0, "Dining & Coffee").otherwise("Travel").alias("category"),
+        (F.lit("2026-01-01").cast("timestamp") + F.make_interval(days=F.when(F.col("user_id") == "u4", 5).otherwise(1) * F.col("k"))).alias("created_at"))

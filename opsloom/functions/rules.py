@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsloom.functions.columns import let
+from opsloom.functions.patterns import occurs
+
 # --- fixed values: brand pattern -> display name, first match wins ------------------------------------------
 BRANDS: list[tuple[str, str]] = [
     (r"AMZN|AMAZON", "Amazon"), (r"AMAZON\s?PRIME|PRIME VIDEO", "Amazon Prime"),
@@ -153,7 +156,16 @@ ACCOUNT_TYPES: list[tuple[str, str]] = [
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], ignore_case: bool = False, default: Column | None = None) -> Column:
     """Value of the first rule whose pattern occurs in the text: one short-circuiting projection, no join."""
-    flag = "(?i)" if ignore_case else ""
-    start = F.when(text.rlike(flag + rules[0][0]), F.lit(rules[0][1]))
-    chain = reduce(lambda acc, r: acc.when(text.rlike(flag + r[0]), F.lit(r[1])), rules[1:], start)
-    return chain if default is None else chain.otherwise(default)
+    def chain(t: Column) -> Column:
+        start = F.when(occurs(t, rules[0][0], ignore_case), F.lit(rules[0][1]))
+        full = reduce(lambda acc, r: acc.when(occurs(t, r[0], ignore_case), F.lit(r[1])), rules[1:], start)
+        return full if default is None else full.otherwise(default)
+    return let(F.lower(text), chain) if ignore_case else chain(text)
+
+
+def kind_of(category: Column) -> Column:
+    """Kind of a built-in category; null for any other name."""
+    def named(kind):
+        return [n for n, k, _ in BUILTIN_CATEGORIES if k == kind]
+    return let(category, lambda c: F.when(c.isin(named("expense")), "expense").when(c.isin(named("income")), "income")
+               .when(c.isin(named("transfer")), "transfer"))

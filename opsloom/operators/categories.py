@@ -1,13 +1,11 @@
 """Category tree: paths, effective group, visibility, merge, duplicate repair, source labels."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.rules import (
-    BUILTIN_CATEGORIES, INCOME_HINT, SOURCE_GROUPS, TRANSFER_HINT, first_match,
+    BUILTIN_CATEGORIES, INCOME_HINT, SOURCE_GROUPS, TRANSFER_HINT, first_match, kind_of,
 )
 from opsloom.session import cut_lineage
 
@@ -180,10 +178,10 @@ def build_category_tree(labels: DataFrame) -> DataFrame:
         F.when(F.col("depth") > 1, F.concat_ws(":", F.slice("__parts", 1, F.col("depth") - 1))).alias("__up"),
         (F.col("depth") == F.size("__parts")).alias("leaf"))
     grouped = nodes.withColumn("group", F.when(F.col("leaf"), group_for(F.col("full"))).otherwise(group_for(F.col("name"))))
-    kind_of = reduce(lambda acc, c: acc.when(F.col("group") == c[0], c[1]), BUILTIN_CATEGORIES, F.when(F.lit(False), ""))
     essential = F.col("group").isin(*[n for n, _, e in BUILTIN_CATEGORIES if e])
-    kind = (F.when(F.col("full").rlike("(?i)" + TRANSFER_HINT) | (kind_of == "transfer"), "transfer")
-            .when(F.col("full").rlike("(?i)" + INCOME_HINT) | (kind_of == "income"), "income").otherwise("expense"))
+    implied = kind_of(F.col("group"))
+    kind = (F.when(F.col("full").rlike("(?i)" + TRANSFER_HINT) | (implied == "transfer"), "transfer")
+            .when(F.col("full").rlike("(?i)" + INCOME_HINT) | (implied == "income"), "income").otherwise("expense"))
     typed = grouped.withColumn("kind", kind).withColumn("essential", F.coalesce(essential, F.lit(False)))
     ident = F.lower(F.col("full"))
     return (

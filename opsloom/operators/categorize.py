@@ -10,8 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.functions.columns import let
 from opsloom.functions.merchant import tidy_payee
-from opsloom.functions.rules import BUILTIN_CATEGORIES, BUILTIN_RULES, INCOME_HINT, OWN_TRANSFER, TRANSFER_HINT
+from opsloom.functions.patterns import occurs
+from opsloom.functions.rules import BUILTIN_RULES, INCOME_HINT, OWN_TRANSFER, TRANSFER_HINT, kind_of
 from opsloom.operators.categories import direction, group_for
 
 BLANK_LABELS = ("", "uncategorized", "uncategorised", "none")
@@ -23,25 +25,28 @@ def assignment(category: Column, source: str, confidence: float) -> Column:
 
 def builtin_assignment(description: Column, merchant: Column, amount_cents: Column, account_type: Column) -> Column:
     """First pattern on either text whose sign fits, else a fallback by sign; one projection."""
-    d, m = F.upper(description), F.upper(merchant)
-
-    def hit(rule):
-        pattern, _, sign = rule
-        found = d.rlike(pattern) | m.rlike(pattern)
-        return found if sign == 0 else ((amount_cents > 0) if sign > 0 else (amount_cents <= 0)) & found
-
-    rule = lambda r: assignment(F.lit(r[1]), "rule", 0.8)
-    chain = reduce(lambda acc, r: acc.when(hit(r), rule(r)), BUILTIN_RULES[1:], F.when(hit(BUILTIN_RULES[0]), rule(BUILTIN_RULES[0])))
+    def chain(both: Column) -> Column:
+        def hit(rule):
+            pattern, _, sign = rule
+            found = occurs(both, pattern)
+            return found if sign == 0 else ((amount_cents > 0) if sign > 0 else (amount_cents <= 0)) & found
+        first, *rest = BUILTIN_RULES
+        return reduce(lambda acc, r: acc.when(hit(r), F.lit(r[1])), rest, F.when(hit(first), F.lit(first[1])))
+
+    # the two texts are tried as one, a line each: no pattern crosses a line break
+    named = let(F.concat(F.upper(description), F.lit("\n"), F.upper(merchant)), chain)
     owed = account_type.isin("credit_card", "loan")
-    return (chain.when((amount_cents > 0) & owed, assignment(F.lit("Credit Card Payment"), "rule", 0.5))
-            .when(amount_cents > 0, assignment(F.lit("Other Income"), "rule", 0.4))
-            .otherwise(assignment(F.lit("Uncategorized"), "none", 0.0)))
+    return let(named, lambda n: F.when(n.isNotNull(), assignment(n, "rule", 0.8))
+               .when((amount_cents > 0) & owed, assignment(F.lit("Credit Card Payment"), "rule", 0.5))
+               .when(amount_cents > 0, assignment(F.lit("Other Income"), "rule", 0.4))
+               .otherwise(assignment(F.lit("Uncategorized"), "none", 0.0)))
 
 
-def kind_of(category: Column) -> Column:
-    """Kind of a built-in category; null for a category that is not built in."""
-    return reduce(lambda acc, c: acc.when(category == c[0], F.lit(c[1])), BUILTIN_CATEGORIES[1:],
-                  F.when(category == BUILTIN_CATEGORIES[0][0], F.lit(BUILTIN_CATEGORIES[0][1])))
+def label_kind(label: Column) -> Column:
+    """Kind a source label stands for: transfer hint, income hint, its group's kind, else expense."""
+    return let(kind_of(group_for(label)), lambda group: (
+        F.when(label.rlike("(?i)" + TRANSFER_HINT) | (F.coalesce(group, F.lit("")) == "transfer"), "transfer")
+        .when(label.rlike("(?i)" + INCOME_HINT) | (F.coalesce(group, F.lit("")) == "income"), "income").otherwise("expense")))
 
 
 def apply_user_rules(txns: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,13 +114,6 @@ def categorize_imported(txns: DataFrame, rules: DataFrame | None = None) -> Data
     return _finish(out, picked).drop("user_category")
 
 
-def label_kind(label: Column) -> Column:
-    """Kind a source label stands for: transfer hint, income hint, its group's kind, else expense."""
-    group = kind_of(group_for(label))
-    return (F.when(label.rlike("(?i)" + TRANSFER_HINT) | (F.coalesce(group, F.lit("")) == "transfer"), "transfer")
-            .when(label.rlike("(?i)" + INCOME_HINT) | (F.coalesce(group, F.lit("")) == "income"), "income").otherwise("expense"))
-
-
 def learn_correction(txns: DataFrame, rules: DataFrame, corrections: DataFrame) -> dict[str, DataFrame]:
     """Apply corrections (user_id, id, category, kind): the row itself becomes the user's, other rows of the
     merchant follow unless the user set them, and the merchant's exact rule is written or replaced."""

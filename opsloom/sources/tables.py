@@ -197,3 +197,41 @@ def user_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("k") == 0, "Starbucks").otherwise("columbus").alias("pattern"),
         F.when(F.col("k") == 0, "Dining & Coffee").otherwise("Travel").alias("category"),
         (F.lit("2026-01-01").cast("timestamp") + F.make_interval(days=F.when(F.col("user_id") == "u4", 5).otherwise(1) * F.col("k"))).alias("created_at"))
+
+
+PLANS = ["Streaming", "Housing", "Groceries", "Gym", "Shopping", "Utilities"]
+
+
+def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
+    """A dated series of charges per customer: cadence, count, price pattern and category by customer number."""
+    c = table(spark, folder, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    series = c.select(k, F.explode(F.sequence(F.lit(0).cast("long"), 1 + k % 8)).alias("i"))
+    step = (F.when(k % 7 == 0, 7).when(k % 7 == 1, 14).when(k % 7 == 3, 91).when(k % 7 == 4, 365).when(k % 7 == 5, 9).otherwise(30))
+    start = F.date_add(F.lit("2020-01-15").cast("date"), (k % 40).cast("int"))
+    date = (F.when(k % 7 == 2, F.add_months(start, F.col("i").cast("int")))
+            .when(k % 7 == 6, F.add_months(start, F.floor(F.col("i") / 2).cast("int")))
+            .otherwise(F.date_add(start, (F.col("i") * step + F.when(k % 11 == 0, F.col("i") * F.col("i") * 3).otherwise(0)).cast("int"))))
+    base = 500 + k % 3000
+    cents = (F.when(k % 7 == 6, F.when(F.col("i") % 2 == 0, base).otherwise(base * 4))
+             .when(k % 5 == 0, base + F.col("i") * 100).when(k % 5 == 1, base + (F.col("i") % 3) * F.floor(base / 12)).otherwise(base))
+    return series.select(
+        text_of("C", k.cast("string"), "-", F.col("i").cast("string")).alias("id"), date.alias("date"),
+        text_of("m", k.cast("string")).alias("merchant"),
+        F.when(k % 13 == 0, cents).otherwise(-cents).cast("long").alias("amount_cents"),
+        F.when(k % 13 == 0, "income").otherwise("expense").alias("direction"),
+        pick(k % 6, PLANS).alias("category_id"), F.lit("acct-1").alias("account_id"))
+
+
+def plan_categories(spark: SparkSession) -> DataFrame:
+    return spark.sql("""SELECT * FROM VALUES ('Streaming', 'Streaming', 'Subscriptions', false), ('Housing', 'Housing', 'Housing', true),
+        ('Groceries', 'Groceries', 'Groceries', true), ('Gym', 'Gym', 'Personal Care', false), ('Shopping', 'Shopping', 'Shopping', false),
+        ('Utilities', 'Utilities', 'Utilities', true) AS t(id, name, group, essential)""")
+
+
+def debts(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as debts, one household per nation."""
+    k = F.col("s_suppkey")
+    return table(spark, folder, "supplier").select(
+        F.col("s_nationkey").alias("household"), k.alias("debt_id"), (F.abs(cents(F.col("s_acctbal"))) + 1000).alias("balance_cents"),
+        (500 + (k % 20) * 100).cast("int").alias("apr_bps"), (2500 + (k % 7) * 3000).alias("min_payment_cents"))

@@ -256,7 +256,8 @@ def recurring_candidates(ledger: DataFrame, cats: DataFrame, by: Sequence[str] =
     else:
         last = end.select("__end").scalar()
         whole_keys = keys
-    whole = classify_streams(rows, cats, whole_keys, last)
+    # one row per merchant, read by three branches: cut here so the ledger is scanned for it once
+    whole = cut_lineage(classify_streams(rows, cats, whole_keys, last))
     taken = whole.filter(F.col("ok") & (F.col("occurrences") == F.col("n")))
     rest = rows.join(taken.select(*keys), keys, "left_anti")
     split = amount_streams(rest, by).select(*rows.columns, "band", "plan")
@@ -275,7 +276,7 @@ def recurring_candidates(ledger: DataFrame, cats: DataFrame, by: Sequence[str] =
     parts = streams.filter(many & (good | ((F.col("ok") | F.col("reason").isNotNull()) & F.col("hint")))).withColumn("found", good).withColumn(
         "label", F.when(F.col("occurrences") == 1, F.col("merchant")).otherwise(label))
     parts = parts.withColumn("reason", F.when(~F.col("found"), F.coalesce("reason", F.lit(MIXED))))
-    single = streams.filter(~many).select(*keys).distinct()
+    single = price.filter(F.col("__streams") == 1).select(*keys)
     lone = whole.filter(~F.col("ok") & F.col("reason").isNotNull()).join(single, keys, "left_semi")
     columns = [*keys, "label", "found", "reason", "kind", "cadence", "confidence", "occurrences", "typical_cents", "last_cents",
                "last_date", "category", "active", "next_expected", "fixed_amount", "price_change_cents",

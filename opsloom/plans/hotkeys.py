@@ -28,15 +28,15 @@ def lag_over(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[st
     rank = F.struct(*order)
     base = df.withColumn("__v", packed)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = base.withColumn("__prev", F.lag("__v").over(inside))
+    local = base.withColumn("__lag_local", F.lag("__v").over(inside))
     last = base.groupBy(*keys, bucket).agg(F.max_by("__v", rank).alias("__last"))
     across = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.partitionBy(F.lit(0)).orderBy(bucket)
     carry = last.withColumn("__carry", F.lag("__last").over(across)).drop("__last")
     out = _attach(local, carry, keys, bucket, ["__carry"])
-    before = F.coalesce("__prev", "__carry")
+    before = F.coalesce("__lag_local", "__carry")
     for n in values:
         out = out.withColumn(n, before[n])
-    return out.drop("__v", "__prev", "__carry")
+    return out.drop("__v", "__lag_local", "__carry")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column, name: str) -> DataFrame:

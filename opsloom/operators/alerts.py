@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.patterns import occurs
-from opsloom.plans.hotkeys import lag_over, running_sum
+from opsloom.plans.hotkeys import running_sum, sessions_over
 
 GRACE_S = 900
 WINDOW_S = 3600
@@ -193,9 +193,7 @@ def _per_second(matched: DataFrame) -> DataFrame:
 
 def episode_seconds(matched: DataFrame, grace_s: int = GRACE_S) -> DataFrame:
     """(signature, sec, n, episode): a new episode starts after a gap of more than ``grace_s`` seconds."""
-    steps = lag_over(_per_second(matched), ["signature"], "__day", ["sec"], {"__before": F.col("sec")})
-    new = (F.col("__before").isNull() | (F.col("sec") - F.col("__before") > grace_s)).cast("int")
-    return running_sum(steps, ["signature"], "__day", ["sec"], new, "episode").drop("__before")
+    return sessions_over(_per_second(matched), ["signature"], "__day", "sec", grace_s, "episode").drop("__day")
 
 
 def episodes(matched: DataFrame, grace_s: int = GRACE_S) -> DataFrame:
@@ -204,19 +202,24 @@ def episodes(matched: DataFrame, grace_s: int = GRACE_S) -> DataFrame:
 
 
 def spaced_seconds(per: DataFrame, keys: Sequence[str], gap: Column) -> DataFrame:
-    """The seconds a greedy walk stops at: the first, then each first one at least ``gap`` after the last stop.
+    """The seconds a greedy walk stops at: the first, then each first one at least ``gap`` after the last stop,
+    with the events ``passed`` between two stops.
 
-    ``per`` has one row per key and distinct second. The walk is one JVM fold per key over those seconds and
-    keeps only its stops, so memory follows the time covered and not the number of events.
+    ``per`` has one row per key and distinct second with its count ``n``. The walk is one JVM fold per key over
+    those seconds and keeps only its stops, so memory follows the time covered and not the number of events.
     """
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("held"),
+                    F.array().cast("array<struct<sec:bigint,passed:bigint>>").alias("out"))
 
-    def step(acc: Column, sec: Column) -> Column:
-        due = acc["last"].isNull() | (sec - acc["last"] >= F.col("__gap"))
-        return F.when(due, F.struct(sec.alias("last"), F.concat(acc["out"], F.array(sec)).alias("out"))).otherwise(acc)
+    def step(acc: Column, x: Column) -> Column:
+        due = acc["last"].isNull() | (x["sec"] - acc["last"] >= F.col("__gap"))
+        stop = F.struct(x["sec"].alias("sec"), acc["held"].alias("passed"))
+        return F.when(due, F.struct(x["sec"].alias("last"), (x["n"] - 1).alias("held"), F.concat(acc["out"], F.array(stop)).alias("out"))).otherwise(
+            F.struct(acc["last"].alias("last"), (acc["held"] + x["n"]).alias("held"), acc["out"].alias("out")))
 
-    listed = per.withColumn("__gap", gap.cast("long")).groupBy(*keys, "__gap").agg(F.array_sort(F.collect_list("sec")).alias("__s"))
-    return listed.select(*keys, F.explode(F.aggregate("__s", zero, step, lambda a: a["out"])).alias("sec"))
+    listed = per.withColumn("__gap", gap.cast("long")).groupBy(*keys, "__gap").agg(
+        F.array_sort(F.collect_list(F.struct("sec", "n"))).alias("__s"))
+    return listed.select(*keys, F.inline(F.aggregate("__s", zero, step, lambda a: a["out"])))
 
 
 def suppress(matched: DataFrame, rules: Sequence[Rule], grace_s: int = GRACE_S) -> DataFrame:
@@ -229,16 +232,9 @@ def suppress(matched: DataFrame, rules: Sequence[Rule], grace_s: int = GRACE_S)
     sendable = matched.filter(F.col("rule_ord").isin(live))
     window = sendable.groupBy("signature").agg(F.min("rule_ord").alias("rule_ord")).withColumn(
         "__w", per_rule(rules, lambda r: F.lit(r.dedup_window_s)).cast("long")).drop("rule_ord")
-    per = episode_seconds(sendable, grace_s).join(window, "signature").drop("__day")
-    sent = spaced_seconds(per, ["signature", "episode"], F.col("__w")).withColumn("__sent", F.lit(True))
-    marked = per.join(sent, ["signature", "episode", "sec"], "left").withColumn("__day", F.floor(F.col("sec") / 86400))
-    keys = ["signature", "episode"]
-    # events before each second of the episode; between two sends all but the first of them were held back
-    upto = running_sum(marked, keys, "__day", ["sec"], F.col("n"), "__upto").filter("__sent").withColumn(
-        "__before", F.col("__upto") - F.col("n"))
-    back = lag_over(upto, keys, "__day", ["sec"], {"__prev": F.col("__before")})
-    return back.select(*keys, F.col("sec").alias("sent_at"),
-                       F.coalesce(F.col("__before") - F.col("__prev") - 1, F.lit(0)).alias("suppressed"))
+    per = episode_seconds(sendable, grace_s).join(window, "signature")
+    return spaced_seconds(per, ["signature", "episode"], F.col("__w")).select(
+        "signature", "episode", F.col("sec").alias("sent_at"), F.col("passed").alias("suppressed"))
 
 
 def dedup_state(matched: DataFrame, sent: DataFrame, grace_s: int = GRACE_S) -> DataFrame:
@@ -350,7 +346,7 @@ def notify_on_activation(stated: DataFrame, dedup_s: int) -> DataFrame:
     per = per.withColumn("__day", F.floor(F.col("sec") / 86400))
     per = running_sum(per, ["signature"], "__day", ["sec"], F.col("cured"), "__done").withColumn("span", F.col("__done") - F.col("cured"))
     busy = per.filter("n > 0").select("signature", "span", "sec", "n")
-    moves = spaced_seconds(busy, ["signature", "span"], F.lit(dedup_s)).withColumn("__m", F.lit(True))
+    moves = spaced_seconds(busy, ["signature", "span"], F.lit(dedup_s)).drop("passed").withColumn("__m", F.lit(True))
     first = busy.groupBy("signature", "span").agg(F.min("sec").alias("__first"))
     marked = busy.join(moves, ["signature", "span", "sec"], "left").join(first, ["signature", "span"])
     label = F.when(F.col("sec") == F.col("__first"), "NOTIFIED").when(F.col("__m"), "SILENT").otherwise("SUPPRESSED")

@@ -52,6 +52,25 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__x", "__run", "__off")
 
 
+def sessions_over(df: DataFrame, keys: Sequence[str], bucket: str, order: str, gap: int, name: str) -> DataFrame:
+    """Number the sessions of each key: a new one starts when ``order`` jumps by more than ``gap``.
+
+    One summary row per (key, bucket) holds the first and last value and how many sessions start inside.
+    """
+    inside = Window.partitionBy(*keys, bucket).orderBy(order)
+    jump = F.coalesce((F.col(order) - F.lag(order).over(inside) > gap).cast("int"), F.lit(0))
+    local = df.withColumn("__n", jump).withColumn("__run", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(*keys, bucket).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), F.sum("__n").alias("__starts"))
+    across = Window.partitionBy(*keys).orderBy(bucket)
+    before = F.lag("__last").over(across)
+    opens = (before.isNull() | (F.col("__first") - before > gap)).cast("int")
+    carry = ends.withColumn("__opens", opens).withColumn(
+        "__off", F.sum(F.col("__starts") + F.col("__opens")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__starts")).select(
+        *keys, bucket, "__off")
+    out = _attach(local, carry, keys, bucket, ["__off"])
+    return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__n", "__run", "__off")
+
+
 def recent_counts(df: DataFrame, keys: Sequence[str], second: str, span: int, name: str) -> DataFrame:
     """Add how many rows of the key fall in the ``span`` seconds before each row (same second included
     only through earlier seconds: the frame is ``[t - span, t)``).

@@ -235,3 +235,49 @@ def debts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(
         F.col("s_nationkey").alias("household"), k.alias("debt_id"), (F.abs(cents(F.col("s_acctbal"))) + 1000).alias("balance_cents"),
         (500 + (k % 20) * 100).cast("int").alias("apr_bps"), (2500 + (k % 7) * 3000).alias("min_payment_cents"))
+
+
+ASKED = [
+    "How much did I spend on dining in March?", "What are my subscriptions?", "Any unusual spending last month?",
+    "What's my savings rate this year?", "Compare April 2024 vs the month before", "Top merchants last 3 months",
+    "How much did I pay Brand#7 in 2000?", "How long to pay off my debt?", "How can I save money?", "Give me a summary",
+    "may I see what I got paid last year", "total for brand#12 during 1999", "what's the weather", "rent cost for 2001",
+]
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns, each led by one of the standing questions."""
+    c = table(spark, folder, "conversations").filter(F.col("role") == "user")
+    n = F.col("conv_id") * 1000 + F.col("turn")
+    return c.select(n.alias("question_id"), text_of(pick(F.pmod(n, F.lit(len(ASKED))), ASKED), " / ", F.col("text")).alias("question"))
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
+        "doc_id", text_of(F.col("source"), "/", F.col("lang"), "/", (F.col("doc_id") % 97).cast("string")).alias("path"), "text")
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "conversations")
+    n = F.col("conv_id").cast("string")
+    return c.select(
+        "conv_id", "turn", text_of("User Token", n, " <u", n, "@mail.example.com>").alias("author"),
+        text_of(F.col("role"), " <", F.col("role"), "@mail5.example.com>").alias("committer"), F.col("text").alias("message"))
+
+
+def filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as mail filters: a sparse property map with empties, "false" values and contradictions."""
+    k = F.col("p_partkey")
+    on = lambda cond, v: F.when(cond, v).otherwise("")
+    pairs = [
+        ("from", on(k % 7 != 0, F.col("p_brand"))), ("to", on(k % 5 == 0, "false")), ("subject", on(k % 3 == 0, F.col("p_name"))),
+        ("hasTheWord", on(k % 50 == 0, F.repeat(F.lit("word "), 320))), ("size", on(k % 11 == 0, "10")),
+        ("sizeOperator", on(k % 22 == 0, "s_sl")), ("sizeUnit", F.lit("s_smb")),
+        ("label", on(k % 4 != 0, F.when(k % 9 == 0, "Infra/Alerts").when(k % 9 == 1, "Infra").otherwise(F.col("p_type")))),
+        ("shouldTrash", on(k % 6 == 0, "true")), ("shouldNeverSpam", on(k % 12 == 0, "true")),
+        ("shouldStar", F.lit("false")), ("shouldAlwaysMarkAsImportant", on(k % 13 == 0, "true")),
+        ("shouldNeverMarkAsImportant", on(k % 26 == 0, "true")), ("someFutureAction", on(k % 17 == 0, "x")),
+    ]
+    return table(spark, folder, "part").select(
+        text_of("f", k.cast("string")).alias("id"), (k + 1).alias("pos"),
+        F.map_from_arrays(F.array(*[F.lit(n) for n, _ in pairs]), F.array(*[v for _, v in pairs])).alias("props"))

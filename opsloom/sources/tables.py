@@ -281,3 +281,82 @@ def filters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         text_of("f", k.cast("string")).alias("id"), (k + 1).alias("pos"),
         F.map_from_arrays(F.array(*[F.lit(n) for n, _ in pairs]), F.array(*[v for _, v in pairs])).alias("props"))
+
+
+# shelving styles given to parts in turn; {t} the name, {s} the series, {n} a volume number
+TITLE_FORMS = [
+    "{n} - {t} (Unabridged)", "{t} ({s}, Book {n})", "{s} #{n}: {t}", "{t}; {s} Series, Book {n}", "{s} {n} - {t}", "The {t}",
+    "Unknown Album (4/6/2009 11:31:23 AM)", "{s}: {t}", "{t}, The [B0{i}]", "{s} {n}: A LitRPG Adventure", "Track {n}", "{t} mp3 cd 2 - ",
+    "{s} {n}: {t}", "Ámbar_{t} É", "{t}: A {s} Novel",
+]
+
+
+def titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as shelved book titles with series, volume and a language name."""
+    k = F.col("p_partkey")
+    raw = pick(k % len(TITLE_FORMS), TITLE_FORMS)
+    for mark, value in (("{t}", F.initcap("p_name")), ("{s}", F.initcap("p_type")), ("{n}", (k % 20).cast("string")),
+                        ("{i}", F.lpad(k.cast("string"), 8, "0"))):
+        raw = F.replace(raw, F.lit(mark), value)
+    return table(spark, folder, "part").select(
+        k.alias("k"), raw.alias("raw"), F.initcap("p_type").alias("series"), (k % 20).cast("int").alias("n"), F.col("p_brand").alias("author"),
+        pick(k % 5, ["English", " german", "de", "x", "Klingon"]).alias("language"))
+
+
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey")
+    title = text_of(F.col("p_name"), " of ", F.lower("p_type"), F.when(k % 7 == 0, text_of(": ", F.col("p_name"), " again")).otherwise(""))
+    return table(spark, folder, "part").select(
+        k.alias("cat_id"), text_of("Lib/", F.col("p_brand"), "/", title, " vol ", k.cast("string")).alias("path"), title.alias("title"),
+        text_of("Writer ", (k % 40).cast("string"), " ", F.col("p_brand")).alias("author"),
+        F.when(k % 4 == 0, text_of("B0", F.lpad(k.cast("string"), 8, "0"))).otherwise("").alias("product_id"),
+        text_of("Reader ", (k % 3).cast("string")).alias("narrator"))
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part once more as a library item with a corrupted path and title."""
+    c = catalog(spark, folder)
+    k = F.col("cat_id")
+    path = (F.when(k % 5 == 1, F.upper("path")).when(k % 5 == 2, F.concat("path", F.lit("x"))).when(k % 5 == 3, text_of("inbox/", k.cast("string"))).otherwise(""))
+    title = F.when(k % 3 == 0, F.initcap("title")).when(k % 3 == 1, F.concat("title", F.lit(" (Unabridged)"))).otherwise(F.replace("title", F.lit(" of "), F.lit(" off ")))
+    return c.select(text_of("i", k.cast("string")).alias("id"), path.alias("path"), title.alias("title"),
+                    F.when(k % 6 != 0, F.col("author")).otherwise("").alias("author"), "product_id", F.when(k % 2 == 0, F.col("narrator")).alias("narrator"))
+
+
+FILE_FORMS = [
+    "{s} Book {v}.m4b", "Chapter {v}.mp3", "0{v} - One Title.mp3", "03-{v} x.mp3", "The Tale Part {v}.mp3", "The Book 0{v}.mp3",
+    "{s} {v} Name{v}.m4b", "misc{v}.mp3", "{s} - {v} Fugitive {v}.mp3",
+]
+
+
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as audio files: one folder per order, a naming style per folder, some in disc folders."""
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    style = F.col("l_orderkey") % len(FILE_FORMS)
+    name = F.replace(F.replace(pick(style, FILE_FORMS), F.lit("{v}"), F.col("l_linenumber").cast("string")), F.lit("{s}"), F.lit("Saga"))
+    disc = F.when((F.col("l_orderkey") % 8 == 0) & (F.col("l_linenumber") % 2 == 0), "CD 2/").otherwise("")
+    tag = F.when(F.col("l_orderkey") % 10 == 3, text_of("Album ", (F.col("l_linenumber") % 2).cast("string"), " (Unabridged)"))
+    return li.select(
+        text_of("lib/o", F.col("l_orderkey").cast("string"), "/", disc, name).alias("path"), tag.alias("album"),
+        text_of("o", F.col("l_orderkey").cast("string")).alias("book"), F.when(F.col("l_orderkey") % 8 == 0, (F.col("l_linenumber") % 2 + 1).cast("string")).alias("disc"),
+        F.when(F.col("l_partkey") % 9 != 0, text_of(F.col("l_linenumber").cast("string"), "/7")).alias("track"))
+
+
+def games(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as game records with nested lists and links."""
+    k = F.col("p_partkey")
+    none = F.lit(None)
+    link = lambda n, u: F.struct(F.lit(n).alias("name"), u.alias("url"))
+    url = text_of("https://x/", k.cast("string"))
+    return table(spark, folder, "part").select(
+        k.alias("id"), F.col("p_name").alias("name"), pick(k % 4, ["Steam", "GOG", "", "Epic"]).alias("store"), k.cast("string").alias("game_id"),
+        F.when(k % 5 != 0, k * 977 % 100000).alias("playtime_sec"), F.when(k % 3 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (k % 2000).cast("int"))).alias("last_played"),
+        F.lit("2019-05-05").cast("date").alias("added"), F.when(k % 7 != 0, F.date_add(F.lit("1999-01-01").cast("date"), (k % 9000).cast("int"))).alias("released"),
+        (k % 2 == 0).alias("installed"), (k % 10 == 0).alias("hidden"), (k % 11 == 0).alias("favorite"),
+        F.when(k % 6 == 0, (k % 101).cast("int")).alias("user_score"), F.when(k % 4 == 0, (k * 3 % 101).cast("int")).alias("community_score"),
+        F.when(k % 9 == 0, (k * 7 % 101).cast("int")).alias("critic_score"),
+        F.array(F.lit("RPG"), F.col("p_type")).alias("genres"),
+        F.when(k % 8 != 0, F.array(pick(k % 5, ["Single Player", "Multi-player", "Online Co-Op", "PvP", "Versus"]), F.lit("Cloud Saves"))).alias("features"),
+        F.array().cast("array<string>").alias("tags"), F.array(F.col("p_brand")).alias("developers"), none.cast("array<string>").alias("publishers"),
+        F.array(F.lit("PC")).alias("platforms"),
+        F.when(k % 3 == 0, F.array(link("Wiki", url), link("Official Store", F.when(k % 2 == 0, url).otherwise("")), link("GOG page", F.concat(url, F.lit("/gog"))))).alias("links"))

@@ -133,7 +133,7 @@ def title_variants(spark, sf):
     return title_rows(spark, sf).select("k", F.array_join(F.array_sort(X.title_variants(F.col("raw"))), "|").alias("variants"))
 
 
-CAT = """ca0 AS (SELECT p_partkey AS k, p_brand, p_name||' of '||lower(p_type)||CASE WHEN p_partkey%7=0 THEN ': '||p_name||' again' ELSE '' END AS title FROM part),
+CAT = """ca0 AS (SELECT p_partkey AS k, p_brand, p_name||' of '||lower(p_type)||' '||substr(md5(CAST(p_partkey%400 AS VARCHAR)),1,9)||' '||substr(md5(CAST(p_partkey%400 AS VARCHAR)),10,8)||CASE WHEN p_partkey%7=0 THEN ': '||p_name||' again' ELSE '' END AS title FROM part),
 ca AS (SELECT k AS cat_id, 'Lib/'||p_brand||'/'||title||' vol '||CAST(k AS VARCHAR) AS path, title, 'Writer '||CAST(k%40 AS VARCHAR)||' '||p_brand AS author,
  CASE WHEN k%4=0 THEN 'B0'||lpad(CAST(k AS VARCHAR),8,'0') ELSE '' END AS product_id, 'Reader '||CAST(k%3 AS VARCHAR) AS narrator FROM ca0),
 it AS (SELECT 'i'||CAST(cat_id AS VARCHAR) AS id, cat_id AS k, CASE cat_id%5 WHEN 1 THEN upper(path) WHEN 2 THEN path||'x' WHEN 3 THEN 'inbox/'||CAST(cat_id AS VARCHAR) ELSE '' END AS path,
@@ -144,14 +144,14 @@ SCORED = f"""hk AS (SELECT id, author, narrator, {norm_key_sql('ts')} AS hkey FR
 ck AS (SELECT cat_id, author AS ca_author, narrator AS ca_narrator, {norm_key_sql('v')} AS ckey FROM (SELECT *, unnest({variants_sql('title')}) AS v FROM ca)),
 pr0 AS (SELECT h.hkey, c.ckey FROM (SELECT DISTINCT hkey FROM hk WHERE hkey<>'') h, (SELECT DISTINCT ckey FROM ck WHERE ckey<>'') c),
 {token_ctes('pr0', 'hkey', 'ckey', 'pr1')},
-pr AS (SELECT hkey, ckey, tok*0.35::DOUBLE+sq*0.65::DOUBLE AS s FROM pr1 WHERE len(c)*2>=len(wa) AND len(c)*2>=len(wb)),
+pr AS (SELECT hkey, ckey, tok*0.35::DOUBLE+sq*0.65::DOUBLE AS s FROM pr1 WHERE len(c)*2>=len(wa) AND len(c)*2>=len(wb) AND tok*0.35::DOUBLE+sq*0.65::DOUBLE>=({{floor}}-30)/0.75::DOUBLE),
 au0 AS (SELECT a, b, {norm_key_sql('a')} AS ka, {norm_key_sql('b')} AS kb FROM (SELECT DISTINCT hk.author AS a, ck.ca_author AS b FROM hk JOIN pr USING (hkey) JOIN ck USING (ckey))),
 {token_ctes('au0', 'ka', 'kb', 'au1')},
-na0 AS (SELECT a, b, {norm_key_sql('a')} AS ka, {norm_key_sql('b')} AS kb FROM (SELECT DISTINCT hk.narrator AS a, ck.ca_narrator AS b FROM hk, ck WHERE hk.narrator IS NOT NULL)),
+na0 AS (SELECT a, b, {norm_key_sql('a')} AS ka, {norm_key_sql('b')} AS kb FROM (SELECT * FROM (SELECT DISTINCT narrator AS a FROM hk WHERE narrator IS NOT NULL), (SELECT DISTINCT ca_narrator AS b FROM ck))),
 {token_ctes('na0', 'ka', 'kb', 'na1')},
-j0 AS (SELECT hk.id, ck.cat_id, pr.s, au1.tok AS at, coalesce(ka,'')<>'' AND coalesce(kb,'')<>'' AS both_a, hk.narrator, ck.ca_narrator FROM hk JOIN pr USING (hkey) JOIN ck USING (ckey) JOIN au1 ON au1.a=hk.author AND au1.b=ck.ca_author),
-j1 AS (SELECT id, cat_id, narrator, ca_narrator, CASE WHEN NOT both_a THEN s WHEN at>=60 THEN s*0.75::DOUBLE+at*0.25::DOUBLE ELSE greatest(0.0::DOUBLE, s-8.0::DOUBLE) END AS a FROM j0),
-sc AS (SELECT id, cat_id, max(CASE WHEN narrator IS NOT NULL AND na1.tok>85 THEN least(100.0::DOUBLE, j1.a+5.0::DOUBLE) ELSE j1.a END) AS score FROM j1 LEFT JOIN na1 ON na1.a=j1.narrator AND na1.b=j1.ca_narrator GROUP BY 1,2)"""
+j0 AS (SELECT hk.id, ck.cat_id, pr.s, au1.tok AS atok, coalesce(ka,'')<>'' AND coalesce(kb,'')<>'' AS both_a, hk.narrator, ck.ca_narrator FROM hk JOIN pr USING (hkey) JOIN ck USING (ckey) JOIN au1 ON au1.a=hk.author AND au1.b=ck.ca_author),
+j1 AS (SELECT id, cat_id, narrator, ca_narrator, CASE WHEN NOT both_a THEN s WHEN atok>=60 THEN s*0.75::DOUBLE+atok*0.25::DOUBLE ELSE greatest(0.0::DOUBLE, s-8.0::DOUBLE) END AS a FROM j0),
+sc AS (SELECT id, cat_id, max(CASE WHEN narrator IS NOT NULL AND na1.tok>85 THEN least(100.0::DOUBLE, j1.a+5.0::DOUBLE) ELSE j1.a END) AS score FROM j1 LEFT JOIN na1 ON na1.a=j1.narrator AND na1.b=j1.ca_narrator GROUP BY 1,2 HAVING max(CASE WHEN narrator IS NOT NULL AND na1.tok>85 THEN least(100.0::DOUBLE, j1.a+5.0::DOUBLE) ELSE j1.a END)>={{floor}})"""
 
 
 @REG.query("match_score", f"""WITH {CAT}, p AS (SELECT it.id, ca.cat_id, {norm_key_sql('ts')} AS hkey, it.author AS a, ca.author AS b, unnest({variants_sql('ct')}) AS v
@@ -166,17 +166,17 @@ def match_score(spark, sf):
     return i.join(c, "cat_id").select("id", F.round(X.match_score(F.col("title"), F.col("author"), F.col("c_title"), F.col("c_author")) * 1000000).alias("score_ppm"))
 
 
-@REG.query("catalog_candidates", f"""WITH {CAT}, {SCORED.format(items='it')}
+@REG.query("catalog_candidates", f"""WITH {CAT}, {SCORED.format(items='it', floor=82)}
 SELECT id, cat_id, rank, round(score*1000000) AS score_ppm FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_id) AS rank FROM sc) WHERE rank<=8""")
 def catalog_candidates(spark, sf):
-    return B.top_candidates(B.scored_candidates(T.items(spark, sf), T.catalog(spark, sf))).select("id", "cat_id", "rank", F.round(F.col("score") * 1000000).alias("score_ppm"))
+    return B.top_candidates(T.items(spark, sf), T.catalog(spark, sf)).select("id", "cat_id", "rank", F.round(F.col("score") * 1000000).alias("score_ppm"))
 
 
-@REG.query("catalog_ambiguous", f"""WITH {CAT}, {SCORED.format(items='it')}, mx AS (SELECT id, max(score) AS top FROM sc GROUP BY 1),
+@REG.query("catalog_ambiguous", f"""WITH {CAT}, {SCORED.format(items='it', floor=82)}, mx AS (SELECT id, max(score) AS top FROM sc GROUP BY 1),
 b AS (SELECT id, cat_id FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_id)=1)
-SELECT b.id, b.cat_id, (SELECT count(*) FROM sc WHERE sc.id=b.id AND sc.score>=mx.top-0.5::DOUBLE)>=2 AS ambiguous FROM b JOIN mx USING (id)""")
+SELECT b.id, b.cat_id, count(*) FILTER (sc.score>=mx.top-0.5::DOUBLE)>=2 AS ambiguous FROM b JOIN mx USING (id) JOIN sc ON sc.id=b.id GROUP BY 1,2""")
 def catalog_ambiguous(spark, sf):
-    return B.ambiguous_match(B.scored_candidates(T.items(spark, sf), T.catalog(spark, sf))).select("id", "cat_id", "ambiguous")
+    return B.ambiguous_match(T.items(spark, sf), T.catalog(spark, sf)).select("id", "cat_id", "ambiguous")
 
 
 def path_key_sql(x: str) -> str:
@@ -189,7 +189,7 @@ s2 AS (SELECT id, pk.cat_id, 100.0::DOUBLE AS score, 'path' AS how FROM l1 JOIN
 l2 AS (SELECT * FROM l1 WHERE id NOT IN (SELECT id FROM s2)),
 nr AS (SELECT l2.id, pk.cat_id, pk.key AS pkey, {seq_sql('l2.key', 'pk.key')} AS r FROM l2, pk WHERE l2.key<>'' AND abs(length(l2.key)-length(pk.key))<=6),
 s3 AS (SELECT id, cat_id, r AS score, 'path~' AS how FROM nr WHERE r>=97 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC, pkey DESC)=1),
-l3 AS (SELECT * FROM l2 WHERE id NOT IN (SELECT id FROM s3)), {SCORED.format(items='l3')},
+l3 AS (SELECT * FROM l2 WHERE id NOT IN (SELECT id FROM s3)), {SCORED.format(items='l3', floor=90)},
 s4 AS (SELECT id, cat_id, score, 'title' AS how FROM sc WHERE score>=90 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_id)=1)
 SELECT id, cat_id, round(score*1000000) AS score_ppm, how FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)""")
 def link_catalog(spark, sf):

@@ -169,7 +169,7 @@ def title_variants(title: Column) -> Column:
 # --- similarity, 0 to 100, on normalised keys ---------------------------------------------------------------------
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Share of the joint length that an edit script leaves alone."""
+    """Share of the joint length that an edit script leaves alone; pass columns or bound values, not long expressions."""
     total = F.length(a) + F.length(b)
     return (F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(100.0))
             .otherwise((total - F.levenshtein(a, b)) * F.lit(100.0) / total))
@@ -177,14 +177,26 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Likeness of the word sets: 100 when one holds the other, else the best of common part and both sides."""
-    def score(wa: Column, wb: Column) -> Column:
-        common, only_a, only_b = F.array_sort(F.array_intersect(wa, wb)), F.array_sort(F.array_except(wa, wb)), F.array_sort(F.array_except(wb, wa))
-        join = lambda x: F.array_join(x, " ")
-        c, ab, ba = join(common), join(F.concat(common, only_a)), join(F.concat(common, only_b))
-        held = (F.size(common) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-        return F.when(held, F.lit(100.0)).otherwise(F.greatest(sequence_ratio(ab, ba), sequence_ratio(c, ab), sequence_ratio(c, ba)))
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(100.0)).otherwise(
-        score(F.array_distinct(word_list(a)), F.array_distinct(word_list(b))))
+    join = lambda x: F.array_join(x, " ")
+
+    def sets(w: Column) -> Column:
+        wa, wb = w["a"], w["b"]
+        return F.struct(F.array_sort(F.array_intersect(wa, wb)).alias("c"), F.array_sort(F.array_except(wa, wb)).alias("a"),
+                        F.array_sort(F.array_except(wb, wa)).alias("b"))
+
+    def texts(s: Column) -> Column:
+        return F.struct(join(s["c"]).alias("c"), join(F.concat(s["c"], s["a"])).alias("a"), join(F.concat(s["c"], s["b"])).alias("b"),
+                        ((F.size(s["c"]) > 0) & ((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0))).alias("held"))
+
+    def best(t: Column) -> Column:
+        return F.when(t["held"], F.lit(100.0)).otherwise(F.greatest(
+            sequence_ratio(t["a"], t["b"]), sequence_ratio(t["c"], t["a"]), sequence_ratio(t["c"], t["b"])))
+
+    def score(p: Column) -> Column:
+        words = F.struct(F.array_distinct(word_list(p["a"])).alias("a"), F.array_distinct(word_list(p["b"])).alias("b"))
+        return F.when((p["a"] == "") | (p["b"] == ""), F.lit(0.0)).when(p["a"] == p["b"], F.lit(100.0)).otherwise(
+            let(let(let(words, sets), texts), best))
+    return let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def title_score(a: Column, b: Column) -> Column:
@@ -193,9 +205,14 @@ def title_score(a: Column, b: Column) -> Column:
 
 def with_author(score: Column, author_a: Column, author_b: Column) -> Column:
     """An agreeing author (60 or more) counts a quarter, a disagreeing one costs 8 points, a missing one nothing."""
-    likeness = token_set_ratio(author_a, author_b)
-    both = (F.coalesce(author_a, F.lit("")) != "") & (F.coalesce(author_b, F.lit("")) != "")
-    return F.when(~both, score).when(likeness >= 60, score * 0.75 + likeness * 0.25).otherwise(F.greatest(F.lit(0.0), score - 8.0))
+    def adjust(x: Column) -> Column:
+        return (F.when((x["a"] == "") | (x["b"] == ""), x["s"]).when(x["l"] >= 60, x["s"] * 0.75 + x["l"] * 0.25)
+                .otherwise(F.greatest(F.lit(0.0), x["s"] - 8.0)))
+
+    def measured(p: Column) -> Column:
+        return let(F.struct(p["a"].alias("a"), p["b"].alias("b"), p["s"].alias("s"), token_set_ratio(p["a"], p["b"]).alias("l")), adjust)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return let(F.struct(text(author_a).alias("a"), text(author_b).alias("b"), score.alias("s")), measured)
 
 
 def match_score(hint_title: Column, hint_author: Column, title: Column, author: Column) -> Column:

@@ -86,41 +86,62 @@ def near_keys(left: DataFrame, right: DataFrame, floor: float = NEAR_PATH) -> Da
 
 # --- linking ---------------------------------------------------------------------------------------------------------
 
-def _entry_keys(catalog: DataFrame) -> DataFrame:
-    """Title variants of entries with their normalised key; one row per (entry, variant)."""
-    return catalog.select("cat_id", F.col("author").alias("c_author"), F.col("narrator").alias("c_narrator") if "narrator" in catalog.columns
-                          else F.lit(None).cast("string").alias("c_narrator"),
-                          F.explode(T.title_variants(F.coalesce("title", F.lit("")))).alias("__v")).withColumn("key", T.norm_key(F.col("__v"))).drop("__v")
+HINT = ["key", "a_key", "n_key"]
 
 
-def scored_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, cat_id, score): items against entries whose titles are similar enough to be compared.
+def hint_keys(items: DataFrame) -> DataFrame:
+    """(id, key, a_key, n_key): normalised title without shelving words, author and narrator."""
+    narrator = F.col("narrator") if "narrator" in items.columns else F.lit("")
+    return items.select("id", T.norm_key(T.strip_title_suffix(F.coalesce("title", F.lit("")))).alias("key"),
+                        T.norm_key(F.col("author")).alias("a_key"), T.norm_key(narrator).alias("n_key"))
 
-    Distinct titles are paired and scored once; items and entries then join their pair by title. A narrator
-    that agrees by more than 85 adds 5 points, up to 100.
-    """
-    narrator = F.col("narrator") if "narrator" in items.columns else F.lit(None).cast("string")
-    hints = items.select("id", "author", narrator.alias("narrator"), T.norm_key(T.strip_title_suffix(F.coalesce("title", F.lit("")))).alias("key"))
-    entries = _entry_keys(catalog)
-    pairs = similar_titles(hints, entries).withColumn("__s", T.title_score(F.col("lkey"), F.col("rkey")))
-    hit = hints.withColumnRenamed("key", "lkey").join(pairs, "lkey").join(entries.withColumnRenamed("key", "rkey"), "rkey")
-    score = T.with_author(F.col("__s"), T.norm_key(F.col("author")), T.norm_key(F.col("c_author")))
-    alike = T.token_set_ratio(T.norm_key(F.col("narrator")), T.norm_key(F.col("c_narrator")))
-    bonus = F.when((F.coalesce("narrator", F.lit("")) != "") & (F.coalesce("c_narrator", F.lit("")) != "") & (alike > 85),
-                   F.least(F.lit(100.0), F.col("__a") + 5.0)).otherwise(F.col("__a"))
-    return hit.withColumn("__a", score).withColumn("score", bonus).groupBy("id", "cat_id").agg(F.max("score").alias("score"))
 
+def _entry_groups(catalog: DataFrame, keep: int) -> DataFrame:
+    """Entries by (variant key, author, narrator) with their ``keep`` smallest ids; the rank limit works before the shuffle."""
+    narrator = F.col("narrator") if "narrator" in catalog.columns else F.lit("")
+    rows = catalog.select("cat_id", T.norm_key(F.col("author")).alias("ca_key"), T.norm_key(narrator).alias("cn_key"),
+                          F.explode(T.title_variants(F.coalesce("title", F.lit("")))).alias("__v")).select(
+        "cat_id", T.norm_key(F.col("__v")).alias("rkey"), "ca_key", "cn_key").distinct()
+    rank = F.row_number().over(Window.partitionBy("rkey", "ca_key", "cn_key").orderBy("cat_id"))
+    return rows.withColumn("__n", rank).filter(F.col("__n") <= keep).groupBy("rkey", "ca_key", "cn_key").agg(
+        F.collect_list("cat_id").alias("ids"))
 
-def ambiguous_match(scored: DataFrame, margin: float = 0.5) -> DataFrame:
-    """Per item the best candidate and whether two or more entries lie within ``margin`` of the top."""
-    best = scored.groupBy("id").agg(F.max("score").alias("top"), F.min_by("cat_id", F.struct((-F.col("score")).alias("s"), "cat_id")).alias("cat_id"))
-    near = scored.join(best.select("id", "top"), "id").filter(F.col("score") >= F.col("top") - margin).groupBy("id").agg(F.countDistinct("cat_id").alias("near"))
-    return best.join(near, "id").select("id", "cat_id", F.col("top").alias("score"), (F.col("near") >= 2).alias("ambiguous"))
 
+def scored_candidates(hints: DataFrame, catalog: DataFrame, floor: float = THRESHOLD, keep: int = 8) -> DataFrame:
+    """(key, a_key, n_key, cat_id, score) with score >= ``floor`` for the distinct hints.
 
-def top_candidates(scored: DataFrame, k: int = 8) -> DataFrame:
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "cat_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    Equal hints and equal entries are one row each before anything is paired, titles are paired and scored once,
+    and a title pair is dropped as soon as a perfect author and narrator could not lift it to the floor. A
+    narrator that agrees by more than 85 adds 5 points, up to 100. Of entries that agree in title, author and
+    narrator the ``keep`` smallest ids stand for all, as all score alike.
+    """
+    distinct = hints.select(*HINT).distinct()
+    entries = _entry_groups(catalog, keep)
+    pairs = similar_titles(distinct, entries.withColumnRenamed("rkey", "key")).withColumn(
+        "__s", T.title_score(F.col("lkey"), F.col("rkey"))).filter(F.col("__s") >= (floor - 30) / 0.75)
+    hit = distinct.withColumnRenamed("key", "lkey").join(pairs, "lkey").join(entries, "rkey")
+    alike = T.token_set_ratio(F.col("n_key"), F.col("cn_key"))
+    scored = hit.withColumn("__a", T.with_author(F.col("__s"), F.col("a_key"), F.col("ca_key"))).withColumn(
+        "score", F.when(alike > 85, F.least(F.lit(100.0), F.col("__a") + 5.0)).otherwise(F.col("__a"))).filter(F.col("score") >= floor)
+    return scored.select(F.col("lkey").alias("key"), "a_key", "n_key", F.explode("ids").alias("cat_id"), "score").groupBy(
+        *HINT, "cat_id").agg(F.max("score").alias("score"))
+
+
+def ambiguous_match(items: DataFrame, catalog: DataFrame, floor: float = THRESHOLD, margin: float = 0.5) -> DataFrame:
+    """Per item its best entry, and whether two or more different entries lie within ``margin`` of the top."""
+    hints = hint_keys(items)
+    scored = scored_candidates(hints, catalog, floor)
+    best = scored.groupBy(*HINT).agg(F.max("score").alias("top"), F.min_by("cat_id", F.struct((-F.col("score")).alias("s"), "cat_id")).alias("best_id"))
+    near = scored.join(best, HINT).filter(F.col("score") >= F.col("top") - margin).groupBy(*HINT, "top", "best_id").agg(F.countDistinct("cat_id").alias("near"))
+    return hints.join(near, HINT).select("id", F.col("best_id").alias("cat_id"), F.col("top").alias("score"), (F.col("near") >= 2).alias("ambiguous"))
+
+
+def top_candidates(items: DataFrame, catalog: DataFrame, k: int = 8, floor: float = THRESHOLD) -> DataFrame:
+    """The ``k`` best entries per item, best first."""
+    hints = hint_keys(items)
+    order = Window.partitionBy(*HINT).orderBy(F.desc("score"), "cat_id")
+    best = scored_candidates(hints, catalog, floor, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return hints.join(best, HINT).select("id", "cat_id", "rank", "score")
 
 
 def link_catalog(items: DataFrame, catalog: DataFrame, title_floor: float = max(THRESHOLD, TITLE_FLOOR)) -> DataFrame:
@@ -135,8 +156,7 @@ def link_catalog(items: DataFrame, catalog: DataFrame, title_floor: float = max(
     best = near.groupBy("lkey").agg(F.max_by(F.struct("cat_id", "ratio"), F.struct("ratio", "rkey")).alias("b"))
     by_near = left.join(best, left["key"] == best["lkey"]).select("id", "b.cat_id", F.col("b.ratio").alias("score"), F.lit("path~").alias("how"))
     left = left.join(by_near, "id", "left_anti").drop("key")
-    by_title = ambiguous_match(scored_candidates(left, catalog)).filter(F.col("score") >= title_floor).select(
-        "id", "cat_id", "score", F.lit("title").alias("how"))
+    by_title = ambiguous_match(left, catalog, title_floor).select("id", "cat_id", "score", F.lit("title").alias("how"))
     return by_id.unionByName(by_path).unionByName(by_near).unionByName(by_title)
 
 

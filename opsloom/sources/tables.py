@@ -305,7 +305,8 @@ def titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
-    title = text_of(F.col("p_name"), " of ", F.lower("p_type"), F.when(k % 7 == 0, text_of(": ", F.col("p_name"), " again")).otherwise(""))
+    mark = F.md5((k % 400).cast("string"))
+    title = text_of(F.col("p_name"), " of ", F.lower("p_type"), " ", F.substring(mark, 1, 9), " ", F.substring(mark, 10, 8), F.when(k % 7 == 0, text_of(": ", F.col("p_name"), " again")).otherwise(""))
     return table(spark, folder, "part").select(
         k.alias("cat_id"), text_of("Lib/", F.col("p_brand"), "/", title, " vol ", k.cast("string")).alias("path"), title.alias("title"),
         text_of("Writer ", (k % 40).cast("string"), " ", F.col("p_brand")).alias("author"),

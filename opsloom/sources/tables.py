@@ -361,3 +361,30 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
         F.array().cast("array<string>").alias("tags"), F.array(F.col("p_brand")).alias("developers"), none.cast("array<string>").alias("publishers"),
         F.array(F.lit("PC")).alias("platforms"),
         F.when(k % 3 == 0, F.array(link("Wiki", url), link("Official Store", F.when(k % 2 == 0, url).otherwise("")), link("GOG page", F.concat(url, F.lit("/gog"))))).alias("links"))
+
+
+MONEY_FORMS = ["${a}.{c}", "({a}.{c})", "-{a}.{c}", "{a}.{c}-", "{a}.{c} DR", "{a}.{c} CR", "USD {a}.{c}", "abc", "", "+{a}.{c}", "1.{a},{c}"]
+
+
+def statement_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as lines of 40 statement files in four styles, each with a header line and a total line."""
+    o = table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    style = k % 4
+    n = cents(F.col("o_totalprice"))
+    whole, part = (n - n % 100) / 100, F.lpad((n % 100).cast("string"), 2, "0")
+    w = whole.cast("long").cast("string")
+    grouped = F.format_number(whole.cast("long"), 0)
+    rows = o.select(
+        text_of("f", (k % 40).cast("string"), ".csv").alias("file"), (F.floor(k / 40) + 2).alias("line_no"),
+        F.when(style == 0, F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(",\"Order, "), k.cast("string"), F.lit("\","),
+                                    F.when(F.col("o_orderstatus") == "F", F.concat(w, F.lit("."), part, F.lit(","))).otherwise(F.concat(F.lit(","), w, F.lit("."), part))))
+        .when(style == 1, F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(";Kauf "), k.cast("string"), F.lit(";"), F.replace(grouped, F.lit(","), F.lit(".")), F.lit(","), part, F.lit(";ref")))
+        .when(style == 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("|"), F.when(F.col("o_orderstatus") == "P", "purchase").otherwise("credit"), F.lit("|$"), grouped, F.lit("."), part, F.lit("| pay "), k.cast("string"), F.lit(" ")))
+        .otherwise(F.concat(F.date_format("o_orderdate", "MMM d, yyyy"), F.lit("\t"), w, F.lit("."), part, F.lit("\tnote for order "), k.cast("string"))).alias("line"))
+    files = rows.select("file").distinct().withColumn("s", F.regexp_extract("file", r"\d+", 0).cast("int") % 4)
+    heads = files.filter("s < 3").select("file", F.lit(1).cast("long").alias("line_no"), pick(F.col("s"), [
+        "Trans. Date,Description,Debit,Credit", "Posted;Date;Payee;Amount;Memo", "Date|Type|Amount|Details"]).alias("line"))
+    heads = heads.withColumn("line", F.when(F.col("line").startswith("Posted"), "Date;Payee;Amount;Memo").otherwise(F.col("line")))
+    totals = files.select("file", F.lit(1_000_000_000).cast("long").alias("line_no"), F.lit("Total,,,").alias("line"))
+    return rows.unionByName(heads).unionByName(totals)

@@ -105,13 +105,13 @@ def latest_snapshot(spark, sf):
     return M.latest_snapshot(polls)
 
 
-CPU = f"""{COUNTERS}, cp AS (SELECT switch AS host, t, port, total*4 AS total, total*4-((total*7)%(total*4+1)) AS idle FROM v_run WHERE port='click')"""
+CPU = f"""{COUNTERS}, cp AS (SELECT CAST(switch AS VARCHAR)||port AS host, t, sample, total*4 AS total, total*4-((total*7)%(total*4+1)) AS idle FROM v_run)"""
 
 
 def cpu_samples(spark, sf):
-    c = T.counters(spark, sf, bits=40).filter("port = 'click'")
+    c = T.counters(spark, sf, bits=40)
     total = F.col("rx_ok").cast("long") * 4
-    return c.select(F.col("switch").alias("host"), "t", total.alias("total"), (total - (F.col("rx_ok").cast("long") * 7) % (total + 1)).alias("idle"))
+    return c.select(F.concat(F.col("switch").cast("string"), "port").alias("host"), "t", total.alias("total"), (total - (F.col("rx_ok").cast("long") * 7) % (total + 1)).alias("idle"))
 
 
 @REG.query("cpu_busy", f"""WITH {CPU}, l AS (SELECT *, lag(total) OVER w AS pt, lag(idle) OVER w AS pi FROM cp WINDOW w AS (PARTITION BY host ORDER BY t))

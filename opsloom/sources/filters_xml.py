@@ -42,4 +42,4 @@ def write_filters(filters: DataFrame, path: str) -> None:
         F.lit("Mail Filter").alias("title"),
         F.transform(ordered_props(F.col("props")), lambda e: F.struct(e["key"].alias("_name"), e["value"].alias("_value"))).alias("apps:property"))
     root = "feed xmlns='http://www.w3.org/2005/Atom' xmlns:apps='http://schemas.google.com/apps/2006'"
-    rows.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", "entry").save(path)
+    rows.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", "entry").option("validateName", False).save(path)

@@ -179,7 +179,7 @@ def test_near_keys_are_complete(spark):
 
 
 @pytest.mark.parametrize("names,groups", [
-    (["01 - One.mp3", "02 - One.mp3"], 1), (["Series Book 1.mp3", "Series Book 2.mp3"], 2), (["The Book 01.mp3", "The Book 02.mp3", "The Book 03.mp3"], 1),
+    (["01 - One.mp3", "02 - One.mp3"], 1), (["Series Book 1.mp3", "Series Book 2.mp3"], 2), (["The Tale 01.mp3", "The Tale 02.mp3", "The Tale 03.mp3"], 1), (["The Book 01.mp3", "The Book 02.mp3"], 2),
     (["S - 6 Fugitive.mp3", "S - 7 Collapse.mp3"], 2), (["Tale Part 1.mp3", "Tale Part 2.mp3"], 1), (["S 8.m4b", "S 9.m4b", "S 11.m4b"], 3), (["Chapter 1.mp3", "Chapter 2.mp3"], 1),
 ])
 def test_files_into_books(spark, names, groups):

@@ -273,16 +273,21 @@ def format_variants(spark, sf):
     return B.format_variants(plain_books(spark, sf))
 
 
-@REG.query("book_duplicates", f"""WITH {CAT}, k AS (SELECT cat_id, {norm_key_sql('author')}||'|'||{norm_key_sql('title')} AS dup_key FROM ca) SELECT cat_id, dup_key, copies FROM (SELECT *, count(*) OVER (PARTITION BY dup_key) AS copies FROM k) WHERE copies>1""")
+@REG.query("book_duplicates", f"""WITH {CAT}, u AS (SELECT 'c'||CAST(cat_id AS VARCHAR) AS id, title, author FROM ca UNION ALL SELECT id, title, author FROM it),
+k AS (SELECT id, {norm_key_sql('author')}||'|'||{norm_key_sql('title')} AS dup_key FROM u) SELECT id, dup_key, copies FROM (SELECT *, count(*) OVER (PARTITION BY dup_key) AS copies FROM k) WHERE copies>1""")
 def book_duplicates(spark, sf):
-    return B.find_duplicates(T.catalog(spark, sf)).select("cat_id", "dup_key", "copies")
+    entries = T.catalog(spark, sf).select(F.concat(F.lit("c"), F.col("cat_id").cast("string")).alias("id"), "title", "author")
+    return B.find_duplicates(entries.unionByName(T.items(spark, sf).select("id", "title", "author"))).select("id", "dup_key", "copies")
+
+
+MARKS = " [0-9a-f]{9} [0-9a-f]{8}"
 
 
 def books(spark, sf):
     k = F.col("cat_id")
     blank = lambda m, c: F.when(k % m != 0, c).otherwise("")
     return T.catalog(spark, sf).select(
-        k.alias("id"), F.col("path"), blank(9, F.col("title")).alias("title"), blank(7, F.col("author")).alias("author"), blank(5, F.col("narrator")).alias("narrator"),
+        k.alias("id"), F.col("path"), blank(9, F.regexp_replace("title", MARKS, "")).alias("title"), blank(7, F.col("author")).alias("author"), blank(5, F.col("narrator")).alias("narrator"),
         F.lit("Audio").alias("genre"), blank(3, F.lit("Pub")).alias("publisher"), F.lit("2001").alias("year"), blank(11, F.lit("d")).alias("description"),
         (k % 4 != 1).alias("has_cover"), "product_id", F.when(k % 2 == 0, "Saga: 1/2").otherwise("").alias("series"), (k % 30).cast("string").alias("series_index"),
         F.when(k % 10 < 7, F.lit(100.0) - (k % 10) * 0.2).alias("match_score"), (k % 4).alias("files"))
@@ -311,7 +316,7 @@ def track_gaps(spark, sf):
     return B.track_gaps(T.audio_files(spark, sf))
 
 
-DEST = f"""ds AS (SELECT *, CASE WHEN cat_id%9<>0 AND cat_id%7<>0 THEN CASE WHEN cat_id%2=0 THEN author||'/Saga 1, 2/Book '||lpad(CAST(cat_id%30 AS VARCHAR),2,'0')||' - '||replace(title,':','') ELSE author||'/'||replace(title,':','') END END AS destination FROM ca)"""
+DEST = f"""ds AS (SELECT *, CASE WHEN cat_id%9<>0 AND cat_id%7<>0 THEN CASE WHEN cat_id%2=0 THEN author||'/Saga 1, 2/Book '||lpad(CAST(cat_id%30 AS VARCHAR),2,'0')||' - '||replace(title,':','') ELSE author||'/'||replace(title,':','') END END AS destination FROM (SELECT * REPLACE (regexp_replace(title,{t(MARKS)},'') AS title) FROM ca))"""
 
 
 @REG.query("plan_layout", f"WITH {CAT}, {DEST} SELECT cat_id AS id, destination FROM ds")

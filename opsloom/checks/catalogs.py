@@ -179,6 +179,14 @@ def catalog_ambiguous(spark, sf):
     return B.ambiguous_match(T.items(spark, sf), T.catalog(spark, sf)).select("id", "cat_id", "ambiguous")
 
 
+@REG.query("title_block_ratio")
+def title_block_ratio(spark, sf):
+    """Every item's title against its own entry's, by matching blocks."""
+    i = T.items(spark, sf).select("id", X.norm_key(F.col("title")).alias("a"), F.substring("id", 2, 20).cast("long").alias("cat_id"))
+    c = T.catalog(spark, sf).select("cat_id", X.norm_key(F.col("title")).alias("b"))
+    return i.join(c, "cat_id").select("id", F.round(X.block_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 def path_key_sql(x: str) -> str:
     return norm_key_sql(f"replace(regexp_replace(replace({x},'\\','/'),'^[/ ]+|[/ ]+$','','g'),'/',' ')")
 

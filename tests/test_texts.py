@@ -152,6 +152,7 @@ def test_filter_feed_round_trip(spark, tmp_path):
 
 def test_titles(spark):
     assert round(one(spark, X.title_score(F.lit("foundation and earth"), F.lit("foundation"))), 1) == 78.3
+    assert round(one(spark, X.block_ratio(F.lit("foundation and earth"), F.lit("foundation"))), 1) == 66.7
     assert one(spark, X.match_score(F.lit("The Last Hope"), F.lit(None), F.lit("Warriors: Omen of the Stars #6: The Last Hope"), F.lit(None))) == 100.0
     assert one(spark, X.find_product_id(F.lit("Foundation [B005T6ZETM]"))) == "B005T6ZETM"
     assert tuple(one(spark, X.split_series(F.lit("The Gunslinger (Dark Tower, Book 1)")))) == ("The Gunslinger", "Dark Tower", 1)

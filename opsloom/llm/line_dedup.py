@@ -62,12 +62,16 @@ class LineRuns:
         self.names.append(name)
         return self.spark.table(name)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Counts and largest documents over several runs.
+
+        The rows are dealt anew: a union of bucketed tables counts as partitioned by key although its
+        scans may not read by bucket, and the sums would then stay apart.
+        """
         both = runs[0]
         for run in runs[1:]:
             both = both.union(run)
-        return both.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        return both.repartition(self.buckets, "k1", "k2").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
     def add(self, lines: DataFrame) -> None:
         """One batch of ``doc, k1, k2``, whose documents are smaller than those of all batches before."""

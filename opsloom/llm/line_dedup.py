@@ -52,32 +52,30 @@ class LineRuns:
     def __init__(self, spark: SparkSession, enough: int, fan_in: int = 2, buckets: int | None = None) -> None:
         self.spark, self.enough, self.fan_in = spark, enough, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
-        self.names: list[str] = []
+        self.levels: list[list[str]] = []
+        self.folders: dict[str, str] = {}
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> str:
         folder = shared_folder(self.spark, "run")
         name = "line_run_" + folder.rsplit("-", 1)[1]
         rows.repartition(self.buckets, "k1", "k2").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", folder).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
+        self.folders[name] = folder
+        return name
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+    def _merged(self, names: list[str]) -> DataFrame:
         """Counts and largest documents over several runs.
 
-        The rows are dealt anew: a union of bucketed tables counts as partitioned by key although its
-        scans may not read by bucket, and the sums would then stay apart.
+        Their files are read as one table: a union of bucketed tables counts as partitioned by key, but
+        what is written from it need not be read by bucket, and sums would stay apart.
         """
-        both = runs[0]
-        for run in runs[1:]:
-            both = both.union(run)
-        return both.repartition(self.buckets, "k1", "k2").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        rows = self.spark.read.schema(RUN).parquet(*[self.folders[n] for n in names])
+        return rows.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
     def add(self, lines: DataFrame) -> None:
         """One batch of ``doc, k1, k2``, whose documents are smaller than those of all batches before."""
         fresh = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("top"))
-        for run in (r for level in self.levels for r in level):
-            fresh = fresh.join(run.filter(F.col("n") >= self.enough), ["k1", "k2"], "left_anti")
+        for name in (n for level in self.levels for n in level):
+            fresh = fresh.join(self.spark.table(name).filter(F.col("n") >= self.enough), ["k1", "k2"], "left_anti")
         level, run = 0, self._write(fresh)
         while True:
             if len(self.levels) == level:
@@ -91,14 +89,14 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """``k1, k2, top`` of the keys found often enough."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
+        names = [n for level in self.levels for n in level]
+        if not names:
             return self.spark.createDataFrame([], "k1 long, k2 long, top long")
-        return self._merged(runs).filter(F.col("n") >= self.enough).select("k1", "k2", "top")
+        return self._merged(names).filter(F.col("n") >= self.enough).select("k1", "k2", "top")
 
     def close(self) -> None:
         """Forget the tables' names; the files stay in the shared folder, which the cluster cleans."""
-        for name in self.names:
+        for name in self.folders:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 

@@ -5,6 +5,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -121,7 +122,7 @@ def _sketch(docs: DataFrame, doc: str, text: str, shingle: int, bands: int, rows
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id, key, weighted``: the sorted distinct shingles of a text and then their counts, as packed 64-bit numbers."""
+    """``id, key, weighted``: the sorted distinct shingles of a text, packed, and their counts where one is above 1."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             out, keys = [], []
@@ -129,22 +130,37 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
                 found = words(body)
                 one, count = np.unique(shingle_hashes(found, shingle), return_counts=True)
                 keys.append(word_digest(found))
-                out.append(one.tobytes() + count.astype("<i8").tobytes())
+                out.append(pack(one, count))
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["id", "key", "weighted"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, key binary, weighted binary")
 
 
+def pack(shingles: np.ndarray, counts: np.ndarray) -> bytes:
+    head = np.array([len(shingles)], "<u8").tobytes() + shingles.astype("<u8").tobytes()
+    return head + counts.astype("<u4").tobytes() if (counts > 1).any() else head
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """Shingles and counts; no counts if all are 1."""
+    n = int(np.frombuffer(packed, "<u8", 1)[0])
+    return np.frombuffer(packed, "<u8", n, 8), np.frombuffer(packed, "<u4", n, 8 + 8 * n) if len(packed) > 8 + 8 * n else None
+
+
+def similarity(x: bytes, y: bytes) -> float:
+    (a, wa), (b, wb) = unpack(x), unpack(y)
+    if wa is None and wb is None:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / (len(a) + len(b) - both) if both else 0.0
+    return probability_jaccard(a, np.ones(len(a)) if wa is None else wa, b, np.ones(len(b)) if wb is None else wb)
+
+
 def _verified(pairs: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose probability Jaccard similarity is ``least`` or more."""
-    def cut(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(packed) // 16
-        return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.int64, n, n * 8)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = [probability_jaccard(*cut(p), *cut(q)) >= least for p, q in zip(x, y, strict=True)]
+            keep = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = weighted.select(F.col("id").alias("a"), F.col("weighted").alias("x"))
@@ -152,6 +168,84 @@ def _verified(pairs: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Members and bytes of shingles in a block of a hub's group.
+BLOCK_MEMBERS, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 4096
+
+
+def _between(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between members of two blocks of one group (or within one block) whose components differ.
+
+    Common shingles of all pairs are counted by products of 0/1 matrices, a few thousand shingles at a time.
+    For texts that repeat no shingle this gives the similarity itself. For others the smaller sum of the
+    common shingles' shares bounds it from above, and the pairs that are left are taken one by one. Of
+    the links only those that join something new are returned, fewer than there are members.
+    """
+    first, second = group["i"].iloc[0], group["j"].iloc[0]
+    group = group.drop_duplicates("id").reset_index(drop=True)
+    ids, parts, blobs = group["id"].to_numpy(), group["c"].to_numpy(), group["weighted"].tolist()
+    rows, columns = np.flatnonzero(group["block"] == first), np.flatnonzero(group["block"] == second)
+    sets = [unpack(b) for b in blobs]
+    sizes = np.array([len(a) for a, _ in sets], float)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    _, which, seen = np.unique(np.concatenate([a for a, _ in sets]), return_inverse=True, return_counts=True)
+    flat = np.array([w is None for _, w in sets])
+    share = np.concatenate([np.full(len(a), 1 / len(a)) if w is None else w / w.sum() for a, w in sets])
+    place = np.cumsum(seen > 1) - 1
+    common = np.flatnonzero(seen[which] > 1)
+    common = common[np.argsort(place[which[common]], kind="stable")]
+    at = place[which[common]]
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    shares = None if flat.all() else (np.zeros_like(both), np.zeros_like(both))
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+        here, one = common[lo:hi], np.zeros((len(sets), COLUMNS), np.float32)
+        one[owner[here], at[lo:hi] - start] = 1
+        both += one[rows] @ one[columns].T
+        if shares:
+            part = np.zeros_like(one)
+            part[owner[here], at[lo:hi] - start] = share[here]
+            shares[0][:] += part[rows] @ one[columns].T
+            shares[1][:] += one[rows] @ part[columns].T
+    differ = parts[rows][:, None] != parts[columns][None]
+    if first == second:
+        differ &= rows[:, None] < columns[None]
+    exact = both.astype(float) / (sizes[rows][:, None] + sizes[columns][None] - both) >= least
+    if shares:
+        plain = flat[rows][:, None] & flat[columns][None]
+        linked = differ & plain & exact
+        for x, y in np.argwhere(differ & ~plain & (np.minimum(*shares) >= least - 1e-3)):
+            linked[x, y] = similarity(blobs[rows[x]], blobs[columns[y]]) >= least
+    else:
+        linked = differ & exact
+    root = {p: p for p in parts.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    out = []
+    for x, y in np.argwhere(linked):
+        p, q = find(parts[rows[x]].item()), find(parts[columns[y]].item())
+        if p != q:
+            root[p] = q
+            out.append((min(ids[rows[x]], ids[columns[y]]), max(ids[rows[x]], ids[columns[y]])))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _loose_links(shared: DataFrame, group: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
+    """Links between members of one hub's buckets that are in different components so far."""
+    placed = shared.select("hub", "id").distinct().join(group, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
+    unsettled = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
+    members = stored(placed.join(unsettled, "hub", "left_semi"), "loose")
+    sized = weighted.select("id", F.length("weighted").alias("n"))
+    load = members.join(sized, "id").groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_BYTES)).alias("blocks"))
+    dealt = members.join(load, "hub").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", "id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = dealt.join(weighted, "id").groupBy("hub", "i", "j")
+    return met.applyInPandas(lambda rows: _between(rows, least), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
     """``id, class_id`` for every row: near duplicates share a class, named by its smallest id.
 
@@ -166,34 +260,30 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     for a class of its own (null) and links nothing. Rows with equal ids are one document, judged by the text
     of the smallest digest.
 
-    No bucket makes all its pairs. In each band bucket every member meets one hub, another one in each
-    band; hubs that verify link most of a group. What is left is exact too: members of one bucket whose
-    components still differ meet each other, and components are taken again.
+    No bucket makes all its pairs. In each band bucket every member meets one hub, the member that shares
+    most buckets with others, which is the middle of a group of copies. What is left is exact too: members of one
+    hub's buckets whose components still differ are compared in blocks, inside tasks that return only the
+    links that join something, and components are taken again.
     """
     sketch = stored(_sketch(docs, doc, text, shingle, bands, rows), "sketch")
     one = sketch.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("key", "bands"), "key").alias("t")).select("id", "t.key", "t.bands")
     distinct = stored(one.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "distinct")
-    member = distinct.select(F.col("rep").alias("id"), "key", F.posexplode("bands").alias("at", "band"))
-    # Four orders of the ids: a group that agrees in many bands meets a few hubs, not one per band.
-    order = F.struct(F.xxhash64(F.col("at") % 4, "id").alias("o"), F.col("id"))
-    hub = member.groupBy("band").agg(F.min(order).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("hub.id").alias("hub"))
-    shared = stored(member.drop("at").join(hub, "band"), "buckets")
+    member = distinct.select(F.col("rep").alias("id"), "key", F.explode("bands").alias("band"))
+    filled = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    meeting = stored(member.join(filled, "band"), "buckets")
+    standing = meeting.join(meeting.groupBy("id").agg(F.sum("n").alias("met")), "id")
+    hub = standing.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("m"), F.col("id"))).alias("h")).select("band", F.col("h.id").alias("hub"))
+    shared = stored(meeting.join(hub, "band").select("band", "id", "key", "hub"), "hubs")
     stars = stored(shared.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "stars")
     texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = shared.select("id", "key").distinct()
-    own = _shingles(texts.join(wanted.select("id"), "id", "left_semi"), shingle).join(wanted, ["id", "key"], "left_semi")
+    own = _shingles(texts.join(wanted.select("id").hint("merge"), "id", "left_semi"), shingle).join(wanted, ["id", "key"], "left_semi")
     weighted = stored(own.dropDuplicates(["id"]).drop("key"), "weighted")
     links = stored(_verified(stars, weighted, least), "links")
     group = components(links)
-    placed = shared.join(group, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    unsettled = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    loose = stored(placed.join(unsettled, "band", "left_semi"), "loose")
-    x = loose.select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = loose.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(stored(rest, "rest"), weighted, least)
+    more = _loose_links(shared, group, weighted, least)
     copies = one.select("id", "key").join(distinct.select("key", "rep"), "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.union(more).union(copies)).withColumnRenamed("component", "class_id")
+    final = components(stored(links.union(more).union(copies), "all-links")).withColumnRenamed("component", "class_id")
     return sketch.select("id").join(final.withColumnRenamed("component", "class_id"), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 

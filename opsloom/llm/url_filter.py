@@ -58,7 +58,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         met = expressions.join(F.broadcast(lookup), "short")
     else:
         salted = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)))
-        met = salted.join(lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["short", "salt"])
+        met = salted.join(lookup.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["short", "salt"])
     best = met.filter("d = full").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("v"))).alias("best"))
     best = best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best.rule").alias("__rule"), F.col("best.v").alias("__verdict"))
     on = (parts[host_name] == best["__h"]) & (parts[path_name] == best["__p"])

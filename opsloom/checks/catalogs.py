@@ -179,14 +179,6 @@ def catalog_ambiguous(spark, sf):
     return B.ambiguous_match(T.items(spark, sf), T.catalog(spark, sf)).select("id", "cat_id", "ambiguous")
 
 
-@REG.query("title_block_ratio")
-def title_block_ratio(spark, sf):
-    """Every item's title against its own entry's, by matching blocks."""
-    i = T.items(spark, sf).select("id", X.norm_key(F.col("title")).alias("a"), F.substring("id", 2, 20).cast("long").alias("cat_id"))
-    c = T.catalog(spark, sf).select("cat_id", X.norm_key(F.col("title")).alias("b"))
-    return i.join(c, "cat_id").select("id", F.round(X.block_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
-
-
 def path_key_sql(x: str) -> str:
     return norm_key_sql(f"replace(regexp_replace(replace({x},'\\','/'),'^[/ ]+|[/ ]+$','','g'),'/',' ')")
 
@@ -266,7 +258,7 @@ def infer_from_path(spark, sf):
 
 @REG.query("group_files")
 def group_files(spark, sf):
-    return B.group_files(T.audio_files(spark, sf))
+    return B.group_files(T.audio_files(spark, sf).select("path", "album"))
 
 
 def plain_books(spark, sf):
@@ -351,7 +343,7 @@ def plan_accounting(spark, sf):
     return B.plan_accounting(planned(spark, sf))
 
 
-@REG.query("natural_sort", f"""WITH {TITLES} SELECT k, array_to_string(list_transform(regexp_extract_all(lower(raw),'(\\d+|\\D+)'), lambda r: CASE WHEN regexp_matches(r,'^\\d') THEN lpad(CAST(CAST(r AS HUGEINT) AS VARCHAR),20,'0') ELSE r END),'') AS key FROM ti""")
+@REG.query("natural_sort", f"""WITH {TITLES} SELECT k, array_to_string(list_transform(regexp_extract_all(lower(raw),'(\\d+|\\D+)'), lambda r: CASE WHEN regexp_matches(r,'^\\d') THEN lpad(CAST(length(CASE WHEN ltrim(r,'0')='' THEN '0' ELSE ltrim(r,'0') END) AS VARCHAR),6,'0')||CASE WHEN ltrim(r,'0')='' THEN '0' ELSE ltrim(r,'0') END ELSE r END),'') AS key FROM ti""")
 def natural_sort(spark, sf):
     return title_rows(spark, sf).select("k", X.natural_key(F.col("raw")).alias("key"))
 

@@ -42,10 +42,12 @@ def compare(spark, con, folder, fn, sql):
     """Return (ok, message, spark seconds, sql seconds)."""
     t0 = time.time()
     df = fn(spark, folder)
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        return False, f"repeated columns {df.columns}", 0.0, 0.0
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     if sql is None:
-        return True, f"rows={len(got[1])} (no SQL)", t1 - t0, 0.0
+        return bool(got[1]), f"rows={len(got[1])} (no SQL)", t1 - t0, 0.0
     cur = con.execute(sql)
     want = canonical([d[0] for d in cur.description], cur.fetchall())
     t2 = time.time()
@@ -56,4 +58,4 @@ def compare(spark, con, folder, fn, sql):
         msg = (f"rows {len(got[1])} vs {len(want[1])}\n   only spark: {sorted(a - b)[:3]}"
                f"\n   only sql:   {sorted(b - a)[:3]}\n   columns {got[0]}")
         return False, msg, t1 - t0, t2 - t1
-    return True, f"rows={len(got[1])}", t1 - t0, t2 - t1
+    return bool(got[1]), f"rows={len(got[1])}", t1 - t0, t2 - t1

@@ -29,7 +29,7 @@ raw AS (SELECT *, 'new-'||account_id AS import_id, trim(regexp_replace(upper(des
 oldraw AS (SELECT * REPLACE ('old-'||account_id AS import_id) FROM raw WHERE line_no%3=0),
 fp0 AS (SELECT *, row_number() OVER (PARTITION BY import_id, account_id, date, amount_cents, norm ORDER BY line_no)-1 AS occurrence
  FROM (SELECT * FROM raw UNION ALL SELECT * FROM oldraw)),
-fp AS (SELECT *, sha256(account_id||'|'||strftime(date,'%Y-%m-%d')||'|'||CAST(amount_cents AS VARCHAR)||'|'||left(regexp_replace(norm,'[^A-Z0-9]','','g'),40)||'|'||CAST(occurrence AS VARCHAR)) AS fingerprint FROM fp0),
+fp AS (SELECT *, sha256(account_id||'|'||strftime(date,'%Y-%m-%d')||'|'||CAST(amount_cents AS VARCHAR)||'|'||regexp_replace(norm,'[^A-Z0-9]','','g')||'|'||CAST(occurrence AS VARCHAR)) AS fingerprint FROM fp0),
 st AS (SELECT * FROM fp WHERE import_id LIKE 'new-%'), tx AS (SELECT * FROM fp WHERE import_id LIKE 'old-%')
 """
 WITH_FP = f"WITH {CHARGES}, {FP}"

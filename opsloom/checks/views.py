@@ -52,7 +52,7 @@ v_run AS (
   CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total
  FROM events),
 v_counters AS (
- SELECT switch, port, t, sample, total%65536 AS rx_ok, (total*3)%65536 AS tx_ok, total%7 AS rx_err, total%5 AS tx_err,
+ SELECT switch, port, t, sample, (total*65537)%4294967296 AS rx_ok, (total*3*65537)%4294967296 AS tx_ok, total%7 AS rx_err, total%5 AS tx_err,
   step%11<>0 AS admin, step%4<>0 AS link, 16 AS bits FROM v_run)
 """
 PROBES = """

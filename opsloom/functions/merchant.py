@@ -21,7 +21,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def _capitalized(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
 
 
 def brand(text: Column) -> Column:

@@ -2,10 +2,8 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,17 +175,6 @@ def sequence_ratio(a: Column, b: Column) -> Column:
             .otherwise((total - F.levenshtein(a, b)) * F.lit(100.0) / total))
 
 
-def block_ratio(a: Column, b: Column) -> Column:
-    """Share of the joint length in matching blocks, for callers who want that measure instead of edit distance.
-
-    The block search has no column expression; it runs on Arrow batches inside the tasks.
-    """
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([100.0 * SequenceMatcher(None, x or "", y or "").ratio() if x and y else 0.0 for x, y in zip(left, right)])
-    return ratio(a, b)
-
-
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Likeness of the word sets: 100 when one holds the other, else the best of common part and both sides."""
     join = lambda x: F.array_join(x, " ")
@@ -238,9 +225,12 @@ def match_score(hint_title: Column, hint_author: Column, title: Column, author:
 # --- file and folder names -------------------------------------------------------------------------------------------
 
 def natural_key(text: Column) -> Column:
-    """Sort key with every digit run padded, so "Part 2" comes before "Part 10"."""
+    """Sort key with the length of every digit run before it, so "Part 2" comes before "Part 10", however long the runs."""
+    def sized(run: Column) -> Column:
+        return let(F.regexp_replace(run, "^0+(?=\\d)", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 6, "0"), d))
+
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, "^0+(?=\\d)", ""), 20, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), sized(r)).otherwise(r)), "")
 
 
 def safe_name(text: Column, max_length: int = 120) -> Column:

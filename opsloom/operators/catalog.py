@@ -207,7 +207,6 @@ def rank_sources(filled: DataFrame) -> DataFrame:
 
 # --- folders and files ---------------------------------------------------------------------------------------------------
 
-DISC_FOLDER = r"(?i)^(cd|disc|disk|part|pt)[\s._-]*\d+$"
 FORMAT_FOLDER = r"(?i)^(m4b|m4a|mp4|mp3|flac|ogg|opus|audio|hi-?res|unabridged|abridged)$"
 CHAPTER_WORD = r"(?i)\b(chapter|track|episode|section|prologue|epilogue|credits|disc|disk)\b"
 PART_TOKEN = r"(?i)[\s._-]*\b(part|pt|cd|disc|disk)\s*\d+\b"
@@ -266,7 +265,11 @@ def group_files(files: DataFrame) -> DataFrame:
     all share a base, whether volume numbers are all different), so folders are aggregated, never listed:
     distinct album tags split first; chapter wording, a shared tail, "03-17" names, part tokens or a gapless run
     of trailing numbers keep one book; distinct volumes with book words, one-file formats or distinct titles split.
+    A given column named like an added one is refused.
     """
+    clash = {c.lower() for c in files.columns} & {"folder", "rule", "book"}
+    if clash:
+        raise ValueError(f"files already have {sorted(clash)}")
     name = name_of(F.col("path"))
     stem = F.regexp_replace("__name", r"(?<=.)\.[^.]*$", "")
     f = files.withColumn("folder", book_folder(F.col("path"))).withColumn("__name", name).withColumn("__stem", stem)

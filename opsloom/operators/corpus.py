@@ -133,13 +133,15 @@ def distinct_content(docs: DataFrame, content: str = "text") -> DataFrame:
 
 
 def _flags(text: Column, rules: Sequence[FindRule]) -> tuple[Column, Column]:
-    """Arrays of rule ordinals: exact hits, and near misses (other case only; never for regex rules)."""
+    """Arrays of rule ordinals: exact hits, and near misses (other case only; never for regex rules).
+
+    Near misses are what matches in any letter case and is no exact hit, so no pattern runs twice for one flag.
+    """
     lower = F.lower(text)
     exact = F.array_compact(F.array(*[F.when(r.found(text), F.lit(i)) for i, r in enumerate(rules)]))
-    near = F.array_compact(F.array(*[
-        F.when(~r.found(text) & r.found_any_case(text, lower), F.lit(i)) if r.kind != "regex" else F.lit(None).cast("int")
-        for i, r in enumerate(rules)]))
-    return exact, near
+    other = [F.when(r.found_any_case(text, lower), F.lit(i)) for i, r in enumerate(rules) if r.kind != "regex"]
+    any_case = F.array_compact(F.array(*other)) if other else F.array().cast("array<int>")
+    return exact, F.array_except(any_case, exact)
 
 
 def scan_items(docs: DataFrame, rules: Sequence[FindRule]) -> DataFrame:

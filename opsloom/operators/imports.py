@@ -31,7 +31,7 @@ def _scope(df: DataFrame) -> list[str]:
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """Add ``occurrence`` (0-based repeat of account, date, cents and normalised text in file order) and
-    ``fingerprint`` (account, date, cents, first 40 letters and digits of the text, occurrence).
+    ``fingerprint`` (account, date, cents, all letters and digits of the text, occurrence).
 
     Copies of one row may be a large share of a file, so repeats are counted in blocks of lines.
     """
@@ -40,9 +40,9 @@ def fingerprint(rows: DataFrame) -> DataFrame:
         "__block", F.floor(F.col("line_no") / LINES_PER_BLOCK))
     keys = [*per_file, *_scope(rows), "date", "amount_cents", "__text"]
     seen = running_sum(norm, keys, "__block", ["line_no"], F.lit(1), "__nth").withColumn("occurrence", F.col("__nth") - 1)
-    short = F.substring(F.regexp_replace("__text", "[^A-Z0-9]", ""), 1, 40)
+    letters = F.regexp_replace("__text", "[^A-Z0-9]", "")
     key = F.concat_ws("|", F.col("account_id"), F.date_format("date", "yyyy-MM-dd"), F.col("amount_cents").cast("string"),
-                      short, F.col("occurrence").cast("string"))
+                      letters, F.col("occurrence").cast("string"))
     return seen.withColumn("fingerprint", F.when(F.col("date").isNotNull() & F.col("amount_cents").isNotNull(), F.sha2(key, 256))
                            ).drop("__text", "__block", "__nth")
 

@@ -37,8 +37,8 @@ def parse_port_stats(raw: DataFrame) -> DataFrame:
 
 
 def delta(new: Column, old: Column, bits: Column) -> Column:
-    """new - old; a fall is one wrap of a 32- or 64-bit counter (16 too), unknown for any other width."""
-    wrapped = F.when(bits.isin(16, 32), new - old + F.pow(F.lit(2.0), bits).cast(COUNTER)).when(
+    """new - old; a fall is one wrap of a 32- or 64-bit counter, unknown for any other width."""
+    wrapped = F.when(bits == 32, new - old + F.lit(1 << 32).cast(COUNTER)).when(
         bits == 64, new - old + F.lit("18446744073709551616").cast("decimal(21,0)"))
     return F.when(new.isNull() | old.isNull(), None).when(new >= old, new - old).otherwise(wrapped).cast(COUNTER)
 

@@ -3,14 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.numbers import floor_quotient, pct, quotient, rounded_ratio
 from opsloom.operators.summaries import month_bounds, month_of, period
 
-MAX_MONTHS = 600
 
 
 def budget_status(ledger: DataFrame, budgets: DataFrame, month: str) -> DataFrame:
@@ -70,61 +68,3 @@ def goal_progress(goals: DataFrame, today: Column) -> DataFrame:
         "goal_id", "kind", "target_cents", "current_cents", left.alias("remaining_cents"),
         pct(F.col("current_cents"), F.col("target_cents")).alias("progress_pct"), F.when(ahead, months).alias("months_left"),
         F.when(ahead, -floor_quotient(-left, months.cast("long"))).alias("required_monthly_cents"))
-
-
-def _even(num: int, den: int) -> int:
-    """num / den to the nearest integer, ties to even."""
-    q, r = divmod(num, den)
-    return q + (1 if 2 * r > den or (2 * r == den and q % 2) else 0)
-
-
-def _payoff(household: pd.DataFrame, extra: int, strategy: str) -> list[dict]:
-    debts = household.sort_values("debt_id").to_dict("records")
-    first = [_even(d["balance_cents"] * d["apr_bps"], 120_000) for d in debts]
-    if extra <= 0 and any(d["min_payment_cents"] <= i for d, i in zip(debts, first)):
-        return [{"debt_id": d["debt_id"], "feasible": False, "months": None, "interest_cents": None} for d in debts]
-    owed = [int(d["balance_cents"]) for d in debts]
-    interest, done = [0] * len(debts), [None] * len(debts)
-    pool = sum(d["min_payment_cents"] for d in debts) + extra
-    for month in range(1, MAX_MONTHS + 1):
-        for k, d in enumerate(debts):
-            added = _even(owed[k] * d["apr_bps"], 120_000) if owed[k] > 0 else 0
-            owed[k] += added
-            interest[k] += added
-        left = pool
-        for k, d in enumerate(debts):
-            paid = min(d["min_payment_cents"], owed[k], left)
-            owed[k] -= paid
-            left -= paid
-        rank = [k for k in range(len(debts)) if owed[k] > 0]
-        rank.sort(key=lambda k: (-debts[k]["apr_bps"], owed[k]) if strategy == "avalanche" else (owed[k], -debts[k]["apr_bps"]))
-        for k in rank:
-            paid = min(left, owed[k])
-            owed[k] -= paid
-            left -= paid
-        done = [m or (month if o <= 0 else None) for m, o in zip(done, owed)]
-        if all(o <= 0 for o in owed):
-            break
-    feasible = all(o <= 0 for o in owed)
-    return [{"debt_id": d["debt_id"], "feasible": feasible, "months": done[k], "interest_cents": interest[k]} for k, d in enumerate(debts)]
-
-
-def debt_payoff(debts: DataFrame, extra_cents: int = 0, strategy: str = "avalanche") -> DataFrame:
-    """Month of payoff and interest per debt (household, debt_id, balance_cents, apr_bps, min_payment_cents).
-
-    Minimums first, the rest of the household's budget by highest rate (avalanche) or smallest balance
-    (snowball); month after month, at most 600. The state couples all debts of a household, so one household
-    (a handful of rows) is one group.
-    """
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_payoff(pdf, extra_cents, strategy)).astype({"months": "Int64", "interest_cents": "Int64"})
-        out.insert(0, "household", pdf["household"].iloc[0])
-        return out
-    kind = dict(debts.dtypes)
-    return debts.groupBy("household").applyInPandas(
-        solve, f"household {kind['household']}, debt_id {kind['debt_id']}, feasible boolean, months bigint, interest_cents bigint")
-
-
-def payoff_totals(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("household").agg(F.min("feasible").alias("feasible"), F.max("months").alias("months"),
-                                         F.sum("interest_cents").alias("total_interest_cents"))

@@ -49,7 +49,7 @@ def route_intent(question: Column, names_entity: Column) -> Column:
     def route(q: Column) -> Column:
         return F.coalesce(F.when(names_entity & occurs(q, SPEND, True), F.lit("spend")), first_match(q, INTENTS),
                           F.when(occurs(q, OVERVIEW, True), F.lit("overview")), F.lit("help"))
-    return let(F.lower(F.substring(F.trim(question), 1, 500)), route)
+    return let(F.lower(F.trim(question)), route)
 
 
 def extract_period(questions: DataFrame, today: Column, latest: Column) -> DataFrame:

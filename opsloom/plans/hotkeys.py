@@ -13,43 +13,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str], bucket: str, names: Sequence[str]) -> DataFrame:
-    renamed = carry.select(*[F.col(k).alias(f"__k_{k}") for k in (*keys, bucket)], *names)
-    cond = None
-    for k in (*keys, bucket):
-        c = df[k].eqNullSafe(renamed[f"__k_{k}"])
-        cond = c if cond is None else cond & c
-    return df.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in (*keys, bucket)])
+KEY = "__key"
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Add the key and bucket as one struct. Windows, sums and the join back all go by this one column, nulls
+    included, so the rows are exchanged once and only the small summary moves again."""
+    return df.withColumn(KEY, F.struct(*[F.col(c) for c in dict.fromkeys([*keys, bucket])]))
+
+
+def _attach(df: DataFrame, carry: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.join(carry.select(KEY, *names), KEY, "left")
+
+
+def _within(keys: Sequence[str], order: Sequence[str]):
+    """Buckets of one key in order."""
+    parts = [F.col(KEY)[k] for k in keys] or [F.lit(0)]
+    return Window.partitionBy(*parts).orderBy(*[F.col(KEY)[c] for c in order])
 
 
 def lag_over(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Add, per output name, the value of the previous row of the key (null on the first)."""
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    rank = F.struct(*order)
-    base = df.withColumn("__v", packed)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = base.withColumn("__lag_local", F.lag("__v").over(inside))
-    last = base.groupBy(*keys, bucket).agg(F.max_by("__v", rank).alias("__last"))
-    across = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.partitionBy(F.lit(0)).orderBy(bucket)
-    carry = last.withColumn("__carry", F.lag("__last").over(across)).drop("__last")
-    out = _attach(local, carry, keys, bucket, ["__carry"])
+    base = _keyed(df.withColumn("__v", packed), keys, bucket)
+    local = base.withColumn("__lag_local", F.lag("__v").over(Window.partitionBy(KEY).orderBy(*order)))
+    last = base.groupBy(KEY).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+    carry = last.withColumn("__carry", F.lag("__last").over(_within(keys, [bucket]))).drop("__last")
+    out = _attach(local, carry, ["__carry"])
     before = F.coalesce("__lag_local", "__carry")
     for n in values:
         out = out.withColumn(n, before[n])
-    return out.drop("__v", "__lag_local", "__carry")
+    return out.drop("__v", "__lag_local", "__carry", KEY)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Add the inclusive running sum of ``value`` in key order."""
-    base = df.withColumn("__x", value)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = _keyed(df.withColumn("__x", value), keys, bucket)
+    inside = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__run", F.sum("__x").over(inside))
-    totals = base.groupBy(*keys, bucket).agg(F.sum("__x").alias("__tot"))
-    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(bucket)
-    carry = totals.withColumn(
-        "__off", F.coalesce(F.sum("__tot").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__tot")
-    out = _attach(local, carry, keys, bucket, ["__off"])
-    return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__x", "__run", "__off")
+    totals = base.groupBy(KEY).agg(F.sum("__x").alias("__tot"))
+    across = _within(keys, [bucket]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(across), F.lit(0))).drop("__tot")
+    out = _attach(local, carry, ["__off"])
+    return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__x", "__run", "__off", KEY)
 
 
 def sessions_over(df: DataFrame, keys: Sequence[str], bucket: str, order: str, gap: int, name: str) -> DataFrame:
@@ -57,18 +63,17 @@ def sessions_over(df: DataFrame, keys: Sequence[str], bucket: str, order: str, g
 
     One summary row per (key, bucket) holds the first and last value and how many sessions start inside.
     """
-    inside = Window.partitionBy(*keys, bucket).orderBy(order)
+    inside = Window.partitionBy(KEY).orderBy(order)
     jump = F.coalesce((F.col(order) - F.lag(order).over(inside) > gap).cast("int"), F.lit(0))
-    local = df.withColumn("__n", jump).withColumn("__run", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = local.groupBy(*keys, bucket).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), F.sum("__n").alias("__starts"))
-    across = Window.partitionBy(*keys).orderBy(bucket)
+    local = _keyed(df, keys, bucket).withColumn("__n", jump).withColumn("__run", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(KEY).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), F.sum("__n").alias("__starts"))
+    across = _within(keys, [bucket])
     before = F.lag("__last").over(across)
     opens = (before.isNull() | (F.col("__first") - before > gap)).cast("int")
-    carry = ends.withColumn("__opens", opens).withColumn(
-        "__off", F.sum(F.col("__starts") + F.col("__opens")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__starts")).select(
-        *keys, bucket, "__off")
-    out = _attach(local, carry, keys, bucket, ["__off"])
-    return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__n", "__run", "__off")
+    started = F.sum(F.col("__starts") + F.col("__opens")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__starts")
+    carry = ends.withColumn("__opens", opens).withColumn("__off", started)
+    out = _attach(local, carry, ["__off"])
+    return out.withColumn(name, F.col("__off") + F.col("__run")).drop("__n", "__run", "__off", KEY)
 
 
 def recent_counts(df: DataFrame, keys: Sequence[str], second: str, span: int, name: str) -> DataFrame:
@@ -78,15 +83,13 @@ def recent_counts(df: DataFrame, keys: Sequence[str], second: str, span: int, na
     Rows are first counted per second, so a window partition holds at most ``2 * span`` rows however hot
     the key is: each second goes to its own block and, as history, to the next one.
     """
-    per_second = df.groupBy(*keys, second).agg(F.count("*").alias("__n"))
-    block = F.floor(F.col(second) / span)
+    keyed = _keyed(df, keys, second)
+    per_second = keyed.groupBy(KEY).agg(F.count("*").alias("__n"))
+    block = F.floor(F.col(KEY)[second] / span)
     placed = per_second.withColumn("__own", block).withColumn("__block", F.explode(F.array(block, block + 1)))
-    w = Window.partitionBy(*keys, "__block").orderBy(second).rangeBetween(-span, -1)
-    counted = (
-        placed.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)))
-        .filter(F.col("__own") == F.col("__block")).select(*keys, second, name)
-    )
-    return _attach(df, counted, keys, second, [name])
+    w = Window.partitionBy(*[F.col(KEY)[k] for k in keys], "__block").orderBy(F.col(KEY)[second]).rangeBetween(-span, -1)
+    counted = placed.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0))).filter(F.col("__own") == F.col("__block"))
+    return _attach(keyed, counted, [name]).drop(KEY)
 
 
 def value_at_rank(df: DataFrame, column: str, rank: Column, grain: int, by: Sequence[str] = ()) -> DataFrame:

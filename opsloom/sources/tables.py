@@ -113,8 +113,11 @@ def log_events(spark: SparkSession, folder: str) -> DataFrame:
         text_of(F.col("event_type"), " k=", k, " from 10.0.0.", (F.col("user_id") % 8).cast("string")).alias("message"))
 
 
-def counters(spark: SparkSession, folder: str, bits: int = 16) -> DataFrame:
-    """One counter per (user, type): the running total of the values, wrapped at ``2 ** bits``."""
+def counters(spark: SparkSession, folder: str, bits: int = 32) -> DataFrame:
+    """One counter per (user, type): the running total of the values, wrapped at ``2 ** bits``; 32 bits with large steps, so that some wrap.
+
+    Every fifth switch says that its counters have 16 bits, a width whose wrap is not known.
+    """
     from opsloom.plans.hotkeys import running_sum
 
     ev = table(spark, folder, "events").select(
@@ -123,12 +126,12 @@ def counters(spark: SparkSession, folder: str, bits: int = 16) -> DataFrame:
     run = running_sum(ev, ["switch", "port"], "day", ["ts", "event_id"], F.col("step"), "total")
     return run.select(
         "switch", "port", F.col("ts").alias("t"), F.col("event_id").alias("sample"), "day",
-        (F.col("total") % (1 << bits)).cast("decimal(20,0)").alias("rx_ok"),
-        ((F.col("total") * 3) % (1 << bits)).cast("decimal(20,0)").alias("tx_ok"),
+        (F.col("total") * (65537 if bits == 32 else 1) % (1 << bits)).cast("decimal(20,0)").alias("rx_ok"),
+        (F.col("total") * (3 * 65537 if bits == 32 else 3) % (1 << bits)).cast("decimal(20,0)").alias("tx_ok"),
         (F.col("total") % 7).cast("decimal(20,0)").alias("rx_err"),
         (F.col("total") % 5).cast("decimal(20,0)").alias("tx_err"),
         (F.col("step") % 11 != 0).alias("admin"), (F.col("step") % 4 != 0).alias("link"),
-        F.lit(bits).alias("bits"))
+        F.when(F.col("switch") % 5 == 0, 16).otherwise(bits).alias("bits"))
 
 
 def probes(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,14 +232,6 @@ def plan_categories(spark: SparkSession) -> DataFrame:
         ('Utilities', 'Utilities', 'Utilities', true) AS t(id, name, group, essential)""")
 
 
-def debts(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as debts, one household per nation."""
-    k = F.col("s_suppkey")
-    return table(spark, folder, "supplier").select(
-        F.col("s_nationkey").alias("household"), k.alias("debt_id"), (F.abs(cents(F.col("s_acctbal"))) + 1000).alias("balance_cents"),
-        (500 + (k % 20) * 100).cast("int").alias("apr_bps"), (2500 + (k % 7) * 3000).alias("min_payment_cents"))
-
-
 ASKED = [
     "How much did I spend on dining in March?", "What are my subscriptions?", "Any unusual spending last month?",
     "What's my savings rate this year?", "Compare April 2024 vs the month before", "Top merchants last 3 months",

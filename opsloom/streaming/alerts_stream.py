@@ -17,7 +17,7 @@ from opsloom.operators.alerts import Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NOTES = "signature string, kind string, at bigint, count bigint, message string"
-STATE = "first_seen bigint, last_seen bigint, last_sent bigint, held bigint, escalated boolean, message string"
+STATE = "first_seen bigint, last_seen bigint, last_sent bigint, held bigint, escalated boolean, message string, after bigint"
 
 
 def read_log_stream(spark: SparkSession, path: str, lateness: str = "20 minutes", files_per_trigger: int = 1000) -> DataFrame:
@@ -46,17 +46,20 @@ class SuppressProcessor(StatefulProcessor):
         self.state = handle.getValueState("alert", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = last = sent = None
+        first = last = sent = after = known = None
         held, escalated, message = 0, False, ""
         if self.state.exists():
-            first, last, sent, held, escalated, message = self.state.get()
-        out, after = [], None
+            first, last, sent, held, escalated, message, after = self.state.get()
+            known = last
+        out = []
         batch = pd.concat(list(rows), ignore_index=True).sort_values("sec", kind="stable")
         for sec, text, window, escalate in batch[["sec", "message", "window_s", "escalate_s"]].itertuples(index=False, name=None):
             sec, message = int(sec), text
-            after = None if pd.isna(escalate) else int(escalate)
             if last is None or sec - last > self.grace_s:
+                if after is not None and not escalated:
+                    self.handle.deleteTimer((first + after) * 1000)
                 first, sent, held, escalated = sec, None, 0, False
+                after = None if pd.isna(escalate) else int(escalate)
                 if after is not None:
                     self.handle.registerTimer((sec + after) * 1000)
             last = sec if last is None else max(last, sec)
@@ -65,7 +68,9 @@ class SuppressProcessor(StatefulProcessor):
                 sent, held = sec, 0
             else:
                 held += 1
-        self.state.update((first, last, sent, held, escalated, message))
+        self.state.update((first, last, sent, held, escalated, message, after))
+        if known is not None:
+            self.handle.deleteTimer(known * 1000 + self.keep_ms)
         self.handle.registerTimer(last * 1000 + self.keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["signature", "kind", "at", "count", "message"])
@@ -74,11 +79,11 @@ class SuppressProcessor(StatefulProcessor):
         if not self.state.exists():
             return
         at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        first, last, sent, held, escalated, message = self.state.get()
+        first, last, sent, held, escalated, message, after = self.state.get()
         if at >= last + self.keep_ms // 1000:
             self.state.clear()
-        elif not escalated and at - last <= self.grace_s and at > first:
-            self.state.update((first, last, sent, held, True, message))
+        elif not escalated and at - last <= self.grace_s and after is not None and at >= first + after:
+            self.state.update((first, last, sent, held, True, message, after))
             yield pd.DataFrame([(key[0], "escalate", at, held, message)], columns=["signature", "kind", "at", "count", "message"])
 
     def close(self) -> None:

@@ -163,22 +163,6 @@ def test_planning(ledger, cats, spark):
     assert avg.months_used == ["2026-01", "2026-02", "2026-03"] and avg.essential_avg_cents == 165000 + 8734 + 4210 + 11240
 
 
-def test_debt_payoff(spark):
-    debts = spark.createDataFrame([("h", 1, 100000, 1200, 10000), ("h", 2, 30000, 2499, 2500), ("bad", 1, 1000000, 2400, 1000)],
-                                  "household string, debt_id int, balance_cents long, apr_bps int, min_payment_cents long")
-    bal, months, interest = 100000, 0, 0
-    while bal > 0:
-        months += 1
-        i = round(bal * 1200 / 10000 / 12)
-        interest += i
-        bal = max(0, bal + i - 10000)
-    single = P.debt_payoff(debts.filter("debt_id = 1 AND household = 'h'")).first()
-    assert (single.months, single.interest_cents) == (months, interest)
-    totals = {s: {r.household: r for r in P.payoff_totals(P.debt_payoff(debts, 0 if s == "min" else 5000, "snowball" if s == "snow" else "avalanche")).collect()} for s in ("aval", "snow", "min")}
-    assert totals["aval"]["h"].total_interest_cents <= totals["snow"]["h"].total_interest_cents
-    assert totals["aval"]["h"].months < totals["min"]["h"].months and not totals["min"]["bad"].feasible
-
-
 def staged(spark, rows, name):
     data = [(name, "a1", i + 1, d, t, c) for i, (d, t, c) in enumerate(rows)]
     return I.fingerprint(spark.createDataFrame(data, "import_id string, account_id string, line_no long, date date, description string, amount_cents long")).withColumn("id", F.concat("import_id", F.col("line_no").cast("string")))

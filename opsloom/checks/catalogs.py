@@ -401,9 +401,14 @@ def library_store_url(spark, sf):
     return G.store_url(T.games(spark, sf)).select("id", "store_url")
 
 
-@REG.query("library_filter", f"WITH {GAMES} SELECT id FROM gs WHERE contains(lower(name),'b') AND st IN ('Steam') AND id%2=0 AND sec>0 AND contains(lower(feat),'single') AND stars>=1")
+@REG.query("library_filter", f"WITH {GAMES} SELECT id FROM gs WHERE st IN ('Steam') AND contains(lower(feat),'single') AND stars>=1")
 def library_filter(spark, sf):
-    return G.filter_library(T.games(spark, sf), name="B", store="Steam", installed=True, played=True, mode="single", min_stars=1).select("id")
+    return G.filter_library(T.games(spark, sf), store="Steam", mode="single", min_stars=1).select("id")
+
+
+@REG.query("library_filter_played", f"WITH {GAMES} SELECT id FROM gs WHERE contains(lower(name),'b') AND st IN ('Steam') AND id%2=0 AND sec>0")
+def library_filter_played(spark, sf):
+    return G.filter_library(T.games(spark, sf), name="B", store="Steam", installed=True, played=True).select("id")
 
 
 @REG.query("library_sort", f"WITH {GAMES}, o AS (SELECT id, row_number() OVER (ORDER BY rating DESC NULLS LAST, id) AS n FROM gs) SELECT id FROM o WHERE n<=300")

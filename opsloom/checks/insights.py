@@ -129,17 +129,18 @@ SUB_EXP = f"""WITH {SUBS}, ex AS (SELECT *, -amount_cents AS cents FROM v_sub WH
 
 
 def larger_openings(spark, sf):
-    """The subscription series, prices times 40, so that some first charges are large."""
-    return T.subscriptions(spark, sf).withColumn("amount_cents", F.col("amount_cents") * 40)
+    """The subscription series with some merchants' prices times 400, so that their first charges are large."""
+    large = F.substring("merchant", -2, 2).isin("00", "50")
+    return T.subscriptions(spark, sf).withColumn("amount_cents", F.when(large, F.col("amount_cents") * 400).otherwise(F.col("amount_cents")))
 
 
-@REG.query("new_large_merchants", SUB_EXP.format(days=3000) + """,
-e2 AS (SELECT * REPLACE (cents*40 AS cents) FROM ex),
+@REG.query("new_large_merchants", SUB_EXP.format(days=20000) + """,
+e2 AS (SELECT * REPLACE (CASE WHEN right(merchant,2) IN ('00','50') THEN cents*400 ELSE cents END AS cents) FROM ex),
 p AS (SELECT cents AS p95 FROM (SELECT cents, row_number() OVER (ORDER BY cents)-1 AS r, count(*) OVER () AS n FROM e2) WHERE r=CAST(floor(n*0.95::DOUBLE) AS BIGINT) AND n>=20)
 SELECT t.id, t.date, t.merchant, t.cents AS amount_cents, p95 AS p95_cents FROM e2 t, p WHERE t.date>=(SELECT start FROM st)
  AND NOT EXISTS (SELECT 1 FROM e2 h WHERE h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date) AND t.cents>=greatest(p95,20000)""")
 def new_large_merchants(spark, sf):
-    return A.new_large_merchants(larger_openings(spark, sf), 3000)
+    return A.new_large_merchants(larger_openings(spark, sf), 20000)
 
 
 @REG.query("duplicate_charges", f"""WITH {LEDGER}, r AS (SELECT id, date, merchant, -amount_cents//1000000 AS amount_cents, account_id FROM v_ledger WHERE direction='expense' AND amount_cents<0 AND date>=(SELECT max(date)-400 FROM v_ledger)),

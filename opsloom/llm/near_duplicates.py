@@ -100,7 +100,7 @@ def word_digest(found: list[bytes]) -> bytes | None:
 def _sketch(docs: DataFrame, doc: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
     """``id, key, bands`` of every row: a digest of the words in order, and the band keys (null without words)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, keys, flat, weights, starts, at = batch.column(0), [], [], [], [0], []
             for i, body in enumerate(as_bytes(batch.column(1))):
                 found = words(body)
@@ -124,7 +124,7 @@ def _sketch(docs: DataFrame, doc: str, text: str, shingle: int, bands: int, rows
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
     """``id, key, weighted``: the sorted distinct shingles of a text, packed, and their counts where one is above 1."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             out, keys = [], []
             for body in as_bytes(batch.column(1)):
                 found = words(body)
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
 
 
 #: Members and bytes of shingles in a block of a hub's group.
-BLOCK_MEMBERS, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 4096
+BLOCK_MEMBERS, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 2048
 
 
 def _between(group: pd.DataFrame, least: float) -> pd.DataFrame:

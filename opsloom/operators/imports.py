@@ -29,10 +29,11 @@ def _scope(df: DataFrame) -> list[str]:
     return [c for c in ("user_id", "account_id") if c in df.columns]
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
+def fingerprint(rows: DataFrame, text_chars: int | None = None) -> DataFrame:
     """Add ``occurrence`` (0-based repeat of account, date, cents and normalised text in file order) and
     ``fingerprint`` (account, date, cents, all letters and digits of the text, occurrence).
 
+    ``text_chars`` keeps only that many letters and digits, so that texts which differ later are one row.
     Copies of one row may be a large share of a file, so repeats are counted in blocks of lines.
     """
     per_file = [c for c in ("import_id",) if c in rows.columns]
@@ -41,6 +42,7 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     keys = [*per_file, *_scope(rows), "date", "amount_cents", "__text"]
     seen = running_sum(norm, keys, "__block", ["line_no"], F.lit(1), "__nth").withColumn("occurrence", F.col("__nth") - 1)
     letters = F.regexp_replace("__text", "[^A-Z0-9]", "")
+    letters = letters if text_chars is None else F.substring(letters, 1, text_chars)
     key = F.concat_ws("|", F.col("account_id"), F.date_format("date", "yyyy-MM-dd"), F.col("amount_cents").cast("string"),
                       letters, F.col("occurrence").cast("string"))
     return seen.withColumn("fingerprint", F.when(F.col("date").isNotNull() & F.col("amount_cents").isNotNull(), F.sha2(key, 256))

@@ -180,12 +180,13 @@ def test_repeats_kept_and_overlap_dropped(spark):
     assert I.rollback(committed, ["one"]).count() == 0
 
 
-def test_late_difference_collides(spark):
+def test_late_difference_collides_only_where_the_text_is_cut(spark):
     long = "A" * 40
-    rows = staged(spark, [(dt.date(2026, 1, 1), long + "X", -5), (dt.date(2026, 1, 1), long + "Y", -5)], "c")
-    assert rows.select("fingerprint").distinct().count() == 1 and {r.occurrence for r in rows.collect()} == {0}
-    none = rows.filter("false")
-    assert I.commit_rows(I.flag_duplicates(rows, none), none).count() == 1
+    given = staged(spark, [(dt.date(2026, 1, 1), long + "X", -5), (dt.date(2026, 1, 1), long + "Y", -5)], "c")
+    for rows, kept in ((I.fingerprint(given.drop("occurrence", "fingerprint"), text_chars=40), 1), (given, 2)):
+        assert rows.select("fingerprint").distinct().count() == kept and {r.occurrence for r in rows.collect()} == {0}
+        none = rows.filter("false")
+        assert I.commit_rows(I.flag_duplicates(rows, none), none).count() == kept
 
 
 def test_tree_moves_and_duplicates(spark):

@@ -57,3 +57,21 @@ def test_archive_partitions(spark, folder):
     A.write_archive(ev, str(folder / "arc"), str(folder / "ck4")).awaitTermination()
     back = spark.read.parquet(str(folder / "arc"))
     assert back.count() == 301 and {"y", "m", "d", "host", "h"} <= set(back.columns)
+
+
+def test_an_ended_episode_does_not_escalate_the_next(spark, tmp_path):
+    rules = [Rule("A", ("boom",), escalation_after_s=3600, escalation_group="m")]
+    (tmp_path / "in").mkdir()
+
+    def put(name, seconds, host):
+        lines = [f"{(T0 + dt.timedelta(seconds=s)).isoformat()}|{host}|p|boom" for s in seconds]
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+
+    put("a.log", [0, 100, 3500], "early")
+    put("b.log", range(0, 4200, 600), "long")
+    put("c.log", [86_400], "later")
+    m = A.matched_stream(A.read_log_stream(spark, str(tmp_path / "in")), rules)
+    A.run_available(A.suppress_stream(m, rules), str(tmp_path / "out"), str(tmp_path / "ck"))
+    start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = [(r.signature, r["at"] - start) for r in spark.read.parquet(str(tmp_path / "out")).filter("kind = 'escalate'").collect()]
+    assert [(s.split(":")[1], at) for s, at in got] == [("long", 3600)]

@@ -115,12 +115,15 @@ def recurring_near_misses(spark, sf):
 EXP = f"""WITH {CHARGES}, ex AS (SELECT *, -amount_cents AS cents FROM v_charges WHERE amount_cents<0), st AS (SELECT max(date)-{{days}} AS start FROM v_charges)"""
 
 
-@REG.query("merchant_outliers", EXP.format(days=20) + """,
+OUTLIERS = EXP.format(days=20) + """,
 p AS (SELECT t.id, t.date, t.merchant, t.cents, h.cents AS hc FROM ex t JOIN ex h ON h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date WHERE t.date>=(SELECT start FROM st)),
 m AS (SELECT id, any_value(date) AS date, any_value(merchant) AS merchant, any_value(cents) AS cents, median(hc) AS med, count(*) AS n FROM p GROUP BY id HAVING count(*)>=3),
 d AS (SELECT m.id, median(abs(hc-med)) AS mad FROM m JOIN p USING (id) GROUP BY m.id),
-x AS (SELECT m.*, CASE WHEN mad=0 THEN greatest(med*0.1::DOUBLE,100.0) ELSE mad END AS sp FROM m JOIN d USING (id))
-SELECT id, date, merchant, cents AS amount_cents, CAST(trunc(med) AS BIGINT) AS usual_cents, n AS history_count FROM x WHERE cents>med+4*sp AND cents>med*1.5::DOUBLE AND cents-med>=2000""")
+x AS (SELECT m.*, CASE WHEN mad=0 THEN greatest(med*0.1::DOUBLE,100.0) ELSE mad END AS sp FROM m JOIN d USING (id)),
+o AS (SELECT id, date, merchant, cents AS amount_cents, CAST(trunc(med) AS BIGINT) AS usual_cents, n AS history_count FROM x WHERE cents>med+4*sp AND cents>med*1.5::DOUBLE AND cents-med>=2000)"""
+
+
+@REG.query("merchant_outliers", OUTLIERS + " SELECT * FROM o")
 def merchant_outliers(spark, sf):
     return A.merchant_outliers(T.charges(spark, sf), 20)
 
@@ -165,7 +168,17 @@ def category_spikes(spark, sf):
     return A.category_spikes(rows.withColumn("amount_cents", F.when(grown, F.col("amount_cents") * 90).otherwise(F.col("amount_cents"))))
 
 
-@REG.query("anomalies")
+@REG.query("anomalies", OUTLIERS + """,
+q AS (SELECT cents AS p95 FROM (SELECT cents, row_number() OVER (ORDER BY cents)-1 AS r, count(*) OVER () AS n FROM ex) WHERE r=CAST(floor(n*0.95::DOUBLE) AS BIGINT) AND n>=20),
+l AS (SELECT *, lag(date) OVER w AS other_date, lag(account_id) OVER w AS oa FROM ex WHERE date>=(SELECT start FROM st) AND cents>=2000 WINDOW w AS (PARTITION BY merchant, cents ORDER BY date, id)),
+mm AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS rn FROM (SELECT DISTINCT strftime(date,'%Y-%m') AS month FROM v_charges)),
+s AS (SELECT category_id AS category, CAST(-sum(amount_cents) FILTER (rn=1) AS BIGINT) AS cents, CAST(coalesce(-sum(amount_cents) FILTER (rn BETWEEN 2 AND 4),0) AS BIGINT) AS prior FROM v_charges JOIN mm ON month=strftime(date,'%Y-%m') GROUP BY 1)
+SELECT 'merchant_outlier' AS type, strftime(date,'%Y-%m-%d') AS date, id, merchant, NULL AS category, amount_cents, usual_cents AS reference_cents FROM o
+UNION ALL SELECT 'new_large_merchant', strftime(t.date,'%Y-%m-%d'), t.id, t.merchant, NULL, t.cents, p95 FROM ex t, q WHERE t.date>=(SELECT start FROM st)
+ AND NOT EXISTS (SELECT 1 FROM ex h WHERE h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date) AND t.cents>=greatest(p95,20000)
+UNION ALL SELECT 'possible_duplicate_charge', strftime(date,'%Y-%m-%d'), id, merchant, NULL, cents, cents FROM l WHERE date-other_date<=2 AND oa=account_id
+UNION ALL SELECT 'category_spike', (SELECT month FROM mm WHERE rn=1), NULL, NULL, category, cents, CAST(floor(prior::DOUBLE/3) AS BIGINT) FROM s
+ WHERE (SELECT count(*) FROM mm WHERE rn<=4)=4 AND prior>0 AND cents>prior::DOUBLE/3*1.5::DOUBLE AND cents-prior::DOUBLE/3>=5000""")
 def anomalies(spark, sf):
     return A.anomalies(T.charges(spark, sf), 20)
 

@@ -6,10 +6,12 @@ events are ``ts, host, program, message`` plus an id for ties. Event time takes
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,25 +180,41 @@ def episodes(matched: DataFrame, grace_s: int = GRACE_S) -> DataFrame:
         F.min("sec").alias("first_seen"), F.max("sec").alias("last_seen"), F.sum("n").alias("count"))
 
 
+def _walk(keys: list[str]):
+    """Batches sorted by keys and second -> the stops; a batch and the walk's last stop are all that is held."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last, held = None, None, 0
+        for pdf in batches:
+            sec, gap, sums = pdf["sec"].to_numpy(), pdf["__gap"].to_numpy(), np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            at, passed = [], []
+            for start, end in zip(starts, [*starts[1:], len(pdf)]):
+                key = tuple(pdf[k].iat[start] for k in keys)
+                if key != current:
+                    current, last, held = key, None, 0
+                while start < end:
+                    stop = start if last is None else start + int(np.searchsorted(sec[start:end], last + gap[start]))
+                    held += int(sums[stop] - sums[start])
+                    if stop < end:
+                        at.append(stop)
+                        passed.append(held)
+                        last, held = int(sec[stop]), int(sums[stop + 1] - sums[stop]) - 1
+                    start = stop + 1
+            if at:
+                yield pdf[[*keys, "sec"]].iloc[at].assign(passed=passed)
+    return run
+
+
 def spaced_seconds(per: DataFrame, keys: Sequence[str], gap: Column) -> DataFrame:
     """The seconds a greedy walk stops at: the first, then each first one at least ``gap`` after the last stop,
     with the events ``passed`` between two stops.
 
-    ``per`` has one row per key and distinct second with its count ``n``. The walk is one JVM fold per key over
-    those seconds and keeps only its stops, so memory follows the time covered and not the number of events.
+    ``per`` has one row per key and distinct second with its count ``n``; keys are not null. The walk reads the
+    seconds of a key in Spark's order as a stream and jumps from stop to stop, so no key is ever held as a whole.
     """
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("held"),
-                    F.array().cast("array<struct<sec:bigint,passed:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        due = acc["last"].isNull() | (x["sec"] - acc["last"] >= F.col("__gap"))
-        stop = F.struct(x["sec"].alias("sec"), acc["held"].alias("passed"))
-        return F.when(due, F.struct(x["sec"].alias("last"), (x["n"] - 1).alias("held"), F.concat(acc["out"], F.array(stop)).alias("out"))).otherwise(
-            F.struct(acc["last"].alias("last"), (acc["held"] + x["n"]).alias("held"), acc["out"].alias("out")))
-
-    listed = per.withColumn("__gap", gap.cast("long")).groupBy(*keys, "__gap").agg(
-        F.array_sort(F.collect_list(F.struct("sec", "n"))).alias("__s"))
-    return listed.select(*keys, F.inline(F.aggregate("__s", zero, step, lambda a: a["out"])))
+    types = dict(per.dtypes)
+    ordered = per.select(*keys, "sec", "n", gap.cast("long").alias("__gap")).repartition(*keys).sortWithinPartitions(*keys, "sec")
+    return ordered.mapInPandas(_walk(list(keys)), ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sec bigint, passed bigint")
 
 
 def suppress(matched: DataFrame, rules: Sequence[Rule], grace_s: int = GRACE_S) -> DataFrame:

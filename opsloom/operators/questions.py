@@ -101,15 +101,20 @@ def find_entities(questions: DataFrame, merchants: DataFrame, max_words: int = 8
     def cut(text: Column) -> Column:
         return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
-    words = questions.select("question_id", "question", cut(F.col("question")).alias("w"))
-    starts = words.filter(F.size("w") > 0).select("question_id", "question", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    runs = starts.select("question_id", "question", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - F.col("i") + 1))).alias("n"), "w", "i").select(
-        "question_id", "question", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run"))
+    def runs_of(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i <= F.size(w))  # an empty list counts down from 1 to 0
+        longest = lambda i: F.least(F.lit(max_words), F.size(w) - i + 1)
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), longest(i)), lambda n: F.array_join(F.slice(w, i, n), " ")))))
+
+    # only ids and runs move; a text comes back for the names that met one of its runs
+    words = questions.select("question_id", cut(F.col("question")).alias("w")).filter(F.size("w") > 0)
+    runs = words.select("question_id", F.explode(runs_of(F.col("w"))).alias("run"))
     known = merchants.select("merchant").distinct().filter(F.length("merchant") >= 3).select(
         "merchant", F.array_join(F.slice(cut(F.col("merchant")), 1, max_words), " ").alias("run")).filter("run <> ''")
     # the name itself, with its own punctuation, must stand between word borders
     whole = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), F.regexp_replace(F.lower("merchant"), r"([\\.\[\]{}()*+?^$|-])", r"\\$1"), F.lit(r"($|[^\p{L}\p{N}_])"))
-    hit = runs.distinct().join(known, "run").filter(F.call_function("rlike", F.lower("question"), whole))
+    met = runs.join(known, "run").select("question_id", "merchant").distinct()
+    hit = questions.select("question_id", "question").join(met, "question_id").filter(F.call_function("rlike", F.lower("question"), whole))
     best = hit.groupBy("question_id").agg(F.max_by("merchant", F.struct(F.length("merchant"), "merchant")).alias("merchant"))
     return questions.join(best, "question_id", "left")
 

@@ -75,3 +75,10 @@ def test_an_ended_episode_does_not_escalate_the_next(spark, tmp_path):
     start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
     got = [(r.signature, r["at"] - start) for r in spark.read.parquet(str(tmp_path / "out")).filter("kind = 'escalate'").collect()]
     assert [(s.split(":")[1], at) for s, at in got] == [("long", 3600)]
+
+
+def test_walk_of_one_busy_key_is_a_stream(spark):
+    per = spark.range(2_000_000).select(F.lit("s").alias("signature"), F.col("id").alias("sec"), F.lit(1).cast("long").alias("n"))
+    stops = S.spaced_seconds(per, ["signature"], F.lit(1500))
+    assert "collect" not in stops._jdf.queryExecution().toString()
+    assert tuple(stops.agg(F.count("*"), F.sum("passed"), F.max("sec")).first()) == (1334, 1333 * 1499, 1333 * 1500)

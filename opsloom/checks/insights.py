@@ -11,6 +11,7 @@ from opsloom.functions.rules import BILL_GROUPS, ESSENTIAL_GROUPS, SUBSCRIPTION_
 from opsloom.operators import anomalies as A
 from opsloom.operators import planning as P
 from opsloom.operators import recurring as R
+from opsloom.plans import dashboard as D
 from opsloom.sources import tables as T
 
 REG = Registry()
@@ -112,10 +113,12 @@ def recurring_near_misses(spark, sf):
     return R.near_misses(T.subscriptions(spark, sf), T.plan_categories(spark))
 
 
-EXP = f"""WITH {CHARGES}, ex AS (SELECT *, -amount_cents AS cents FROM v_charges WHERE amount_cents<0), st AS (SELECT max(date)-{{days}} AS start FROM v_charges)"""
+def exp(ctes: str, view: str, days: int) -> str:
+    return f"""WITH {ctes}, ex AS (SELECT *, -amount_cents AS cents FROM {view} WHERE direction='expense' AND amount_cents<0), st AS (SELECT max(date)-{days} AS start FROM {view})"""
 
 
-OUTLIERS = EXP.format(days=20) + """,
+def outliers(ctes: str, view: str, days: int) -> str:
+    return exp(ctes, view, days) + """,
 p AS (SELECT t.id, t.date, t.merchant, t.cents, h.cents AS hc FROM ex t JOIN ex h ON h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date WHERE t.date>=(SELECT start FROM st)),
 m AS (SELECT id, any_value(date) AS date, any_value(merchant) AS merchant, any_value(cents) AS cents, median(hc) AS med, count(*) AS n FROM p GROUP BY id HAVING count(*)>=3),
 d AS (SELECT m.id, median(abs(hc-med)) AS mad FROM m JOIN p USING (id) GROUP BY m.id),
@@ -123,7 +126,23 @@ x AS (SELECT m.*, CASE WHEN mad=0 THEN greatest(med*0.1::DOUBLE,100.0) ELSE mad
 o AS (SELECT id, date, merchant, cents AS amount_cents, CAST(trunc(med) AS BIGINT) AS usual_cents, n AS history_count FROM x WHERE cents>med+4*sp AND cents>med*1.5::DOUBLE AND cents-med>=2000)"""
 
 
-@REG.query("merchant_outliers", OUTLIERS + " SELECT * FROM o")
+def all_anomalies(ctes: str, view: str, days: int) -> str:
+    """CTE ``an`` with the four kinds in one table."""
+    return outliers(ctes, view, days) + f""",
+q AS (SELECT cents AS p95 FROM (SELECT cents, row_number() OVER (ORDER BY cents)-1 AS r, count(*) OVER () AS n FROM ex) WHERE r=CAST(floor(n*0.95::DOUBLE) AS BIGINT) AND n>=20),
+l AS (SELECT *, lag(date) OVER w AS other_date, lag(account_id) OVER w AS oa FROM ex WHERE date>=(SELECT start FROM st) AND cents>=2000 WINDOW w AS (PARTITION BY merchant, cents ORDER BY date, id)),
+mm AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS rn FROM (SELECT DISTINCT strftime(date,'%Y-%m') AS month FROM {view})),
+s AS (SELECT coalesce(category_id,'Uncategorized') AS category, CAST(-sum(amount_cents) FILTER (rn=1) AS BIGINT) AS cents, CAST(coalesce(-sum(amount_cents) FILTER (rn BETWEEN 2 AND 4),0) AS BIGINT) AS prior
+ FROM {view} JOIN mm ON month=strftime(date,'%Y-%m') WHERE direction='expense' GROUP BY 1),
+an AS (SELECT 'merchant_outlier' AS type, strftime(date,'%Y-%m-%d') AS date, id, merchant, NULL AS category, amount_cents, usual_cents AS reference_cents FROM o
+UNION ALL SELECT 'new_large_merchant', strftime(t.date,'%Y-%m-%d'), t.id, t.merchant, NULL, t.cents, p95 FROM ex t, q WHERE t.date>=(SELECT start FROM st)
+ AND NOT EXISTS (SELECT 1 FROM ex h WHERE h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date) AND t.cents>=greatest(p95,20000)
+UNION ALL SELECT 'possible_duplicate_charge', strftime(date,'%Y-%m-%d'), id, merchant, NULL, cents, cents FROM l WHERE date-other_date<=2 AND oa=account_id
+UNION ALL SELECT 'category_spike', (SELECT month FROM mm WHERE rn=1), NULL, NULL, category, cents, CAST(floor(prior::DOUBLE/3) AS BIGINT) FROM s
+ WHERE (SELECT count(*) FROM mm WHERE rn<=4)=4 AND prior>0 AND cents>prior::DOUBLE/3*1.5::DOUBLE AND cents-prior::DOUBLE/3>=5000)"""
+
+
+@REG.query("merchant_outliers", outliers(CHARGES, "v_charges", 20) + " SELECT * FROM o")
 def merchant_outliers(spark, sf):
     return A.merchant_outliers(T.charges(spark, sf), 20)
 
@@ -168,17 +187,7 @@ def category_spikes(spark, sf):
     return A.category_spikes(rows.withColumn("amount_cents", F.when(grown, F.col("amount_cents") * 90).otherwise(F.col("amount_cents"))))
 
 
-@REG.query("anomalies", OUTLIERS + """,
-q AS (SELECT cents AS p95 FROM (SELECT cents, row_number() OVER (ORDER BY cents)-1 AS r, count(*) OVER () AS n FROM ex) WHERE r=CAST(floor(n*0.95::DOUBLE) AS BIGINT) AND n>=20),
-l AS (SELECT *, lag(date) OVER w AS other_date, lag(account_id) OVER w AS oa FROM ex WHERE date>=(SELECT start FROM st) AND cents>=2000 WINDOW w AS (PARTITION BY merchant, cents ORDER BY date, id)),
-mm AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS rn FROM (SELECT DISTINCT strftime(date,'%Y-%m') AS month FROM v_charges)),
-s AS (SELECT category_id AS category, CAST(-sum(amount_cents) FILTER (rn=1) AS BIGINT) AS cents, CAST(coalesce(-sum(amount_cents) FILTER (rn BETWEEN 2 AND 4),0) AS BIGINT) AS prior FROM v_charges JOIN mm ON month=strftime(date,'%Y-%m') GROUP BY 1)
-SELECT 'merchant_outlier' AS type, strftime(date,'%Y-%m-%d') AS date, id, merchant, NULL AS category, amount_cents, usual_cents AS reference_cents FROM o
-UNION ALL SELECT 'new_large_merchant', strftime(t.date,'%Y-%m-%d'), t.id, t.merchant, NULL, t.cents, p95 FROM ex t, q WHERE t.date>=(SELECT start FROM st)
- AND NOT EXISTS (SELECT 1 FROM ex h WHERE h.merchant=t.merchant AND h.id<>t.id AND h.date<=t.date) AND t.cents>=greatest(p95,20000)
-UNION ALL SELECT 'possible_duplicate_charge', strftime(date,'%Y-%m-%d'), id, merchant, NULL, cents, cents FROM l WHERE date-other_date<=2 AND oa=account_id
-UNION ALL SELECT 'category_spike', (SELECT month FROM mm WHERE rn=1), NULL, NULL, category, cents, CAST(floor(prior::DOUBLE/3) AS BIGINT) FROM s
- WHERE (SELECT count(*) FROM mm WHERE rn<=4)=4 AND prior>0 AND cents>prior::DOUBLE/3*1.5::DOUBLE AND cents-prior::DOUBLE/3>=5000""")
+@REG.query("anomalies", all_anomalies(CHARGES, "v_charges", 20) + " SELECT * FROM an")
 def anomalies(spark, sf):
     return A.anomalies(T.charges(spark, sf), 20)
 
@@ -189,16 +198,29 @@ def budgets(spark, sf):
         (F.length("id") * 100000000).cast("long").alias("limit_cents"))
 
 
-@REG.query("budget_status", f"""WITH {LEDGER}, {CATEGORIES}, b AS (SELECT 'b-'||id AS budget_id, id AS category_id, CAST(length(id)*100000000 AS BIGINT) AS limit_cents FROM v_cat WHERE kind='expense' AND parent_id IS NOT NULL),
-e AS (SELECT least(max(date), DATE '2001-08-31') AS thru FROM v_ledger), s AS (SELECT category_id, CAST(-sum(amount_cents) AS BIGINT) AS sp FROM v_ledger WHERE direction='expense' AND date BETWEEN DATE '2001-08-01' AND DATE '2001-08-31' GROUP BY 1),
-j AS (SELECT b.*, coalesce(sp,0) AS spent_cents, thru, greatest(1, thru-DATE '2001-08-01'+1) AS el FROM b LEFT JOIN s USING (category_id), e),
-p AS (SELECT *, CASE WHEN el<31 THEN CAST(trunc(spent_cents*31/el) AS BIGINT) ELSE spent_cents END AS projected_cents FROM j)
-SELECT budget_id, category_id, limit_cents, spent_cents, limit_cents-spent_cents AS remaining_cents, {sql_ratio('spent_cents', 'limit_cents')} AS used_pct, projected_cents,
- CASE WHEN spent_cents>limit_cents THEN 'over' WHEN projected_cents>limit_cents THEN 'at_risk' ELSE 'on_track' END AS status, thru AS data_through FROM p""")
+BUDGETS = f"""b AS (SELECT 'b-'||id AS budget_id, id AS category_id, CAST(length(id)*100000000 AS BIGINT) AS limit_cents FROM v_cat WHERE kind='expense' AND parent_id IS NOT NULL),
+e AS (SELECT least(max(date), DATE '2001-08-31') AS thru FROM v_ledger), sb AS (SELECT category_id, CAST(-sum(amount_cents) AS BIGINT) AS sp FROM v_ledger WHERE direction='expense' AND date BETWEEN DATE '2001-08-01' AND DATE '2001-08-31' GROUP BY 1),
+j AS (SELECT b.*, coalesce(sp,0) AS spent_cents, thru, greatest(1, thru-DATE '2001-08-01'+1) AS el FROM b LEFT JOIN sb USING (category_id), e),
+pb AS (SELECT *, CASE WHEN el<31 THEN CAST(trunc(spent_cents*31/el) AS BIGINT) ELSE spent_cents END AS projected_cents FROM j),
+bs AS (SELECT budget_id, category_id, limit_cents, spent_cents, limit_cents-spent_cents AS remaining_cents, {sql_ratio('spent_cents', 'limit_cents')} AS used_pct, projected_cents,
+ CASE WHEN spent_cents>limit_cents THEN 'over' WHEN projected_cents>limit_cents THEN 'at_risk' ELSE 'on_track' END AS status, thru AS data_through FROM pb)"""
+
+
+@REG.query("budget_status", f"WITH {LEDGER}, {CATEGORIES}, {BUDGETS} SELECT * FROM bs")
 def budget_status(spark, sf):
     return P.budget_status(T.ledger(spark, sf), budgets(spark, sf), "2001-08")
 
 
+@REG.query("dashboard_lists", all_anomalies(f"{LEDGER}, {CATEGORIES}, {BUDGETS}", "v_ledger", A.LOOKBACK_DAYS) + """
+SELECT 'anomalies' AS section, type AS kind, coalesce(id,category) AS label, amount_cents AS cents, reference_cents FROM an
+UNION ALL SELECT 'budgets', status, budget_id, spent_cents, limit_cents FROM bs""")
+def dashboard_lists(spark, sf):
+    parts = D.lists(T.ledger(spark, sf), budgets(spark, sf), "2001-08")
+    odd = parts["anomalies"].select(F.lit("anomalies").alias("section"), F.col("type").alias("kind"), F.coalesce("id", "category").alias("label"), F.col("amount_cents").alias("cents"), "reference_cents")
+    return odd.unionByName(parts["budgets"].select(F.lit("budgets").alias("section"), F.col("status").alias("kind"), F.col("budget_id").alias("label"),
+                                                   F.col("spent_cents").alias("cents"), F.col("limit_cents").alias("reference_cents")))
+
+
 ESSENTIAL = f"""WITH {LEDGER}, {CATEGORIES}, m AS (SELECT strftime(date,'%Y-%m') AS month, max(date) AS d,
  -sum(CASE WHEN direction='expense' THEN amount_cents ELSE 0 END) AS total, -sum(CASE WHEN direction='expense' AND essential THEN amount_cents ELSE 0 END) AS ess
  FROM v_ledger l LEFT JOIN v_path p ON p.id=l.category_id GROUP BY 1),

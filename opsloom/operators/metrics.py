@@ -296,10 +296,12 @@ def compliance(drift: DataFrame) -> DataFrame:
 # --- audit and throttling -----------------------------------------------------------------------------------------------
 
 def audit_tail(lines: DataFrame, text: str | None, n: int) -> DataFrame:
-    """Newest ``n`` JSON lines (value) that contain the text in any case; broken lines are dropped first."""
-    rows = lines.withColumn("record", F.try_parse_json("value")).filter(F.col("record").isNotNull())
-    if text:
-        rows = rows.filter(F.contains(F.lower("value"), F.lit(text.lower())))
+    """Newest ``n`` JSON lines (value) that contain the text in any case; broken lines are dropped.
+
+    The text is looked for first, so only lines that hold it are parsed.
+    """
+    rows = lines.filter(F.contains(F.lower("value"), F.lit(text.lower()))) if text else lines
+    rows = rows.withColumn("record", F.try_parse_json("value")).filter(F.col("record").isNotNull())
     return rows.select(F.try_variant_get("record", "$.ts", "string").alias("ts"), F.try_variant_get("record", "$.action", "string").alias("action"),
                        "value").orderBy(F.desc("ts"), F.desc("value")).limit(n)
 

@@ -13,6 +13,7 @@ from opsloom.operators import recurring as R
 from opsloom.operators.categories import category_paths
 from opsloom.operators.planning import budget_status
 from opsloom.operators.summaries import UNCATEGORIZED, month_of
+from opsloom.session import cut_lineage
 
 
 def monthly_cube(ledger: DataFrame) -> DataFrame:
@@ -46,10 +47,13 @@ def totals(cube: DataFrame, cats: DataFrame, month: str, merchants: int = 5) ->
     }
 
 
+def lists(ledger: DataFrame, budgets: DataFrame, month: str) -> dict[str, DataFrame]:
+    """What needs a look: unusual charges of the last days and the month's budgets."""
+    return {"anomalies": A.anomalies(ledger), "budgets": budget_status(ledger, budgets, month)}
+
+
 def dashboard(ledger: DataFrame, cats: DataFrame, budgets: DataFrame, month: str) -> dict[str, DataFrame]:
-    """Every widget; the cube is cached, as five of them read it. ``cats`` has id, name, parent_id, group, essential."""
-    out = totals(monthly_cube(ledger).persist(), cats, month)
+    """Every widget; the cube is written once, as five of them read it. ``cats`` has id, name, parent_id, group, essential."""
+    out = totals(cut_lineage(monthly_cube(ledger)), cats, month)
     out["recurring"] = R.recurring(ledger, cats).filter("active")
-    out["anomalies"] = A.anomalies(ledger)
-    out["budgets"] = budget_status(ledger, budgets, month)
-    return out
+    return out | lists(ledger, budgets, month)

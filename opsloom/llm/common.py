@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +53,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 16 << 20)
             yield batch
             continue
         size = start = 0
-        lengths = [len(x) if x else 0 for x in as_bytes(column)]
-        for i, n in enumerate(lengths):
+        for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
             if size and size + n > limit:
                 yield batch.slice(start, i - start)
                 size, start = 0, i

@@ -6,12 +6,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, shared_folder, slices, stored
 
+#: Bytes of text that a task works on at a time.
+SLICE = 2 << 20
 RUN = "k1 long, k2 long, n long, top long"
 
 
@@ -26,7 +29,7 @@ def line_key(line: bytes, least: int) -> bytes | None:
 def lines_of(docs: DataFrame, doc: str, text: str, least: int) -> DataFrame:
     """``doc, k1, k2``: the distinct line keys of each row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keys, rows = [], []
             for i, body in enumerate(as_bytes(batch.column(1))):
                 found = {line_key(line, least) for line in body.lower().split(b"\n")} - {None} if body else ()
@@ -141,19 +144,23 @@ def _without(joined: DataFrame, given: T.StructType, text: str, least: int, name
     place, fields = given.fieldNames().index(text), given.fields
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text, SLICE):
             own = list(batch.columns[:len(fields)])
-            bodies, drops = as_bytes(own[place]), batch.column(len(fields)).to_pylist()
-            lines, dropped = [], []
-            for i, (body, drop) in enumerate(zip(bodies, drops, strict=True)):
+            bodies, listed = as_bytes(own[place]), batch.column(len(fields))
+            ends = np.cumsum(pc.list_value_length(listed).fill_null(0).to_numpy())
+            keys = np.stack([c.to_numpy() for c in listed.flatten().flatten()], 1).astype("<i8")
+            lines, dropped, done = [], [], 0
+            for i, (body, end) in enumerate(zip(bodies, ends.tolist(), strict=True)):
                 lines.append(body.count(b"\n") + 1 if body else 1)
                 dropped.append(0)
-                if drop and body:
-                    gone = {np.array([d["k1"], d["k2"]], "<i8").tobytes() for d in drop}
+                if done < end and body:
+                    packed = keys[done:end].tobytes()
+                    gone = {packed[at:at + 16] for at in range(0, len(packed), 16)}
                     split = body.split(b"\n")
                     kept = [line for line in split if line_key(line.lower(), least) not in gone]
                     dropped[i] = len(split) - len(kept)
                     bodies[i] = b"\n".join(kept)
+                done = end
             own[place] = pa.array(bodies, pa.binary()).cast(pa.string())
             yield pa.record_batch([*own, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*given.fieldNames(), *names])
 

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, chosen, slices, stored, words
 
+#: Bytes of text that a task works on at a time.
+SLICE = 2 << 20
 #: Groups of bytes whose share of the text is a statistic.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"#$%&*+=<>@^_|~\\/{}[]", b"'\"()-", bytes(range(128, 256)))
 STATISTICS = len(CLASSES) + 9
@@ -105,7 +107,7 @@ def _summed(df: DataFrame, part) -> np.ndarray | None:
 def described(docs: DataFrame, text: str, *others: Column) -> DataFrame:
     """``x`` (packed statistics) and further columns of each row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE):
             packed = [np.array(statistics(b), "<f8").tobytes() for b in as_bytes(batch.column(0))]
             yield pa.record_batch([pa.array(packed, pa.binary()), *batch.columns[1:]], ["x", *batch.schema.names[1:]])
 
@@ -165,7 +167,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             x = np.array([statistics(b) for b in as_bytes(batch.column(batch.schema.get_field_index(text)))]).reshape(batch.num_rows, STATISTICS)
             yield pa.record_batch([*batch.columns, pa.array(own.score(x))], [*batch.schema.names, name])
 

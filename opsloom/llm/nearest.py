@@ -134,7 +134,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
             at = pa.array(rows, pa.int64())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(lefts, pa.int64()), pa.array(rights, pa.list_(pa.int64()))], ["query", "q", "left", "rights"])
 
-    one = stored(asked.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a walk is long, so even few queries are dealt out
+    one = stored(asked.groupBy("id").agg(F.min("v").alias("v")).repartition(parts, "id"), "queries")
     visits = stored(one.mapInArrow(walk, "query long, q array<double>, left long, rights array<long>"), "visits")
     load = {r["left"]: -(-r["n"] // BLOCK_QUERIES) for r in visits.groupBy("left").agg(F.count("*").alias("n")).collect()}  # at most ``centres`` rows
     table = spark.createDataFrame([(c, int(splits[c]), groups) for c, groups in sorted(load.items())], "left long, blocks long, groups long")

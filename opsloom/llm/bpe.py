@@ -48,7 +48,7 @@ class Codec(dict):
     that a merge made stale stay in their bucket and are skipped.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, keep: int = 250_000) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         if max(self.ranks.values()) >= 1 << 16:
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in slices(batches, text, 8 << 20):
+        for batch in slices(batches, text, 4 << 20):
             packed = own.encode_all(batch.column(batch.schema.get_field_index(text)).to_pylist())
             out = [pa.array([len(x) >> 2 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
             if decoded:

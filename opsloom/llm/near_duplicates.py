@@ -155,13 +155,19 @@ def similarity(x: bytes, y: bytes) -> float:
     return probability_jaccard(a, np.ones(len(a)) if wa is None else wa, b, np.ones(len(b)) if wb is None else wb)
 
 
+#: Pairs whose shingles a task unpacks at a time.
+PAIRS = 256
+
+
 def _verified(pairs: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose probability Jaccard similarity is ``least`` or more."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                x, y = (as_bytes(batch.column(i)) for i in (2, 3))
+                keep = [similarity(p, q) >= least for p, q in zip(x, y, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = weighted.select(F.col("id").alias("a"), F.col("weighted").alias("x"))
     right = weighted.select(F.col("id").alias("b"), F.col("weighted").alias("y"))

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, in_arrow, slices
 
 #: Same matches as the given pattern for texts below U+0250, by a faster matcher.
 LETTERS, DIGITS, BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 out.append(pa.array(map(own.decode, packed), pa.binary()))
             yield pa.record_batch([*batch.columns, *out], [*batch.schema.names, *[f.name for f in added]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -297,4 +297,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             out = pa.array((own.decode(x or b"") for x in packed), pa.binary())
             yield pa.record_batch([*batch.columns, out], [*batch.schema.names, decoded])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    return in_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(decoded, T.BinaryType())]))

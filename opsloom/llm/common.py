@@ -36,6 +36,18 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Bytes of an Arrow batch that a task gets at a time, unless the session sets its own limit.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` over small batches: the executor and its Python worker each hold one, whatever the texts' lengths."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 

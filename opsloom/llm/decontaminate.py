@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, as_bytes, slices, stored, words
+from .common import WORD, as_bytes, in_arrow, slices, stored, words
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 ARROW_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -37,7 +37,7 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
                     lengths.append(n)
             yield pa.record_batch([pa.array(out, pa.string()), pa.array(lengths, pa.int32()), pa.array(names, pa.string())], ["window", "n_words", "item"])
 
-    found = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(cut, "window string, n_words int, item string")
+    found = in_arrow(benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")), cut, "window string, n_words int, item string")
     return found.groupBy("window", "n_words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -139,4 +139,4 @@ def _scan(docs: DataFrame, rows: list, text: str, names: tuple[str, ...], first:
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.record_batch([*own, *added], [f.name for f in kept] + list(names))
 
-    return docs.mapInArrow(scan, schema)
+    return in_arrow(docs, scan, schema)

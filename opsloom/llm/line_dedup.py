@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, shared_folder, slices, stored
+from .common import as_bytes, in_arrow, shared_folder, slices, stored
 
 #: Bytes of text that a task works on at a time.
 SLICE = 2 << 20
@@ -39,7 +39,7 @@ def lines_of(docs: DataFrame, doc: str, text: str, least: int) -> DataFrame:
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.record_batch([ids, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc", "k1", "k2"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, k1 long, k2 long")
+    return in_arrow(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")), run, "doc long, k1 long, k2 long")
 
 
 class LineRuns:
@@ -164,4 +164,4 @@ def _without(joined: DataFrame, given: T.StructType, text: str, least: int, name
             own[place] = pa.array(bodies, pa.binary()).cast(pa.string())
             yield pa.record_batch([*own, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*given.fieldNames(), *names])
 
-    return joined.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields], *[T.StructField(n, T.LongType()) for n in names]]))
+    return in_arrow(joined, run, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields], *[T.StructField(n, T.LongType()) for n in names]]))

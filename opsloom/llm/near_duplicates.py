@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored, words
+from .common import as_bytes, in_arrow, slices, stored, words
 from .components import components
 
 MIX_A, MIX_B, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -118,7 +118,7 @@ def _sketch(docs: DataFrame, doc: str, text: str, shingle: int, bands: int, rows
                     found_bands[i] = row
             yield pa.record_batch([ids, pa.array(keys, pa.binary()), pa.array(found_bands, pa.list_(pa.int64()))], ["id", "key", "bands"])
 
-    return docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, key binary, bands array<bigint>")
+    return in_arrow(docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, key binary, bands array<bigint>")
 
 
 def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
                 out.append(pack(one, count))
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["id", "key", "weighted"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, key binary, weighted binary")
+    return in_arrow(texts.select("id", "text"), run, "id long, key binary, weighted binary")
 
 
 def pack(shingles: np.ndarray, counts: np.ndarray) -> bytes:
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
 
     left = weighted.select(F.col("id").alias("a"), F.col("weighted").alias("x"))
     right = weighted.select(F.col("id").alias("b"), F.col("weighted").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_arrow(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 #: Members and bytes of shingles in a block of a hub's group.

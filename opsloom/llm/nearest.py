@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chosen, stored
+from .common import chosen, in_arrow, stored
 
 #: Vectors and queries that meet in one task at a time.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
@@ -111,7 +111,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
             x = matrix(batch.column(1))
             yield pa.record_batch([*batch.columns, pa.array(nearest_centre(x[:, :half], a)), pa.array(nearest_centre(x[:, half:], b))], ["id", "v", "left", "right"])
 
-    lists = stored(data.mapInArrow(place, "id long, v array<double>, left long, right long"), "lists")
+    lists = stored(in_arrow(data, place, "id long, v array<double>, left long, right long"), "lists")
     sizes = np.zeros((len(books[0]), right_size), np.int64)
     for r in lists.groupBy("left", "right").agg(F.count("*").alias("n")).collect():  # at most the square of ``centres``
         sizes[r["left"], r["right"]] = r["n"]
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a walk is long, so even few queries are dealt out
     one = stored(asked.groupBy("id").agg(F.min("v").alias("v")).repartition(parts, "id"), "queries")
-    visits = stored(one.mapInArrow(walk, "query long, q array<double>, left long, rights array<long>"), "visits")
+    visits = stored(in_arrow(one, walk, "query long, q array<double>, left long, rights array<long>"), "visits")
     load = {r["left"]: -(-r["n"] // BLOCK_QUERIES) for r in visits.groupBy("left").agg(F.count("*").alias("n")).collect()}  # at most ``centres`` rows
     table = spark.createDataFrame([(c, int(splits[c]), groups) for c, groups in sorted(load.items())], "left long, blocks long, groups long")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, slices
+from .common import chosen, in_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -260,7 +260,7 @@ def train(docs: DataFrame, text: str = "text", doc: str = "doc_id", sample_docs:
                     done = b
             examples.append((part, atoms, 0, inside))
 
-    for row in sorted(tuple(r) for r in some.mapInArrow(run, "part string, truth string").toLocalIterator()):
+    for row in sorted(tuple(r) for r in in_arrow(some, run, "part string, truth string").toLocalIterator()):
         truth = [(k, int(a), int(b)) for k, a, b in (x.split() for x in row[1].split("\n") if x)]
         take(row[0], truth)
         for k, a, b in truth:
@@ -311,4 +311,4 @@ def find(docs: DataFrame, field: Field, text: str = "text", name: str = "spans")
             spans = pa.array([[{"kind": k, "start": a, "end": b, "base": f} for k, a, b, f in spans] for spans in found], ARROW_SPAN)
             yield pa.record_batch([*batch.columns, spans], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(SPAN))]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(SPAN))]))

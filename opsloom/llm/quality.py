@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chosen, slices, stored, words
+from .common import as_bytes, chosen, in_arrow, slices, stored, words
 
 #: Bytes of text that a task works on at a time.
 SLICE = 2 << 20
@@ -98,7 +98,7 @@ def _summed(df: DataFrame, part) -> np.ndarray | None:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     out = None
-    for row in df.mapInArrow(run, "part binary").toLocalIterator():
+    for row in in_arrow(df, run, "part binary").toLocalIterator():
         got = np.frombuffer(row["part"], "<f8")
         out = got.copy() if out is None else out + got
     return out
@@ -112,7 +112,7 @@ def described(docs: DataFrame, text: str, *others: Column) -> DataFrame:
             yield pa.record_batch([pa.array(packed, pa.binary()), *batch.columns[1:]], ["x", *batch.schema.names[1:]])
 
     rows = docs.select(F.col(text).alias("__text"), *others)
-    return rows.mapInArrow(run, T.StructType([T.StructField("x", T.BinaryType()), *rows.schema.fields[1:]]))
+    return in_arrow(rows, run, T.StructType([T.StructField("x", T.BinaryType()), *rows.schema.fields[1:]]))
 
 
 def fit(given: DataFrame, parts: int = 16, features: int = 256, ridge: float = 1.0, width: float = 4.0, bins: int = 512, seed: int = 7) -> Model:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             x = np.array([statistics(b) for b in as_bytes(batch.column(batch.schema.get_field_index(text)))]).reshape(batch.num_rows, STATISTICS)
             yield pa.record_batch([*batch.columns, pa.array(own.score(x))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def remainder(doc: Column) -> Column:

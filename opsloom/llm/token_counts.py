@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import splitter
-from .common import slices
+from .common import in_arrow, slices
 
 
 def byte_letters() -> dict[str, int]:
@@ -113,4 +113,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", n
             counts = pa.array([own.count(x) if x else 0 for x in bodies], pa.int64())
             yield pa.record_batch([*batch.columns, sizes, counts], [*batch.schema.names, n_bytes, n_tokens])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, shared_folder, slices, stored
+from .common import as_bytes, in_arrow, shared_folder, slices, stored
 
 END, END64, LOCATOR, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -222,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
         paths, sizes, records = zip(*made, strict=True) if made else ((), (), ())
         yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(records, pa.int64())], ["path", "size", "records"])
 
-    return stored(rows.mapInArrow(run, "path string, size long, records long"), "manifest")
+    return stored(in_arrow(rows, run, "path string, size long, records long"), "manifest")
 
 
 def index_of(archives: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def index_of(archives: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([path] * len(entries), pa.string()), pa.array([base + e["offset"] for e in entries], pa.int64()),
                                        pa.array([e["length"] for e in entries], pa.int64())], ["path", "start", "length"])
 
-    return archives.select("path", "size").mapInArrow(run, "path string, start long, length long")
+    return in_arrow(archives.select("path", "size"), run, "path string, start long, length long")
 
 
 RECORD = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_bytes", T.LongType()),
@@ -279,7 +279,7 @@ def read_archives(archives: DataFrame, parts: int | None = None, with_payload: b
                     rows, held = [], 0
             yield _batch(rows)
 
-    return dealt.select("path", "start", "length").mapInArrow(run, RECORD)
+    return in_arrow(dealt.select("path", "start", "length"), run, RECORD)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

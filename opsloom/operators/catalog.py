@@ -32,29 +32,31 @@ def drop_junk(df: DataFrame, columns: Sequence[str] = JUNK_FIELDS) -> DataFrame:
 
 # --- candidate pairs -----------------------------------------------------------------------------------------------
 
-def similar_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (left key, right key) of distinct normalised titles that share at least half of the words of each.
+def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(lkey, rkey, score) of the distinct normalised titles whose title score is at least ``least``; none is left out.
 
-    Prefix filter: words are ordered by how many titles hold them, rarest first, and of ``n`` words only the
-    first ``n // 2 + 1`` are joined on; two titles with the wanted overlap must meet in one of those. Common words
-    so never become join keys of titles that have rarer ones, and equal titles were merged before.
+    The scores looked for let two titles differ in every other letter, so no word, piece or letter need be shared and any key
+    to join on would lose some: each distinct title meets each of a length that can reach the score. It is
+    ``T.title_score`` from words that were split and sorted once: what follows the shared words decides the distance of both
+    sorted sides, and the shared words against the shorter side stand for both other comparisons (100 if one holds the other).
     """
-    def words(df, name):
-        return df.select(F.col(name).alias("key")).distinct().filter("key <> ''").select("key", F.array_distinct(word_list(F.col("key"))).alias("w"))
-
-    lw, rw = words(left, "key"), words(right, "key")
-    seen = lw.unionByName(rw).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-
-    def prefixes(df):
-        ranked = df.select("key", "w", F.explode("w").alias("word")).join(seen, "word").groupBy("key").agg(
-            F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
-        keep = F.slice("r", F.lit(1), F.floor(F.size("r") / 2).cast("int") + 1)
-        return ranked.select("key", F.explode(F.transform(keep, lambda x: x["word"])).alias("word"), F.transform("r", lambda x: x["word"]).alias("w"))
-
-    a = prefixes(lw).select(F.col("key").alias("lkey"), "word", F.col("w").alias("lw"))
-    b = prefixes(rw).select(F.col("key").alias("rkey"), "word", F.col("w").alias("rw"))
-    shared = F.size(F.array_intersect("lw", "rw")) * 2
-    return a.join(b, "word").filter((shared >= F.size("lw")) & (shared >= F.size("rw"))).select("lkey", "rkey").distinct()
+    def titles(df, side):
+        key = F.col(f"{side}key")
+        out = df.select(F.col("key").alias(f"{side}key")).distinct().filter(key != "").withColumn(f"{side}w", F.array_sort(F.array_distinct(word_list(key))))
+        return out.withColumns({f"{side}n": F.length(key), f"{side}s": F.length(F.array_join(f"{side}w", " "))})
+
+    rest = lambda a, b: F.array_join(F.array_except(a, b), " ")
+    shared = F.length(F.array_join(F.array_intersect("lw", "rw"), " "))
+    both = F.col("ls") + F.col("rs")
+    words = F.greatest((both - F.levenshtein(rest("lw", "rw"), rest("rw", "lw"))) * F.lit(100.0) / both,
+                       (shared + shared) * F.lit(100.0) / (shared + F.least("ls", "rs")))
+    letters = T.sequence_ratio(F.col("lkey"), F.col("rkey"))
+    room = (least - 35) / 0.65 - 1e-6
+    near = F.least("ln", "rn") * F.lit(200.0) >= (F.col("ln") + F.col("rn")) * room
+    score = F.when(F.col("lkey") == F.col("rkey"), F.lit(100.0)).otherwise(words) * 0.35 + letters * 0.65
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = titles(left, "l").repartition(4 * parts, "lkey").join(titles(right, "r"), near & (letters >= room) & (score >= least))
+    return pairs.select("lkey", "rkey", score.alias("score"))
 
 
 def near_keys(left: DataFrame, right: DataFrame, floor: float = NEAR_PATH) -> DataFrame:
@@ -117,8 +119,7 @@ def scored_candidates(hints: DataFrame, catalog: DataFrame, floor: float = THRES
     """
     distinct = hints.select(*HINT).distinct()
     entries = _entry_groups(catalog, keep)
-    pairs = similar_titles(distinct, entries.withColumnRenamed("rkey", "key")).withColumn(
-        "__s", T.title_score(F.col("lkey"), F.col("rkey"))).filter(F.col("__s") >= (floor - 30) / 0.75)
+    pairs = similar_titles(distinct, entries.withColumnRenamed("rkey", "key"), (floor - 30) / 0.75).withColumnRenamed("score", "__s")
     hit = distinct.withColumnRenamed("key", "lkey").join(pairs, "lkey").join(entries, "rkey")
     alike = T.token_set_ratio(F.col("n_key"), F.col("cn_key"))
     scored = hit.withColumn("__a", T.with_author(F.col("__s"), F.col("a_key"), F.col("ca_key"))).withColumn(

@@ -178,6 +178,30 @@ def test_near_keys_are_complete(spark):
     assert {(r.lkey, r.rkey) for r in B.near_keys(left, right).collect()} == want and len(want) > 10
 
 
+def test_title_pairs_are_complete(spark):
+    rng = random.Random(11)
+    words = ["mist", "born", "hope", "of", "the", "stars", "foundation", "empire"]
+    base = ["mistborn", "foundation", "hope", "last hope of the stars"] + [" ".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(40)]
+
+    def edit(s):
+        for _ in range(rng.randrange(1, 5)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1:] or s, s[:i] + "x" + s[i:], s[:i] + " " + s[i:]])
+        return " ".join(s.split()) or "x"
+    left = spark.createDataFrame([(k,) for k in ["mistbron", "foundaton", "", *map(edit, base)]], "key string")
+    right = spark.createDataFrame([(k,) for k in base], "key string")
+    a, b = F.col("a"), F.col("b")
+    scored = left.select(F.col("key").alias("a")).distinct().crossJoin(right.select(F.col("key").alias("b")).distinct()).withColumn("s", X.title_score(a, b)).collect()
+    for least in (52 / 0.75, 80.0):
+        got = {(r.lkey, r.rkey): r.score for r in B.similar_titles(left, right, least).collect()}
+        assert got == {(r.a, r.b): r.s for r in scored if r.s >= least} and len(got) > 40
+        assert ("mistbron", "mistborn") in got or least > 75
+    items = spark.createDataFrame([("i1", "", "Mistbron", "", ""), ("i2", "", "Foundaton", "", "")], "id string, path string, title string, author string, product_id string")
+    entries = spark.createDataFrame([(1, "", "Mistborn", "", ""), (2, "", "Foundation", "", "")], "cat_id long, path string, title string, author string, product_id string")
+    assert {(r.id, r.cat_id) for r in B.top_candidates(items, entries).collect()} == {("i1", 1), ("i2", 2)}
+    assert {(r.id, r.cat_id, r.how) for r in B.link_catalog(items, entries).collect()} == {("i2", 2, "title")}
+
+
 @pytest.mark.parametrize("names,groups", [
     (["01 - One.mp3", "02 - One.mp3"], 1), (["Series Book 1.mp3", "Series Book 2.mp3"], 2), (["The Tale 01.mp3", "The Tale 02.mp3", "The Tale 03.mp3"], 1), (["The Book 01.mp3", "The Book 02.mp3"], 2),
     (["S - 6 Fugitive.mp3", "S - 7 Collapse.mp3"], 2), (["Tale Part 1.mp3", "Tale Part 2.mp3"], 1), (["S 8.m4b", "S 9.m4b", "S 11.m4b"], 3), (["Chapter 1.mp3", "Chapter 2.mp3"], 1),

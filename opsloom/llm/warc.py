@@ -171,10 +171,10 @@ class Unseekable(io.RawIOBase):
 
 
 def revisits(pages: DataFrame, page: str, digest: Column, size: Column, least_bytes: int) -> DataFrame:
-    """``id, refers_to`` of the rows that revisit: same payload as a row with a larger id, and not too small."""
+    """``id, digest, refers_to`` of the rows that revisit: same payload as a row with a larger id, and not too small."""
     small = pages.select(F.col(page).cast("long").alias("id"), digest.alias("digest"), size.alias("n")).filter(F.col("n") >= least_bytes).drop("n")
     top = small.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return small.join(top, "digest").filter("id <> refers_to").select("id", "refers_to").distinct()
+    return small.join(top, "digest").filter("id <> refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0,
@@ -184,17 +184,18 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     The payload is the text in UTF-8 (null: empty). Of records with equal payloads of at least ``least_bytes``
     bytes the one with the largest id is the response; the others are revisits, which refer to it and have no payload.
     Smaller payloads are all responses, and so are rows without an id. Rows that repeat the id and the payload of a response are
-    responses too.
+    responses too; an id with several payloads is decided for each of them.
 
-    Payloads are not shuffled by their digest: only (id, digest) is, and the resulting revisits, stored, meet
-    the rows by id. ``folder`` must be a URI that the executors can write (``file:``, ``hdfs:``, ``s3:``); each attempt of a
+    Payloads are not shuffled by their digest alone: only (id, digest) is, and the resulting revisits, stored, meet
+    the rows by both. ``folder`` must be a URI that the executors can write (``file:``, ``hdfs:``, ``s3:``); each attempt of a
     task writes archives of its own, of about ``archive_bytes``, and only those of the attempt that succeeded
     are in the returned, stored table.
     """
     text = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     known = stored(revisits(pages, page, F.sha1(text), F.length(text), least_bytes), "revisits")
-    known = known.select(F.col("id").alias("__id"), "refers_to")
-    rows = pages.select(F.col(page).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("payload")).join(known, F.col("id") == F.col("__id"), "left").drop("__id")
+    known = known.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
+    rows = pages.select(F.col(page).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("payload"), F.sha1(text).alias("digest")).join(
+        known, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("id", "url", "payload", "refers_to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, made = None, []

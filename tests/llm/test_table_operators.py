@@ -155,6 +155,15 @@ def test_archives_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_decide_each_payload_of_an_id(spark):
+    rows = [(6, "A"), (6, "B"), (9, "B"), (4, "A"), (7, "C"), (7, "D"), (8, "C"), (9, "D")]
+    pages = spark.createDataFrame([(i, "u", h, "p") for i, h in rows], PAGES).repartition(3)
+    top = {"A": 6, "B": 9, "C": 8, "D": 9}
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()]
+    want = [(i, warc.digest_of(h.encode()), "response" if i == top[h] else "revisit", None if i == top[h] else top[h]) for i, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_directory_of_a_zip64_archive_with_a_comment():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:

@@ -26,6 +26,22 @@ def _climb(cats: DataFrame, levels: int, carry: dict[str, Column]) -> DataFrame:
     return out
 
 
+def _chains(cats: DataFrame) -> DataFrame:
+    """``id, chain``: each node and all its ancestors, nearest first, to the root or round a cycle once.
+
+    Every round doubles what a chain holds, so a tree of depth n takes log n rounds.
+    """
+    known = cats.select(F.col("id").alias("__aid"))
+    state = cut_lineage(cats.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("up")).join(
+        known, F.col("up") == F.col("__aid"), "left").select("id", "chain", F.col("__aid").alias("up")))
+    while not state.filter(F.col("up").isNotNull()).isEmpty():
+        step = state.select(F.col("id").alias("__aid"), F.col("chain").alias("__more"), F.col("up").alias("__up"))
+        longer = state.join(step, F.col("up") == F.col("__aid"), "left").select(
+            "id", F.array_distinct(F.concat("chain", F.coalesce("__more", F.array().cast(state.schema["chain"].dataType)))).alias("chain"), F.col("__up").alias("up"))
+        state = cut_lineage(longer.withColumn("up", F.when(~F.array_contains("chain", F.col("up")), F.col("up"))))
+    return state.select("id", "chain")
+
+
 def category_paths(cats: DataFrame) -> DataFrame:
     """Add ``path`` (names joined from the root, at most five parents) and ``top_id`` (at most six up)."""
     out = _climb(cats, TOP_DEPTH, {"name": F.col("name")})
@@ -36,15 +52,17 @@ def category_paths(cats: DataFrame) -> DataFrame:
 
 
 def category_groups(cats: DataFrame) -> DataFrame:
-    """Add ``effective_group``: a built-in's own name, else the nearest ``system_group`` upward; "-" stops.
+    """Add ``effective_group``: a built-in's own name, else the nearest ``system_group`` upward, however high; "-" stops.
 
     ``cats`` has id, name, parent_id, user_id (null for built-ins) and system_group.
     """
     own = F.when(F.col("user_id").isNull(), F.col("name")).otherwise(
         F.when(F.col("system_group") != "", F.col("system_group")))
-    out = _climb(cats.withColumn("__own", own), TOP_DEPTH - 1, {"own": own})
-    nearest = F.coalesce(F.col("__own"), *[F.col(f"own_{i}") for i in range(1, TOP_DEPTH)])
-    return out.withColumn("effective_group", F.when(nearest != "-", nearest)).select(*cats.columns, "effective_group")
+    above = _chains(cats).select("id", F.posexplode("chain").alias("__n", "__aid"))
+    owns = cats.select(F.col("id").alias("__aid"), own.alias("__own")).filter(F.col("__own").isNotNull())
+    nearest = above.join(owns, "__aid").groupBy("id").agg(F.min_by("__own", "__n").alias("__group"))
+    return cats.join(nearest, "id", "left").withColumn("effective_group", F.when(F.col("__group") != "-", F.col("__group"))).select(
+        *cats.columns, "effective_group")
 
 
 def visible_categories(cats: DataFrame, hidden: DataFrame, users: DataFrame) -> DataFrame:
@@ -101,10 +119,7 @@ def merge_categories(txns: DataFrame, rules: DataFrame, budgets: DataFrame, cats
 
 def refused_moves(cats: DataFrame, moves: DataFrame) -> DataFrame:
     """Moves ``(id, new_parent_id)`` that would put a node under itself, or beside a sibling of the same name."""
-    up = _climb(cats, TOP_DEPTH, {"name": F.col("name")})
-    chain = up.select(F.col("id").alias("new_parent_id"),
-                      F.array_compact(F.array(F.col("id"), *[F.col(f"anc_{i}") for i in range(1, TOP_DEPTH + 1)]))
-                      .alias("__chain"))
+    chain = _chains(cats).select(F.col("id").alias("new_parent_id"), F.col("chain").alias("__chain"))
     named = moves.join(cats.select("id", F.lower(F.trim("name")).alias("__low")), "id")
     sibling = cats.select(F.col("parent_id").alias("new_parent_id"), F.lower(F.trim("name")).alias("__low"),
                           F.col("id").alias("__sid"))
@@ -116,18 +131,18 @@ def refused_moves(cats: DataFrame, moves: DataFrame) -> DataFrame:
         .filter(F.col("reason").isNotNull()).select("id", "new_parent_id", "reason").distinct())
 
 
-def dedupe_categories(cats: DataFrame, txns: DataFrame, max_rounds: int = 6) -> DataFrame:
+def dedupe_categories(cats: DataFrame, txns: DataFrame) -> DataFrame:
     """Map of ``(user_id, src_id, dst_id)`` that merges same-named siblings, repeated while children move together.
 
     Kept: most used, then not all lower case, then imported, then the greater name, then the greater id. A
-    round can only merge one more level of a tree of bounded depth, so the loop is bounded by the depth.
+    round merges one more level at least, and the loop ends with the first that finds nothing to merge.
     """
     used = txns.groupBy("user_id", "category_id").agg(F.count("*").alias("__used"))
     state = cats.filter(F.col("user_id").isNotNull()).join(
         used.select("user_id", F.col("category_id").alias("id"), "__used"), ["user_id", "id"], "left").select(
         "user_id", "id", "name", "parent_id", "origin", F.coalesce("__used", F.lit(0)).alias("used"),
         F.col("id").alias("final"))
-    for _ in range(max_rounds):
+    while True:
         best = Window.partitionBy("user_id", "__low", "parent_id").orderBy(
             F.desc("used"), F.desc(F.col("name") != F.lower("name")), F.desc(F.coalesce(F.col("origin") == "import", F.lit(False))),
             F.desc("name"), F.desc("id"))

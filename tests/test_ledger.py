@@ -220,3 +220,17 @@ def test_merge_moves_everything(spark):
 
 def test_kinds(spark):
     assert spark.range(1).select(kind_of(F.lit("Transfer"))).first()[0] == "transfer"
+
+
+def test_deep_trees_settle(spark):
+    rows = [("u", f"{side}{n:02}", f"level {n}" if side == "a" else f"Level {n}", f"{side}{n - 1:02}" if n else None, "Top" if n == 0 else None, None)
+            for side in "ab" for n in range(9)]
+    cats = spark.createDataFrame([*rows, ("u", "x", "loop", "y", None, None), ("u", "y", "round", "x", None, None), ("u", "z", "lost", "gone", None, None)],
+                                 "user_id string, id string, name string, parent_id string, system_group string, origin string")
+    txns = spark.createDataFrame([], "user_id string, id string, category_id string")
+    assert {(r.src_id, r.dst_id) for r in C.dedupe_categories(cats, txns).collect()} == {(f"a{n:02}", f"b{n:02}") for n in range(9)}
+    groups = {r.id: r.effective_group for r in C.category_groups(cats).collect()}
+    assert groups == {r[1]: "Top" for r in rows} | {"x": None, "y": None, "z": None}
+    moves = spark.createDataFrame([("a00", "a08"), ("a00", "b08"), ("x", "y")], "id string, new_parent_id string")
+    assert {(r.id, r.new_parent_id, r.reason) for r in C.refused_moves(cats, moves).collect()} == {
+        ("a00", "a08", "under its own descendant"), ("x", "y", "under its own descendant")}

@@ -413,7 +413,7 @@ def library_filter_played(spark, sf):
 
 @REG.query("library_sort", f"WITH {GAMES}, o AS (SELECT id, row_number() OVER (ORDER BY rating DESC NULLS LAST, id) AS n FROM gs) SELECT id FROM o WHERE n<=300")
 def library_sort(spark, sf):
-    return G.sort_library(T.games(spark, sf), "score", descending=True).limit(300).select("id")
+    return G.sorted_positions(T.games(spark, sf), "score", descending=True)
 
 
 @REG.query("library_activity", f"WITH {GAMES} SELECT count(*) FILTER (sec>0) AS played, count(*) FILTER (coalesce(sec,0)<=0) AS unplayed, CAST(coalesce(sum(sec),0) AS BIGINT) AS seconds FROM gs")

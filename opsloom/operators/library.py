@@ -1,10 +1,11 @@
 """Reports over a nested game library: flat inventory, stores, ratings, modes, filters, activity."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.columns import none_if_blank
+from opsloom.session import cut_lineage
 
 LISTS = ["genres", "features", "tags", "developers", "publishers", "platforms"]
 STORE_NAMES = r"(?i)store|steam|gog|epic|xbox|ubisoft|origin|\bea\b|battle|amazon|itch"
@@ -77,6 +78,19 @@ def sort_library(games: DataFrame, key: str = "name", descending: bool = False)
     return games.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "id")
 
 
+def sorted_positions(games: DataFrame, key: str = "name", descending: bool = False) -> DataFrame:
+    """Every game's id and its ``position`` from 1 in the order of ``sort_library``.
+
+    Partitions are sorted by range and counted; only their counts, one row each, meet in one place.
+    """
+    at = F.monotonically_increasing_id()
+    # the upper bits are the partition's number, the lower 33 the row's place in it
+    rows = cut_lineage(sort_library(games, key, descending).select("id", F.shiftright(at, 33).alias("__part"), at.bitwiseAND((1 << 33) - 1).alias("__row")))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return rows.join(sizes, "__part").select("id", (F.col("__start") + F.col("__row") + 1).alias("position"))
+
+
 def activity(games: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
     """(counts with and without playtime, the most played games)."""
     played = F.coalesce("playtime_sec", F.lit(0)) > 0

@@ -6,18 +6,21 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from opsloom.functions import titles as X
 from opsloom.functions.patterns import alternatives, occurs, required_text
 from opsloom.functions.rules import BRANDS, BUILTIN_RULES, SOURCE_GROUPS
 from opsloom.operators import alerts as S
 from opsloom.operators import catalog as B
 from opsloom.operators import corpus as K
+from opsloom.operators import library as G
 from opsloom.operators import metrics as M
 from opsloom.operators import questions as N
 from opsloom.operators import rulesets as R
 from opsloom.plans import hotkeys as H
 from opsloom.sources import filters_xml as FX
 from opsloom.sources import statements as I
+from opsloom.sources import tables
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -202,6 +205,15 @@ def test_title_pairs_are_complete(spark):
     assert {(r.id, r.cat_id, r.how) for r in B.link_catalog(items, entries).collect()} == {("i2", 2, "title")}
 
 
+def test_library_sort_gives_every_game_its_position(spark):
+    folder = "/root/testdata/sf0.01"
+    games = tables.games(spark, folder)
+    rated = [(r.id, r.s) for r in games.select("id", G.score().alias("s")).collect()]
+    want = {i: n for n, (i, _) in enumerate(sorted(rated, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1)}
+    rows = entry.queries()["library_sort"](spark, folder).collect()
+    assert {r.id: r.position for r in rows} == want and len(rows) == len(rated) > 300
+
+
 @pytest.mark.parametrize("names,groups", [
     (["01 - One.mp3", "02 - One.mp3"], 1), (["Series Book 1.mp3", "Series Book 2.mp3"], 2), (["The Tale 01.mp3", "The Tale 02.mp3", "The Tale 03.mp3"], 1), (["The Book 01.mp3", "The Book 02.mp3"], 2),
     (["S - 6 Fugitive.mp3", "S - 7 Collapse.mp3"], 2), (["Tale Part 1.mp3", "Tale Part 2.mp3"], 1), (["S 8.m4b", "S 9.m4b", "S 11.m4b"], 3), (["Chapter 1.mp3", "Chapter 2.mp3"], 1),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.registry import Registry
-from . import bpe, decontaminate, line_dedup, near_duplicates, nearest, personal_data, quality, token_counts, url_filter, warc
+from . import bpe, decontaminate, line_dedup, merkle, near_duplicates, nearest, oracles, personal_data, quality, token_counts, url_filter, warc
 
 REG = Registry()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,6 +124,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@REG.query("op12_merkle_manifest", oracles.manifest_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    made = merkle.manifest(table(spark, folder, "documents"), claims={"text": altered})
+    checked = made.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("steps")))
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+                          (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @REG.query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

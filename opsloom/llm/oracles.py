@@ -58,3 +58,42 @@ def manifest_sql(levels: int = 8, upper: int = 2, fanout: int = 8) -> str:
     return "WITH " + ",\n ".join(parts) + f"""
 SELECT q.doc_id, q.leaf, n.h AS subroot, v.h AS root, sha256(q.sib) AS proof_sha256, q.f AS folded_root, q.f = v.h AS verified
 FROM q{upper} q JOIN n{levels} n ON n.g = q.g, v{upper} v"""
+
+
+def repair_sql() -> str:
+    """Damage, faults and the cheapest edits from the last row of each conversation to its first."""
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    blanks = r"\x20\x09-\x0D"
+
+    def then(letters, cost, state):
+        return f"{{'c': {cost} + {state}.c, 't': '{letters}' || {state}.t}}"
+
+    def edits(state, keeps, to):
+        found = [then("D", 4, state), f"CASE WHEN NOT gone THEN {then('R', '3 + x', to)} END"]
+        return "least(" + ", ".join(found + [f"CASE WHEN NOT gone AND ini = '{r}' THEN {then('K', 'x', n)} END" for r, n in keeps]) + ")"
+
+    return f"""WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(f"({key})")} % 20 AS kind FROM conversations),
+ r AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM b WHERE kind <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, substr(role, 1, 1) AS ini,
+   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM r),
+ f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{blanks}]') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][{blanks}]*\\z') THEN 3 ELSE 0 END AS fault,
+   lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM o),
+ g AS (SELECT conv_id, i, ini, fault IN (1, 2) AS gone, CASE fault WHEN 3 THEN 3 ELSE 0 END AS x FROM f),
+ z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+   count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (nxt IS NOT NULL AND ini || nxt NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+ w AS (SELECT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 't': ''}} AS e, {{'c': 6::BIGINT, 't': 'II'}} AS s, {{'c': 3::BIGINT, 't': 'I'}} AS u, {{'c': 0::BIGINT, 't': ''}} AS a FROM z
+   UNION ALL SELECT conv_id, i, least(e0, {then('I', 3, 'u0')}, {then('II', 6, 'a0')}), least(s0, {then('I', 3, 'u0')}, {then('II', 6, 'a0')}), least(u0, {then('I', 3, 'a0')}),
+     least(a0, {then('I', 3, 'u0')}) FROM (SELECT g.conv_id, g.i, {edits('e', (('s', 's'), ('u', 'u')), 'u')} AS e0, {edits('s', (('u', 'u'),), 'u')} AS s0,
+       {edits('u', (('a', 'a'),), 'a')} AS u0, {edits('a', (('u', 'u'),), 'u')} AS a0 FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i - 1)),
+ t AS (SELECT conv_id, e.c AS cost, e.t AS audit FROM w WHERE i = 1),
+ c AS (SELECT conv_id, unnest(string_split(audit, '')) AS ch, generate_subscripts(string_split(audit, ''), 1) AS j FROM t WHERE audit <> ''),
+ p AS (SELECT *, count(*) FILTER (ch <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (ch <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS k FROM c),
+ m AS (SELECT p.conv_id, p.ch, p.j, p.k, f.role, f.text, max(CASE WHEN p.k = 1 AND p.ch = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS sys
+   FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND p.ch <> 'I'),
+ h AS (SELECT conv_id, sha256(string_agg(CASE ch WHEN 'K' THEN role ELSE CASE WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || coalesce(text, ''), chr(10) ORDER BY j)
+   FILTER (ch <> 'D')) AS h FROM m GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+ coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+ LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM d.conv_id"""

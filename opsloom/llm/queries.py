@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.registry import Registry
-from . import bpe, decontaminate, line_dedup, merkle, near_duplicates, nearest, oracles, personal_data, quality, token_counts, url_filter, warc
+from . import bpe, conversations, decontaminate, line_dedup, merkle, near_duplicates, nearest, oracles, personal_data, quality, token_counts, url_filter, warc
 
 REG = Registry()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,6 +133,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
                           (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@REG.query("op13_conversation_repair", oracles.repair_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+
+
 @REG.query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

@@ -97,3 +97,16 @@ SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
  LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+def main_text_sql() -> str:
+    """The ``article`` element of the given pages, cut at its paragraphs and heading, without tags and with the references that occur there decoded."""
+    decoded = "t"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        decoded = f"replace({decoded}, '{name}', '{char}')"
+    return f"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+ b AS (SELECT page_id, unnest(regexp_split_to_array(h, '</?(?:p|h1)>')) AS t, generate_subscripts(regexp_split_to_array(h, '</?(?:p|h1)>'), 1) AS i FROM a),
+ c AS (SELECT page_id, i, regexp_replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g') AS t FROM b),
+ d AS (SELECT page_id, i, {decoded} AS t FROM (SELECT page_id, i, trim(t) AS t FROM c) WHERE t <> ''),
+ e AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM d GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM a LEFT JOIN e USING (page_id)"""

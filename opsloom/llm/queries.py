@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checks.registry import Registry
-from . import bpe, conversations, decontaminate, line_dedup, merkle, near_duplicates, nearest, oracles, personal_data, quality, token_counts, url_filter, warc
+from . import bpe, conversations, decontaminate, line_dedup, merkle, near_duplicates, nearest, oracles, personal_data, quality, token_counts, url_filter, warc, wrappers
 
 REG = Registry()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,6 +124,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@REG.query("op11_main_text", oracles.main_text_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @REG.query("op12_merkle_manifest", oracles.manifest_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))

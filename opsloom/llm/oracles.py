@@ -102,8 +102,9 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN z ON z.conv_id IS
 def main_text_sql() -> str:
     """The ``article`` element of the given pages, cut at its paragraphs and heading, without tags and with the references that occur there decoded."""
     decoded = "t"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
-        decoded = f"replace({decoded}, '{name}', '{char}')"
+    # The semicolon of these may be missing, as HTML reads them.
+    for name, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;?", "''"), ("&#39;?", "''"), ("&amp;?", "&")):
+        decoded = f"regexp_replace({decoded}, '{name}', '{char}', 'g')"
     return f"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
  b AS (SELECT page_id, unnest(regexp_split_to_array(h, '</?(?:p|h1)>')) AS t, generate_subscripts(regexp_split_to_array(h, '</?(?:p|h1)>'), 1) AS i FROM a),
  c AS (SELECT page_id, i, regexp_replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g') AS t FROM b),

@@ -144,7 +144,7 @@ SCORED = f"""hk AS (SELECT id, author, narrator, {norm_key_sql('ts')} AS hkey FR
 ck AS (SELECT cat_id, author AS ca_author, narrator AS ca_narrator, {norm_key_sql('v')} AS ckey FROM (SELECT *, unnest({variants_sql('title')}) AS v FROM ca)),
 pr0 AS (SELECT h.hkey, c.ckey FROM (SELECT DISTINCT hkey FROM hk WHERE hkey<>'') h, (SELECT DISTINCT ckey FROM ck WHERE ckey<>'') c),
 {token_ctes('pr0', 'hkey', 'ckey', 'pr1')},
-pr AS (SELECT hkey, ckey, tok*0.35::DOUBLE+sq*0.65::DOUBLE AS s FROM pr1 WHERE len(c)*2>=len(wa) AND len(c)*2>=len(wb) AND tok*0.35::DOUBLE+sq*0.65::DOUBLE>=({{floor}}-30)/0.75::DOUBLE),
+pr AS (SELECT hkey, ckey, tok*0.35::DOUBLE+sq*0.65::DOUBLE AS s FROM pr1 WHERE tok*0.35::DOUBLE+sq*0.65::DOUBLE>=({{floor}}-30)/0.75::DOUBLE),
 au0 AS (SELECT a, b, {norm_key_sql('a')} AS ka, {norm_key_sql('b')} AS kb FROM (SELECT DISTINCT hk.author AS a, ck.ca_author AS b FROM hk JOIN pr USING (hkey) JOIN ck USING (ckey))),
 {token_ctes('au0', 'ka', 'kb', 'au1')},
 na0 AS (SELECT a, b, {norm_key_sql('a')} AS ka, {norm_key_sql('b')} AS kb FROM (SELECT * FROM (SELECT DISTINCT narrator AS a FROM hk WHERE narrator IS NOT NULL), (SELECT DISTINCT ca_narrator AS b FROM ck))),
@@ -411,7 +411,7 @@ def library_filter_played(spark, sf):
     return G.filter_library(T.games(spark, sf), name="B", store="Steam", installed=True, played=True).select("id")
 
 
-@REG.query("library_sort", f"WITH {GAMES}, o AS (SELECT id, row_number() OVER (ORDER BY rating DESC NULLS LAST, id) AS n FROM gs) SELECT id FROM o WHERE n<=300")
+@REG.query("library_sort", f"WITH {GAMES}, o AS (SELECT id, row_number() OVER (ORDER BY rating DESC NULLS LAST, id) AS n FROM gs) SELECT id, n AS position FROM o")
 def library_sort(spark, sf):
     return G.sorted_positions(T.games(spark, sf), "score", descending=True)
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import titles as T
-from opsloom.functions.columns import let, none_if_blank, word_list
+from opsloom.functions.columns import none_if_blank
+from opsloom.operators.title_pairs import scored_pairs
+from opsloom.session import cut_lineage
 
 THRESHOLD = 82
 TITLE_FLOOR = 90
@@ -32,39 +34,13 @@ def drop_junk(df: DataFrame, columns: Sequence[str] = JUNK_FIELDS) -> DataFrame:
 
 # --- candidate pairs -----------------------------------------------------------------------------------------------
 
-def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(lkey, rkey, score) of the distinct normalised titles whose title score is at least ``least``; none is left out.
-
-    The scores looked for let two titles differ in every other letter, so no word, piece or letter need be shared and any key
-    to join on would lose some: each distinct title meets each of a length that can reach the score. It is
-    ``T.title_score`` from words that were split and sorted once: what follows the shared words decides the distance of both
-    sorted sides, and the shared words against the shorter side stand for both other comparisons (100 if one holds the other).
-    """
-    def titles(df, side):
-        key = F.col(f"{side}key")
-        out = df.select(F.col("key").alias(f"{side}key")).distinct().filter(key != "").withColumn(f"{side}w", F.array_sort(F.array_distinct(word_list(key))))
-        return out.withColumns({f"{side}n": F.length(key), f"{side}s": F.length(F.array_join(f"{side}w", " "))})
-
-    rest = lambda a, b: F.array_join(F.array_except(a, b), " ")
-    shared = F.length(F.array_join(F.array_intersect("lw", "rw"), " "))
-    both = F.col("ls") + F.col("rs")
-    words = F.greatest((both - F.levenshtein(rest("lw", "rw"), rest("rw", "lw"))) * F.lit(100.0) / both,
-                       (shared + shared) * F.lit(100.0) / (shared + F.least("ls", "rs")))
-    letters = T.sequence_ratio(F.col("lkey"), F.col("rkey"))
-    room = (least - 35) / 0.65 - 1e-6
-    near = F.least("ln", "rn") * F.lit(200.0) >= (F.col("ln") + F.col("rn")) * room
-    score = F.when(F.col("lkey") == F.col("rkey"), F.lit(100.0)).otherwise(words) * 0.35 + letters * 0.65
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = titles(left, "l").repartition(4 * parts, "lkey").join(titles(right, "r"), near & (letters >= room) & (score >= least))
-    return pairs.select("lkey", "rkey", score.alias("score"))
-
-
 def near_keys(left: DataFrame, right: DataFrame, floor: float = NEAR_PATH) -> DataFrame:
     """Pairs of distinct keys whose sequence ratio is at least ``floor``: exact, and never all against all.
 
     Two such strings differ in at most ``k`` edits, ``k`` following from the right string's length; the right
-    string is cut into ``k + 1`` pieces of which one must survive unchanged, shifted by at most ``k``. So pieces
-    meet substrings in one equi-join on (length, piece number, text) and only those pairs are measured.
+    string is cut into ``k + 1`` pieces of which one survives unchanged: the i-th with at most i edits before it and
+    k - i behind it, so its shift is at most i, and differs from that of the end by at most k - i. Pieces meet the
+    substrings at those places in one equi-join on (length, piece number, text); only such pairs are measured.
     """
     slack = 1 - floor / 100
     distance = lambda n: F.floor(n * 2 * slack / (1 - slack) + 1e-9).cast("int")
@@ -78,9 +54,11 @@ def near_keys(left: DataFrame, right: DataFrame, floor: float = NEAR_PATH) -> Da
     reach = distance(F.col("ln") * (1 + 2 * slack / (1 - slack))) + 1
     lengths = lk.select("lkey", "ln", F.explode(F.sequence(F.greatest(F.lit(1), F.col("ln") - reach), F.col("ln") + reach)).alias("n")).withColumn(
         "k", distance(F.col("n"))).filter(F.abs(F.col("n") - F.col("ln")) <= F.col("k"))
-    probes = lengths.select("lkey", "n", "k", piece.alias("len"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select(
+    probes = lengths.select("lkey", "n", "k", piece.alias("len"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), (F.col("ln") - F.col("n")).alias("more")).withColumns({
+        "low": F.col("i") * F.col("len") + 1 - F.least(F.col("i"), F.col("k") - F.col("i") - F.col("more")),
+        "high": F.col("i") * F.col("len") + 1 + F.least(F.col("i"), F.col("k") - F.col("i") + F.col("more"))}).filter("low <= high").select(
         "lkey", "n", "i", F.when(F.col("i") == F.col("k"), F.col("n") - F.col("i") * F.col("len")).otherwise(F.col("len")).alias("size"),
-        F.explode(F.sequence(F.col("i") * F.col("len") + 1 - F.col("k"), F.col("i") * F.col("len") + 1 + F.col("k"))).alias("start")).filter("start >= 1").select(
+        F.explode(F.sequence(F.col("low"), F.col("high"))).alias("start")).filter("start >= 1").select(
         "lkey", "n", "i", F.substring("lkey", F.col("start"), F.col("size")).alias("text"))
     pairs = probes.join(pieces, ["n", "i", "text"]).select("lkey", "rkey").distinct()
     return pairs.withColumn("ratio", T.sequence_ratio(F.col("lkey"), F.col("rkey"))).filter(F.col("ratio") >= floor)
@@ -112,26 +90,20 @@ def _entry_groups(catalog: DataFrame, keep: int) -> DataFrame:
 def scored_candidates(hints: DataFrame, catalog: DataFrame, floor: float = THRESHOLD, keep: int = 8) -> DataFrame:
     """(key, a_key, n_key, cat_id, score) with score >= ``floor`` for the distinct hints.
 
-    Equal hints and equal entries are one row each before anything is paired, titles are paired and scored once,
-    and a title pair is dropped as soon as a perfect author and narrator could not lift it to the floor. A
-    narrator that agrees by more than 85 adds 5 points, up to 100. Of entries that agree in title, author and
+    Equal hints and equal entries are one row each before anything is paired, and a pair is dropped as soon as bounds on its
+    title, author and narrator show that it misses the floor (``scored_pairs``). A narrator that agrees by more than 85 adds 5 points, up to 100. Of entries that agree in title, author and
     narrator the ``keep`` smallest ids stand for all, as all score alike.
     """
-    distinct = hints.select(*HINT).distinct()
-    entries = _entry_groups(catalog, keep)
-    pairs = similar_titles(distinct, entries.withColumnRenamed("rkey", "key"), (floor - 30) / 0.75).withColumnRenamed("score", "__s")
-    hit = distinct.withColumnRenamed("key", "lkey").join(pairs, "lkey").join(entries, "rkey")
-    alike = T.token_set_ratio(F.col("n_key"), F.col("cn_key"))
-    scored = hit.withColumn("__a", T.with_author(F.col("__s"), F.col("a_key"), F.col("ca_key"))).withColumn(
-        "score", F.when(alike > 85, F.least(F.lit(100.0), F.col("__a") + 5.0)).otherwise(F.col("__a"))).filter(F.col("score") >= floor)
-    return scored.select(F.col("lkey").alias("key"), "a_key", "n_key", F.explode("ids").alias("cat_id"), "score").groupBy(
+    entries = cut_lineage(_entry_groups(catalog, keep))
+    scored = scored_pairs(hints, entries, floor)
+    return scored.join(entries, ["rkey", "ca_key", "cn_key"]).select(*HINT, F.explode("ids").alias("cat_id"), "score").groupBy(
         *HINT, "cat_id").agg(F.max("score").alias("score"))
 
 
 def ambiguous_match(items: DataFrame, catalog: DataFrame, floor: float = THRESHOLD, margin: float = 0.5) -> DataFrame:
     """Per item its best entry, and whether two or more different entries lie within ``margin`` of the top."""
-    hints = hint_keys(items)
-    scored = scored_candidates(hints, catalog, floor)
+    hints = cut_lineage(hint_keys(items))
+    scored = cut_lineage(scored_candidates(hints, catalog, floor))
     best = scored.groupBy(*HINT).agg(F.max("score").alias("top"), F.min_by("cat_id", F.struct((-F.col("score")).alias("s"), "cat_id")).alias("best_id"))
     near = scored.join(best, HINT).filter(F.col("score") >= F.col("top") - margin).groupBy(*HINT, "top", "best_id").agg(F.countDistinct("cat_id").alias("near"))
     return hints.join(near, HINT).select("id", F.col("best_id").alias("cat_id"), F.col("top").alias("score"), (F.col("near") >= 2).alias("ambiguous"))
@@ -139,7 +111,7 @@ def ambiguous_match(items: DataFrame, catalog: DataFrame, floor: float = THRESHO
 
 def top_candidates(items: DataFrame, catalog: DataFrame, k: int = 8, floor: float = THRESHOLD) -> DataFrame:
     """The ``k`` best entries per item, best first."""
-    hints = hint_keys(items)
+    hints = cut_lineage(hint_keys(items))
     order = Window.partitionBy(*HINT).orderBy(F.desc("score"), "cat_id")
     best = scored_candidates(hints, catalog, floor, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return hints.join(best, HINT).select("id", "cat_id", "rank", "score")
@@ -152,10 +124,10 @@ def link_catalog(items: DataFrame, catalog: DataFrame, title_floor: float = max(
     left = items.join(by_id, "id", "left_anti").withColumn("key", T.path_key(F.col("path")))
     paths = catalog.withColumn("key", T.path_key(F.col("path"))).filter("key <> ''").groupBy("key").agg(F.max("cat_id").alias("cat_id"))
     by_path = left.join(paths, "key").select("id", "cat_id", F.lit(100.0).alias("score"), F.lit("path").alias("how"))
-    left = left.join(by_path, "id", "left_anti")
+    left = cut_lineage(left.join(by_path, "id", "left_anti"))
     near = near_keys(left, paths).join(paths.withColumnRenamed("key", "rkey"), "rkey")
     best = near.groupBy("lkey").agg(F.max_by(F.struct("cat_id", "ratio"), F.struct("ratio", "rkey")).alias("b"))
-    by_near = left.join(best, left["key"] == best["lkey"]).select("id", "b.cat_id", F.col("b.ratio").alias("score"), F.lit("path~").alias("how"))
+    by_near = cut_lineage(left.join(best, left["key"] == best["lkey"]).select("id", "b.cat_id", F.col("b.ratio").alias("score"), F.lit("path~").alias("how")))
     left = left.join(by_near, "id", "left_anti").drop("key")
     by_title = ambiguous_match(left, catalog, title_floor).select("id", "cat_id", "score", F.lit("title").alias("how"))
     return by_id.unionByName(by_path).unionByName(by_near).unionByName(by_title)

@@ -12,6 +12,7 @@ from opsloom.functions.patterns import alternatives, occurs, required_text
 from opsloom.functions.rules import BRANDS, BUILTIN_RULES, SOURCE_GROUPS
 from opsloom.operators import alerts as S
 from opsloom.operators import catalog as B
+from opsloom.operators import title_pairs
 from opsloom.operators import corpus as K
 from opsloom.operators import library as G
 from opsloom.operators import metrics as M
@@ -191,14 +192,19 @@ def test_title_pairs_are_complete(spark):
             i = rng.randrange(len(s))
             s = rng.choice([s[:i] + s[i + 1:] or s, s[:i] + "x" + s[i:], s[:i] + " " + s[i:]])
         return " ".join(s.split()) or "x"
-    left = spark.createDataFrame([(k,) for k in ["mistbron", "foundaton", "", *map(edit, base)]], "key string")
-    right = spark.createDataFrame([(k,) for k in base], "key string")
-    a, b = F.col("a"), F.col("b")
-    scored = left.select(F.col("key").alias("a")).distinct().crossJoin(right.select(F.col("key").alias("b")).distinct()).withColumn("s", X.title_score(a, b)).collect()
-    for least in (52 / 0.75, 80.0):
-        got = {(r.lkey, r.rkey): r.score for r in B.similar_titles(left, right, least).collect()}
-        assert got == {(r.a, r.b): r.s for r in scored if r.s >= least} and len(got) > 40
-        assert ("mistbron", "mistborn") in got or least > 75
+    names = ["", "ann lee", "lee ann", "bob stone", "b stone", "reader 1", "reader 2"]
+
+    def rows(keys):
+        return [(k, rng.choice(names), rng.choice(names)) for k in keys]
+    left = spark.createDataFrame(rows(["mistbron", "foundaton", "", "long " * 20 + "tail", *map(edit, base)]), "key string, a_key string, n_key string").distinct()
+    right = spark.createDataFrame(rows(["long " * 20 + "tale", *base, *base]), "rkey string, ca_key string, cn_key string").distinct()
+    title = X.title_score(F.col("key"), F.col("rkey"))
+    score = X.with_author(title, F.col("a_key"), F.col("ca_key"))
+    score = F.when(X.token_set_ratio(F.col("n_key"), F.col("cn_key")) > 85, F.least(F.lit(100.0), score + 5.0)).otherwise(score)
+    scored = left.crossJoin(right).filter("key <> ''").withColumn("s", score).collect()
+    for least in (60.0, 82.0, 90.0):
+        got = {(*r[:6], r.score) for r in title_pairs.scored_pairs(left, right, least, rows=(20, 30)).select("key", "a_key", "n_key", "rkey", "ca_key", "cn_key", "score").collect()}
+        assert got == {tuple(r) for r in scored if r.s >= least} and len(got) > 40
     items = spark.createDataFrame([("i1", "", "Mistbron", "", ""), ("i2", "", "Foundaton", "", "")], "id string, path string, title string, author string, product_id string")
     entries = spark.createDataFrame([(1, "", "Mistborn", "", ""), (2, "", "Foundation", "", "")], "cat_id long, path string, title string, author string, product_id string")
     assert {(r.id, r.cat_id) for r in B.top_candidates(items, entries).collect()} == {("i1", 1), ("i2", 2)}

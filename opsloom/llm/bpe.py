@@ -289,7 +289,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that packed ids stand for (null: none)."""
+    """``df`` with the bytes that packed ids stand for (null: none). A given column of that name is refused."""
+    if decoded.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the rows already have {decoded}")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:

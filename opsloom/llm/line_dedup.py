@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, in_arrow, shared_folder, slices, stored
+from .common import as_bytes, free_name, in_arrow, shared_folder, slices, stored
 
 #: Bytes of text that a task works on at a time.
 SLICE = 2 << 20
@@ -109,9 +109,9 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_
 
     Lines are split at line feeds; a null or empty text is one empty line and stays as it is. The key of a line is the line
     without ASCII blanks at its ends, ASCII letters lower-cased. A key of at least ``least_chars`` code points
-    found in at least ``least_docs`` rows loses all its lines except in the rows with the largest id that holds it.
+    found in at least ``least_docs`` documents loses all its lines except in the rows with the largest id that holds it.
     A document that loses all its lines becomes the empty text. Repeats inside one document count once and fall
-    or stay together. Rows with equal ids are counted each; rows without an id come last (smaller than any id).
+    or stay together. Rows with equal ids are one document; rows without an id count for none and keep all their lines.
     A given column with one of the ``names`` is refused.
 
     The keys are taken from the texts once and stored by batch (ranges of ids); ``LineRuns`` settles them. A
@@ -121,22 +121,29 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least_
     if clash:
         raise ValueError(f"documents already have {sorted(clash)}")
     spark = docs.sparkSession
-    found = lines_of(docs, doc, text, least_chars)
+    found = lines_of(docs, doc, text, least_chars).filter("doc IS NOT NULL")
+    # A key counts once for each id: where ids repeat, the keys of their rows are made distinct first.
+    ids = docs.select(F.col(f"`{doc}`").cast("long").alias("doc")).filter("doc IS NOT NULL")
+    again = stored(ids.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "repeated")
+    if not again.isEmpty():
+        found = found.join(again, "doc", "left_anti").unionByName(found.join(again, "doc", "left_semi").distinct())
     cuts = docs.agg(F.percentile_approx(F.col(doc).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     cuts = sorted({*(cuts or [])})
-    # Null ids fall into the last batch: no comparison with a cut holds for them.
     batch = F.lit(len(cuts))
     for i, cut in enumerate(cuts):
         batch = F.when(F.col("doc") > cut, F.least(batch, F.lit(len(cuts) - 1 - i))).otherwise(batch)
     keys = stored(found.withColumn("batch", batch), "lines", by="batch")
     runs = LineRuns(spark, least_docs, fan_in)
-    for i in range(len(cuts) + 1):
-        runs.add(keys.filter(F.col("batch") == i))
-    frequent = stored(runs.frequent(), "frequent")
-    runs.close()
+    try:
+        for i in range(len(cuts) + 1):
+            runs.add(keys.filter(F.col("batch") == i))
+        frequent = stored(runs.frequent(), "frequent")
+    finally:
+        runs.close()
+    own, drop = free_name("__doc", docs.columns), free_name("__drop", docs.columns)
     drops = (keys.join(frequent, ["k1", "k2"]).filter(~F.col("doc").eqNullSafe(F.col("top")))
-             .groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("__drop")).withColumnRenamed("doc", "__doc"))
-    joined = docs.join(drops, docs[doc].cast("long").eqNullSafe(drops["__doc"]), "left").drop("__doc")
+             .groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias(drop)).withColumnRenamed("doc", own))
+    joined = docs.join(drops, docs[doc].cast("long") == drops[own], "left").drop(own)
     return _without(joined, docs.schema, text, least_chars, names)
 
 

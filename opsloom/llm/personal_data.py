@@ -5,7 +5,6 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +123,13 @@ class Field:
     def __init__(self, weights: dict[str, np.ndarray] | None = None) -> None:
         self.weights = weights or {}
 
-    def segments(self, text: str, atoms: list[tuple[int, int]], offset: int = 0) -> list[tuple[int, int, list[str]]]:
-        """First atom, atom past the last, features of every candidate of up to ``MOST_ATOMS`` atoms."""
+    def segments(self, text: str, atoms: list[tuple[int, int]], offset: int = 0, taken=lambda a, b: False) -> list[tuple[int, int, list[str]]]:
+        """First atom, atom past the last, features of every candidate of up to ``MOST_ATOMS`` atoms that touches nothing ``taken``."""
         out = []
         for i in range(len(atoms)):
             for j in range(i + 1, min(len(atoms), i + MOST_ATOMS) + 1):
+                if taken(atoms[i][0], atoms[j - 1][1]):
+                    break  # every longer one touches it too
                 a, b = atoms[i][0] - offset, atoms[j - 1][1] - offset
                 out.append((i, j, features(text[a:b], text[a - 1:a] if a else "", text[b:b + 1])))
         return out
@@ -137,15 +138,14 @@ class Field:
         zero = np.zeros(len(KINDS))
         return sum((self.weights.get(f, zero) for f in names), zero)
 
-    def best(self, text: str, atoms: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """Boundaries and kinds of the best segmentation, jointly; segments that touch ``taken`` are no candidates."""
+    def best(self, text: str, atoms: list[tuple[int, int]], taken) -> list[tuple[str, int, int]]:
+        """Boundaries and kinds of the best segmentation, jointly; segments that are ``taken(start, end)`` are no candidates."""
         ends = defaultdict(list)
-        for i, j, names in self.segments(text, atoms):
-            if not any(a < atoms[j - 1][1] and atoms[i][0] < b for a, b in taken):
-                scores = self.score(names)
-                kind = int(scores.argmax())
-                if scores[kind] > 0:
-                    ends[j].append((i, float(scores[kind]), kind))
+        for i, j, names in self.segments(text, atoms, taken=taken):
+            scores = self.score(names)
+            kind = int(scores.argmax())
+            if scores[kind] > 0:
+                ends[j].append((i, float(scores[kind]), kind))
         if not ends:
             return []
         top, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
@@ -273,22 +273,36 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
+class Taken:
+    """Spans in order of start, with how far those up to each reach: whether one of them is touched is one bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.reach: list[int] = []
+        for a, b in sorted(spans):
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        """One more, not before those that are there."""
+        self.starts.append(a)
+        self.reach.append(max(b, self.reach[-1]) if self.reach else b)
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b) - 1
+        return at >= 0 and self.reach[at] > a
+
+
 def all_spans(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
-    """Fixed matches and the spans that the field adds beside them, by kind and start."""
+    """Fixed matches and the spans that the field adds beside them, by kind and start. The work is in proportion to the text."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
-    out, mails = [(*s, True) for s in base], []
-    for start, end, atoms in islands(text):
-        near, at = [], bisect_left(starts, end) - 1
-        while at >= 0 and reach[at] > start:
-            if taken[at][1] > start:
-                near.append(taken[at])
-            at -= 1
-        if len(near) == 1 and near[0][0] <= start and end <= near[0][1]:
-            continue
-        found = field.best(text, atoms, near + [m for m in mails if m[0] < end and start < m[1]])
-        mails += [(a, b) for kind, a, b in found if kind == "email"]
+    fixed, mails = Taken((a, b) for _, a, b in base), Taken()
+    out = [(*s, True) for s in base]
+    for _, _, atoms in islands(text):
+        found = field.best(text, atoms, lambda a, b: fixed.touches(a, b) or mails.touches(a, b))
+        for kind, a, b in found:
+            # Stretches of digits, which come after those of mails, do not overlap each other.
+            if kind == "email" and (not mails.starts or a >= mails.starts[-1]):
+                mails.add(a, b)
         out += [(*s, False) for s in found]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

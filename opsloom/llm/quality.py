@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chosen, in_arrow, slices, stored, words
+from .common import as_bytes, chosen, free_name, in_arrow, slices, stored, words
 
 #: Bytes of text that a task works on at a time.
 SLICE = 2 << 20
@@ -106,12 +106,14 @@ def _summed(df: DataFrame, part) -> np.ndarray | None:
 
 def described(docs: DataFrame, text: str, *others: Column) -> DataFrame:
     """``x`` (packed statistics) and further columns of each row."""
+    body = free_name("__text", docs.columns)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", SLICE):
+        for batch in slices(batches, body, SLICE):
             packed = [np.array(statistics(b), "<f8").tobytes() for b in as_bytes(batch.column(0))]
             yield pa.record_batch([pa.array(packed, pa.binary()), *batch.columns[1:]], ["x", *batch.schema.names[1:]])
 
-    rows = docs.select(F.col(text).alias("__text"), *others)
+    rows = docs.select(F.col(text).alias(body), *others)
     return in_arrow(rows, run, T.StructType([T.StructField("x", T.BinaryType()), *rows.schema.fields[1:]]))
 
 

@@ -107,8 +107,13 @@ def data_at(file, member: Member) -> int:
 # ---- records
 
 
-def record(kind: str, uri: str, payload: bytes, digest: str, fields: Iterable[tuple[str, str]]) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
+def exact(uri: str | None) -> str:
+    """A url in a header field: JSON without a blank, so that null, blanks and line breaks come back as they were."""
+    return json.dumps(uri).replace(" ", "\\u0020")
+
+
+def record(kind: str, uri: str | None, payload: bytes, digest: str, fields: Iterable[tuple[str, str]]) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri or ""), ("X-Url", exact(uri)),
             ("WARC-Payload-Digest", f"sha1:{digest}"), *fields, ("Content-Type", "text/html"), ("Content-Length", str(len(payload)))]
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + payload + b"\r\n\r\n"
@@ -214,7 +219,7 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
                 fields = [("X-Page-ID", "" if name is None else str(name)), ("X-Payload-Length", str(len(body)))]
                 if refers is not None:
                     fields += [("WARC-Refers-To", f"page:{refers}"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                writer.add(uri or "", record(kind, uri or "", body if refers is None else b"", digest, fields), {"type": kind, "digest": digest})
+                writer.add(uri or "", record(kind, uri, body if refers is None else b"", digest, fields), {"type": kind, "digest": digest})
                 if writer.size >= archive_bytes:
                     close()
                     writer = None
@@ -271,7 +276,7 @@ def read_archives(archives: DataFrame, parts: int | None = None, with_payload: b
                 name, digest, refers = fields["x-page-id"], fields["warc-payload-digest"].removeprefix("sha1:"), fields.get("warc-refers-to")
                 if fields["warc-type"] == "response" and digest_of(body) != digest:
                     raise ValueError(f"damaged payload at {start} in {path}")
-                rows.append({"page_id": int(name) if name else None, "url": fields["warc-target-uri"], "record_type": fields["warc-type"],
+                rows.append({"page_id": int(name) if name else None, "url": json.loads(fields["x-url"]) if "x-url" in fields else fields["warc-target-uri"], "record_type": fields["warc-type"],
                              "payload_bytes": int(fields["x-payload-length"]), "payload_digest": digest,
                              "refers_to": int(refers.removeprefix("page:")) if refers else None, "payload": body if with_payload else None})
                 held += len(body) * with_payload

@@ -109,12 +109,12 @@ def lines_by_hand(rows, chars=40, docs=5):
     seen = {}
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            seen.setdefault(k, []).append(d)
-    gone = {k: max((d for d in v if d is not None), default=None) for k, v in seen.items() if len(k) >= chars and len(v) >= docs}
+            seen.setdefault(k, set()).update({d} - {None})
+    gone = {k: max(v) for k, v in seen.items() if len(k) >= chars and len(v) >= docs}
     out = []
     for d, t in rows:
         split = (t or "").split("\n")
-        kept = [x for x in split if key(x) not in gone or gone[key(x)] == d]
+        kept = [x for x in split if d is None or key(x) not in gone or gone[key(x)] == d]
         out.append((d, len(split), len(split) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -135,6 +135,23 @@ def test_line_dedup_equals_brute_force(spark, batches, fan_in):
         line_dedup.dedup_lines(docs.withColumnRenamed("key", "N_LINES"))
 
 
+def test_line_dedup_counts_documents_and_stands_its_own_names(spark):
+    line = "the same line of fifty characters, more or less ok"
+    docs = spark.createDataFrame([(7, line)] * 4 + [(3, line)] + [(None, line)] * 3, "doc_id long, text string").withColumn("__doc", F.lit("x")).withColumn("__drop", F.lit("y"))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(got) == 8 and all(r.text == line and r.n_dropped == 0 and (r["__doc"], r["__drop"]) == ("x", "y") for r in got)
+    more = docs.unionByName(spark.createDataFrame([(i, line, "x", "y") for i in (1, 2, 9)], docs.schema))
+    kept = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(more).collect()}
+    assert kept == {(None, line), (9, line), (1, ""), (2, ""), (3, ""), (7, "")}
+
+
+def test_archives_give_urls_back_as_they_were(spark):
+    urls = ["http://a/x  y\tz", None, "", " http://b ", "c\r\nX-Url: 1", 'q"\\u0020é']
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    made = warc.write_archives(pages, shared_folder(spark, "test-urls"))
+    assert [r.url for r in warc.read_archives(made).orderBy("page_id").collect()] == urls
+
+
 PAGES = "page_id long, url string, html string, path string"
 
 

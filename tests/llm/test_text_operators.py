@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as vocabularies
@@ -211,3 +212,19 @@ def test_digest_is_of_the_whole_text(spark):
     text = "á b" * 5_000
     row = bpe.encode(table(spark, [text]), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN, decoded="d").select(F.sha2("d", 256).alias("h")).first()
     assert row.h == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_texts_of_personal_data_are_read_in_proportion():
+    field = personal_data.Field({"1": np.ones(len(personal_data.KINDS))})
+    for part in ("1.2.3.4 ", "+1 234 567 8901 ", "ab.cd@ef.gh "):
+        began = time.monotonic()
+        spans = personal_data.all_spans(part * (400_000 // len(part)), field)
+        assert len(spans) >= 400_000 // len(part) and time.monotonic() - began < 20
+
+
+def test_own_names_clash_with_nothing(spark):
+    rows = spark.createDataFrame([(1, b"\x00\x00\x00\x00", "x")], "doc_id long, ids binary, decoded string")
+    with pytest.raises(ValueError):
+        bpe.decode(rows, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, __text string")
+    assert quality.described(docs, "text", F.col("__text")).first()["__text"] == "x"

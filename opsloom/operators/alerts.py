@@ -205,16 +205,89 @@ def _walk(keys: list[str]):
     return run
 
 
+#: Blocks of the walk: so many seconds, or so many times the gap if that is longer.
+BLOCK_S, BLOCK_GAPS = 86400, 16
+_MAP = "secs array<bigint>, stops array<bigint>, tails array<bigint>, total bigint, gap bigint"
+
+
+def _block_map(keys: list[str]):
+    """For a block of seconds: from every second at which the walk may enter it to its last stop there and the events after that.
+
+    A walk is ready again one gap after its last stop at most, so it enters in the first gap of the block, or at the first second behind that.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sec")
+        sec, gap, sums = pdf["sec"].to_numpy(), int(pdf["__gap"].iat[0]), np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
+        after = np.searchsorted(sec, sec + max(gap, 1))
+        last = np.where(after < len(sec), after, np.arange(len(sec)))
+        while not np.array_equal(last[last], last):
+            last = last[last]
+        enter = min(len(sec), int(np.searchsorted(sec, pdf["__start"].iat[0] + gap)) + 1)
+        ends = last[:enter]
+        return pdf[[*keys, "__block"]].iloc[:1].assign(secs=[sec[:enter]], stops=[sec[ends]], tails=[sums[-1] - sums[ends] - 1], total=int(sums[-1]), gap=gap)
+    return run
+
+
+def _compose(keys: list[str]):
+    """Maps of a key's blocks in order -> when the walk is ready in each block, and the events it has passed since its last stop."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ready, held = None, None, 0
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, ready, held = key, None, 0
+                found.append((ready, held))
+                at = 0 if ready is None else int(np.searchsorted(row.secs, ready))
+                if at < len(row.secs):
+                    ready, held = int(row.stops[at]) + row.gap, int(row.tails[at])
+                else:
+                    held += row.total
+            yield pdf[[*keys, "__block"]].assign(__ready=pd.array([f[0] for f in found], "Int64"), __held=[f[1] for f in found])
+    return run
+
+
+def _walk_block(keys: list[str]):
+    """The stops inside one block, from when the walk is ready."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sec")
+        sec, gap, sums = pdf["sec"].to_numpy(), int(pdf["__gap"].iat[0]), np.concatenate([[0], np.cumsum(pdf["n"].to_numpy())])
+        ready, held, begun = pdf["__ready"].iat[0], int(pdf["__held"].iat[0]), 0
+        at, passed = [], []
+        stop = 0 if pd.isna(ready) else int(np.searchsorted(sec, int(ready)))
+        while stop < len(sec):
+            at.append(stop)
+            passed.append(held + int(sums[stop] - sums[begun]))
+            begun, held = stop + 1, int(sums[stop + 1] - sums[stop]) - 1
+            stop = max(stop + 1, int(np.searchsorted(sec, sec[stop] + gap)))
+        return pdf[[*keys, "sec"]].iloc[at].assign(passed=np.array(passed, np.int64))
+    return run
+
+
 def spaced_seconds(per: DataFrame, keys: Sequence[str], gap: Column) -> DataFrame:
     """The seconds a greedy walk stops at: the first, then each first one at least ``gap`` after the last stop,
     with the events ``passed`` between two stops.
 
-    ``per`` has one row per key and distinct second with its count ``n``; keys are not null. The walk reads the
-    seconds of a key in Spark's order as a stream and jumps from stop to stop, so no key is ever held as a whole.
+    ``per`` has one row per key and distinct second with its count ``n``; keys are not null, the gap is one per key. Keys whose
+    seconds lie in one block (a day, or 16 gaps) are walked as a stream. A longer key is walked block by block in parallel: each block
+    first says where every possible entry leads, one pass over these maps in order finds the entry of each block, and the
+    blocks are then walked from their entries. No task sees more than a block of a key, or a sixteenth of it.
     """
+    keys = list(keys)
     types = dict(per.dtypes)
-    ordered = per.select(*keys, "sec", "n", gap.cast("long").alias("__gap")).repartition(*keys).sortWithinPartitions(*keys, "sec")
-    return ordered.mapInPandas(_walk(list(keys)), ", ".join(f"`{k}` {types[k]}" for k in keys) + ", sec bigint, passed bigint")
+    names = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    size = F.greatest(F.lit(BLOCK_S), F.col("__gap") * BLOCK_GAPS)
+    rows = per.select(*keys, "sec", "n", gap.cast("long").alias("__gap")).withColumn("__block", F.floor(F.col("sec") / size)).withColumn("__start", F.col("__block") * size)
+    spread = rows.groupBy(*keys, "__block").agg(F.first("__start").alias("__s")).drop("__s")
+    long = spread.join(spread.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"), keys, "left_semi")
+    short = rows.join(long, [*keys, "__block"], "left_anti").repartition(*keys).sortWithinPartitions(*keys, "sec")
+    out = short.select(*keys, "sec", "n", "__gap").mapInPandas(_walk(keys), f"{names}, sec bigint, passed bigint")
+    parts = rows.join(long, [*keys, "__block"], "left_semi")
+    maps = parts.groupBy(*keys, "__block").applyInPandas(_block_map(keys), f"{names}, __block bigint, {_MAP}")
+    entries = maps.repartition(*keys).sortWithinPartitions(*keys, "__block").mapInPandas(_compose(keys), f"{names}, __block bigint, __ready bigint, __held bigint")
+    walked = parts.join(entries, [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(_walk_block(keys), f"{names}, sec bigint, passed bigint")
+    return out.unionByName(walked)
 
 
 def suppress(matched: DataFrame, rules: Sequence[Rule], grace_s: int = GRACE_S) -> DataFrame:

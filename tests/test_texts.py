@@ -166,6 +166,29 @@ def test_titles(spark):
     assert one(spark, X.strip_series_prefix(F.lit("Foundation and Empire"), F.lit("Foundation"))) == "Foundation and Empire"
 
 
+def test_walks_of_long_keys_are_composed_of_blocks(spark):
+    rng = random.Random(5)
+    rows, want = [], []
+    for key, gap, share in (("a", 3600, 0.01), ("b", 100, 0.2), ("c", 86400, 0.002), ("d", 7, 0.3), ("e", 40_000, 0.0001), ("f", 3600, 0.00001)):
+        span = 30_000 if share > 0.1 else 40 * 86400 if share < 0.005 else 5 * 86400
+        first = rng.randrange(10 ** 9)
+        seconds = sorted({first + rng.randrange(span) for _ in range(max(1, int(span * share)))})
+        if key in "bd":  # short stretches on both sides of midnight, days apart
+            seconds = sorted({86400 * k + s % 30_000 - 15_000 for s in seconds for k in (20, 21, 29)})
+        last, held = None, 0
+        for s in seconds:
+            n = rng.randrange(1, 4)
+            rows.append((key, s, n, gap))
+            if last is None or s >= last + gap:
+                want.append((key, s, held))
+                last, held = s, n - 1
+            else:
+                held += n
+    per = spark.createDataFrame(rows, "key string, sec long, n long, gap long").repartition(4)
+    got = S.spaced_seconds(per, ["key"], F.col("gap")).collect()
+    assert sorted((r.key, r.sec, r.passed) for r in got) == sorted(want) and len(want) > 200
+
+
 def test_near_keys_are_complete(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(30, 60))).strip() + "z" for _ in range(60)]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.patterns import occurs
+from opsloom.session import cut_lineage
 from opsloom.plans.hotkeys import running_sum, sessions_over
 
 GRACE_S = 900
@@ -265,24 +266,32 @@ def _walk_block(keys: list[str]):
     return run
 
 
-def spaced_seconds(per: DataFrame, keys: Sequence[str], gap: Column) -> DataFrame:
+def spaced_seconds(per: DataFrame, keys: Sequence[str], gap: Column, most: int = 100_000) -> DataFrame:
     """The seconds a greedy walk stops at: the first, then each first one at least ``gap`` after the last stop,
     with the events ``passed`` between two stops.
 
-    ``per`` has one row per key and distinct second with its count ``n``; keys are not null, the gap is one per key. Keys whose
-    seconds lie in one block (a day, or 16 gaps) are walked as a stream. A longer key is walked block by block in parallel: each block
+    ``per`` has one row per key and distinct second with its count ``n``; keys are not null, the gap is one per key. Keys of
+    at most ``most`` seconds, about a day's, are walked as a stream. A longer key is walked by blocks (days, or 16 gaps) in parallel: each block
     first says where every possible entry leads, one pass over these maps in order finds the entry of each block, and the
-    blocks are then walked from their entries. No task sees more than a block of a key, or a sixteenth of it.
+    blocks are then walked from their entries. No task sees more than a block of such a key, or a sixteenth of it.
     """
     keys = list(keys)
     types = dict(per.dtypes)
     names = ", ".join(f"`{k}` {types[k]}" for k in keys)
     size = F.greatest(F.lit(BLOCK_S), F.col("__gap") * BLOCK_GAPS)
     rows = per.select(*keys, "sec", "n", gap.cast("long").alias("__gap")).withColumn("__block", F.floor(F.col("sec") / size)).withColumn("__start", F.col("__block") * size)
-    spread = rows.groupBy(*keys, "__block").agg(F.first("__start").alias("__s")).drop("__s")
-    long = spread.join(spread.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"), keys, "left_semi")
-    short = rows.join(long, [*keys, "__block"], "left_anti").repartition(*keys).sortWithinPartitions(*keys, "sec")
+    rows = cut_lineage(rows)  # four branches read it, none should match the log again
+    spread = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    many = spread.groupBy(*keys).agg(F.sum("__n").alias("__n")).filter(F.col("__n") > most).drop("__n")
+    long = cut_lineage(spread.drop("__n").join(many, keys, "left_semi"))
+    if long.isEmpty():
+        long, rest = None, rows
+    else:
+        rest = rows.join(long, [*keys, "__block"], "left_anti")
+    short = rest.repartition(*keys).sortWithinPartitions(*keys, "sec")
     out = short.select(*keys, "sec", "n", "__gap").mapInPandas(_walk(keys), f"{names}, sec bigint, passed bigint")
+    if long is None:
+        return out
     parts = rows.join(long, [*keys, "__block"], "left_semi")
     maps = parts.groupBy(*keys, "__block").applyInPandas(_block_map(keys), f"{names}, __block bigint, {_MAP}")
     entries = maps.repartition(*keys).sortWithinPartitions(*keys, "__block").mapInPandas(_compose(keys), f"{names}, __block bigint, __ready bigint, __held bigint")

@@ -185,8 +185,9 @@ def test_walks_of_long_keys_are_composed_of_blocks(spark):
             else:
                 held += n
     per = spark.createDataFrame(rows, "key string, sec long, n long, gap long").repartition(4)
-    got = S.spaced_seconds(per, ["key"], F.col("gap")).collect()
-    assert sorted((r.key, r.sec, r.passed) for r in got) == sorted(want) and len(want) > 200
+    for most in (0, 1000, 100_000):
+        got = S.spaced_seconds(per, ["key"], F.col("gap"), most).collect()
+        assert sorted((r.key, r.sec, r.passed) for r in got) == sorted(want) and len(want) > 200
 
 
 def test_near_keys_are_complete(spark):

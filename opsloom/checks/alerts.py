@@ -59,9 +59,9 @@ def parse_log_lines(spark, sf):
     return S.parse_log(lines, strict=True)
 
 
-@REG.query("coarse_filter", f"WITH {LOG}, {HITS} SELECT event_id FROM hits WHERE contains(low,'purchase') OR regexp_matches(low,'error k=[0-4]')")
+@REG.query("coarse_filter", f"WITH {LOG}, {HITS} SELECT event_id FROM hits WHERE contains(low,'purchase') OR contains(low,'bought') OR regexp_matches(low,'error k=[0-4]') OR contains(low,'k=') OR contains(low,'no such text')")
 def coarse_filter(spark, sf):
-    return S.coarse_filter(log(spark, sf), RULES[:2]).select("event_id")
+    return S.coarse_filter(log(spark, sf), RULES).select("event_id")
 
 
 @REG.query("match_rules_first", f"{FIRST} SELECT event_id, rule_ord, alert FROM m")

@@ -364,9 +364,11 @@ def plan(books: DataFrame) -> DataFrame:
     inside = F.col("destination").startswith(F.concat("path", F.lit("/")))
     first = (F.when(held, "held").when(F.col("destination").isNull() | inside, "undetermined").when(F.col("destination") == F.col("path"), "in_place"))
     staged = books.withColumn("bucket", first)
-    wanted = staged.filter(F.col("bucket").isNull()).groupBy(F.lower("destination").alias("__low")).agg(F.count("*").alias("__n"))
-    return staged.withColumn("__low", F.lower("destination")).join(wanted, "__low", "left").withColumn(
-        "bucket", F.coalesce("bucket", F.when(F.col("__n") > 1, "conflict").otherwise("move"))).drop("__low", "__n")
+    # Only books that may move meet others; those without a destination share no key.
+    open_ones = staged.filter(F.col("bucket").isNull()).withColumn("__low", F.lower("destination"))
+    wanted = open_ones.groupBy("__low").agg(F.count("*").alias("__n"))
+    moving = open_ones.join(wanted, "__low").withColumn("bucket", F.when(F.col("__n") > 1, "conflict").otherwise("move")).drop("__low", "__n")
+    return staged.filter(F.col("bucket").isNotNull()).unionByName(moving)
 
 
 def plan_accounting(planned: DataFrame) -> DataFrame:

@@ -148,10 +148,10 @@ def scan_items(docs: DataFrame, rules: Sequence[FindRule]) -> DataFrame:
     """One row per distinct content: sha, first path, hits, near.
 
     Matching runs where the text lies, before the shuffle by hash, so texts never move; copies of one content
-    meet as small rows that combine on the map side.
+    meet as small rows that combine on the map side. Binary items are passed over.
     """
     exact, near = _flags(F.col("text"), rules)
-    return docs.select(F.sha2(F.col("text"), 256).alias("sha"), "doc_id", "path", exact.alias("hits"), near.alias("near")).groupBy("sha").agg(
+    return docs.filter(~F.coalesce(is_binary(F.col("text").cast("binary")), F.lit(False))).select(F.sha2(F.col("text"), 256).alias("sha"), "doc_id", "path", exact.alias("hits"), near.alias("near")).groupBy("sha").agg(
         F.min_by(F.struct("path", "hits", "near"), "doc_id").alias("r")).select("sha", "r.path", "r.hits", "r.near")
 
 

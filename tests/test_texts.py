@@ -273,3 +273,16 @@ def test_read_lines_numbers_whole_files(spark, tmp_path):
 def test_grounding(spark):
     assert one(spark, N.grounded(F.lit("You spent $1,250.50 (12%)."), F.lit("total 1250.50, share 12.00")))
     assert not one(spark, N.grounded(F.lit("about $1,300"), F.lit("total 1250.50")))
+
+
+def test_scan_passes_over_binary_items(spark):
+    rules = K.compile_rules(["secret"])
+    docs = spark.createDataFrame([(1, "a", "a secret"), (2, "b", "a secret\x00"), (3, "c", "x" * 9000 + "\x00 secret"), (4, "d", None)], "doc_id long, path string, text string")
+    assert sorted(r.path for r in K.scan_items(docs, rules).filter(F.size("hits") > 0).collect()) == ["a", "c"]
+
+
+def test_plan_keeps_books_without_a_destination(spark):
+    rows = [("a", None, 100.0, ""), ("b", None, 100.0, ""), ("c", "x/One", 100.0, ""), ("d", "X/one", 100.0, ""), ("e", "e", 100.0, ""), ("f", "y", 50.0, ""), ("g", "z", 100.0, "B0"), ("h", "h/i", 100.0, "")]
+    books = spark.createDataFrame(rows, "path string, destination string, match_score double, product_id string")
+    got = {r.path: r.bucket for r in B.plan(books).collect()}
+    assert got == {"a": "undetermined", "b": "undetermined", "c": "conflict", "d": "conflict", "e": "in_place", "f": "held", "g": "move", "h": "undetermined"}

@@ -5,7 +5,6 @@ doc_id, path and text (or binary content); messages carry author, committer and
 """
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -86,29 +85,22 @@ class FindRule:
         return F.regexp_replace(text, glob_pattern(self.find), safe.replace("\\", "\\\\") if "\\" in self.replacement else safe)
 
 
-def compile_rules(raw_lines: Iterable[str]) -> list[FindRule]:
-    """Rules of a rules file; a rule with nothing to find is refused."""
-    rules = []
-    for n, raw in enumerate(raw_lines, 1):
-        raw = raw.rstrip("\r\n")
-        if not raw.strip() or raw.lstrip().startswith("#"):
-            continue
-        body, mark, replacement = raw.partition(SEPARATOR)
-        kind, find = next(((k, body[len(k) + 1:]) for k in ("regex", "glob", "literal") if body.startswith(k + ":")), ("literal", body))
-        if not find:
-            raise ValueError(f"rule on line {n} has nothing to find: {raw!r}")
-        rules.append(FindRule(n, raw, kind, find, replacement if mark else MARK))
-    if not rules:
-        raise ValueError("no rules")
-    return rules
+#: kind, what to find, and after the arrow what to put there
+RULE_LINE = re.compile(rf"(?:(regex|glob|literal):)?(.*?)(?:{SEPARATOR}(.*))?", re.S)
 
 
-def rules_digest(rules: Sequence[FindRule]) -> str:
-    return hashlib.sha256("".join(r.raw + "\n" for r in rules).encode()).hexdigest()
+def compile_rules(lines: Iterable[str]) -> list[FindRule]:
+    """Rules of a rules file, numbered by line; blank lines and comments are none, a rule needs something to find."""
+    numbered = [(n, line.rstrip("\r\n")) for n, line in enumerate(lines, 1)]
+    parts = [(n, raw, RULE_LINE.fullmatch(raw).groups()) for n, raw in numbered if raw.strip()[:1] not in ("", "#")]
+    empty = [n for n, _, (_, find, _) in parts if not find]
+    if empty or not parts:
+        raise ValueError(f"nothing to find on lines {empty}" if empty else "no rules")
+    return [FindRule(n, raw, kind or "literal", find, MARK if put is None else put) for n, raw, (kind, find, put) in parts]
 
 
 def digest_of_lines(parsed: DataFrame) -> DataFrame:
-    """The same digest from a rules table (a rules file is short: its lines meet in one row)."""
+    """SHA-256 of the lines of a rules table (a rules file is short: its lines meet in one row)."""
     lines = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
     return parsed.agg(F.sha2(F.concat(F.array_join(F.transform(lines, lambda x: x["raw"]), "\n"), F.lit("\n")), 256).alias("rules_sha256"))
 

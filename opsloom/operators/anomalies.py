@@ -4,6 +4,10 @@ Rows carry id, date, merchant, amount_cents, direction, account_id and category_
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +25,88 @@ def lookback_start(ledger: DataFrame, days: int) -> Column:
     return F.date_sub(ledger.agg(F.max("date")).scalar(), days)
 
 
-def _middle(steps: DataFrame, keys: list[str], value: str, count: str, total: Column) -> DataFrame:
-    """Exact median per key of a histogram (value, count), over its lowest ``total`` elements."""
+PRICE_BITS = 13
+
+
+def price_range(cents: Column) -> Column:
+    """Number of the price range of an amount: below 8192 each amount is its own, above that 4096 ranges per power of two."""
+    def cut(v: Column) -> Column:
+        shift = F.greatest(F.length(F.bin(v)) - PRICE_BITS, F.lit(0))
+        return (shift * 2 ** (PRICE_BITS - 1) + F.call_function("shiftright", v, shift)).cast("int")
+    return cut(cents.cast("long"))
+
+
+def range_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest amount of price ranges."""
+    half = 2 ** (PRICE_BITS - 1)
+    shift = np.maximum(code // half - 1, 0)
+    low = (code - shift * half) << shift
+    return low, low + (1 << shift) - 1
+
+
+def _near_middle(counts: np.ndarray) -> tuple[int, int, list[int], int, list[int]] | None:
+    """History size, and for median and MAD how many elements lie before the ranges that hold it, and those ranges.
+
+    The median lies in the ranges that hold its two ranks. With it only known to lie between two amounts, each range has a
+    least and a greatest deviation; the rank's value over all least ones and that over all greatest ones enclose the MAD.
+    Ranges wholly nearer are only counted, ranges wholly farther are left out.
+    """
+    code = np.flatnonzero(counts)
+    n = counts[code]
+    upto = np.cumsum(n)
+    history = int(upto[-1]) - 1 if len(upto) else 0
+    if history < 3:
+        return None
+    ranks = np.array([(history - 1) // 2, history // 2])
+    at = np.searchsorted(upto, ranks, "right")
+    low, high = range_bounds(code.astype(np.int64))
+    first, last = low[at[0]], high[at[1]]  # the median lies between these
+    least = np.maximum(np.maximum(low - last, first - high), 0)
+    most = np.maximum(high - first, last - low)
+
+    def ranked(values: np.ndarray, rank: int) -> int:
+        order = np.argsort(values, kind="stable")
+        return int(values[order[np.searchsorted(np.cumsum(n[order]), rank, "right")]])
+    bottom, top = ranked(least, ranks[0]), ranked(most, ranks[1])
+    inner = most < bottom
+    open_ = ~inner & (least <= top)
+    return history, int(upto[at[0]] - n[at[0]]), code[np.unique(at)].tolist(), int(n[inner].sum()), code[open_].tolist()
+
+
+def _walk_counters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by merchant and day: counters of price ranges, and behind those of a day the mark that asks for it."""
+    merchant, counts = None, np.zeros(0, np.int64)
+    for batch in batches:
+        out = []
+        names, asked = batch["merchant"].to_numpy(), batch["asked"].to_numpy()
+        codes, ns, days = batch["range"].to_numpy(), batch["n"].to_numpy(), batch["day"].to_numpy()
+        edge = np.flatnonzero(asked | np.append(names[1:] != names[:-1], True)) + 1
+        begin = 0
+        for end in edge.tolist():
+            if names[begin] != merchant:
+                merchant, counts = names[begin], np.zeros(1024, np.int64)
+            add = end - 1 if asked[end - 1] else end
+            if add > begin:
+                top = int(codes[begin:add].max())
+                if top >= len(counts):
+                    counts = np.concatenate([counts, np.zeros(top + 1024 - len(counts), np.int64)])
+                np.add.at(counts, codes[begin:add], ns[begin:add])
+            if asked[end - 1]:
+                found = _near_middle(counts)
+                if found:
+                    out.append((merchant, int(days[end - 1]), *found))
+            begin = end
+        yield pd.DataFrame(out, columns=["merchant", "day_no", "history", "med_skip", "med_ranges", "mad_skip", "mad_ranges"])
+
+
+def _middle(steps: DataFrame, keys: list[str], value: str, skip: str) -> DataFrame:
+    """Mean of the two middle elements of ``history`` ones, from the counted values around them, ``skip`` of them being before."""
     upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("__hi", F.sum(count).over(upto)).withColumn("__t", total)
-    low, high = F.floor((F.col("__t") - 1) / 2), F.floor(F.col("__t") / 2)
-    inside = lambda r: (r >= F.col("__hi") - F.col(count)) & (r < F.col("__hi"))
+    run = steps.withColumn("__hi", F.col(skip) + F.sum("n").over(upto))
+    low, high = F.floor((F.col("history") - 1) / 2), F.floor(F.col("history") / 2)
+    inside = lambda r: (r >= F.col("__hi") - F.col("n")) & (r < F.col("__hi"))
     return run.groupBy(*keys).agg(
-        ((F.max(F.when(inside(low), F.col(value))) + F.max(F.when(inside(high), F.col(value)))) / 2).alias("median"))
+        ((F.max(F.when(inside(low), F.col(value))) + F.max(F.when(inside(high), F.col(value)))) / 2).alias("middle"))
 
 
 def merchant_history(exp: DataFrame, start: Column) -> DataFrame:
@@ -37,27 +115,38 @@ def merchant_history(exp: DataFrame, start: Column) -> DataFrame:
     The history of a charge is every charge of the merchant up to that day except itself. A charge can only be
     an outlier when it lies above that median, and taking one element from above the middle leaves the same
     lower elements whichever it is; so one median and one MAD per (merchant, date), taken over all but one of
-    the elements, serve every candidate of that day. Charges enter as (merchant, amount) counts, and only
-    histograms meet the candidate dates (at most lookback + 1 of them), never charges with charges.
+    the elements, serve every candidate of that day.
+
+    Exact order statistics as of a day by a counter tree of two levels: counters of price ranges with day stamps are
+    walked by merchant and day (at most 220,000 ranges, whatever the number of charges) and name the few ranges around
+    the middle; only the amounts in those meet the day, each with its own day stamps (at most lookback + 2).
     """
-    floor_of = exp.groupBy("merchant").agg(F.min("cents").alias("__low"))
+    known = exp.filter(F.col("merchant").isNotNull())
+    floor_of = known.groupBy("merchant").agg(F.min("cents").alias("__low"))
     # no history element lies below the merchant's smallest charge, so smaller candidates cannot qualify
-    recent = exp.filter(F.col("date") >= start).groupBy("merchant", "date").agg(F.max("cents").alias("__top"))
+    recent = known.filter(F.col("date") >= start).groupBy("merchant", "date").agg(F.max("cents").alias("__top"))
     days = recent.join(floor_of, "merchant").filter(
         (F.col("__top") > F.col("__low") * 1.5) & (F.col("__top") - F.col("__low") >= 2000)).select(
-        "merchant", F.col("date").alias("day"))
-    older = F.when(F.col("date") < start, F.lit(None)).otherwise(F.col("date"))
-    counts = exp.groupBy("merchant", older.alias("since"), "cents").agg(F.count("*").alias("n"))
-    seen = days.join(counts, "merchant").filter(F.col("since").isNull() | (F.col("since") <= F.col("day")))
-    hist = seen.groupBy("merchant", "day", "cents").agg(F.sum("n").alias("n"))
-    keys = ["merchant", "day"]
-    size = hist.groupBy(*keys).agg((F.sum("n") - 1).alias("history")).filter(F.col("history") >= 3)
-    sized = hist.join(size, keys)
-    med = _middle(sized, keys, "cents", "n", F.col("history"))
-    off = sized.join(med, keys).withColumn("dev", F.abs(F.col("cents") - F.col("median")))
-    dev = off.groupBy(*keys, "history", "median", "dev").agg(F.sum("n").alias("n"))
-    mad = _middle(dev, keys, "dev", "n", F.col("history")).withColumnRenamed("median", "mad")
-    return size.join(med, keys).join(mad, keys)
+        "merchant", F.unix_date("date").alias("day"))
+    stamp = F.when(F.col("date") < start, F.lit(-(2 ** 31))).otherwise(F.unix_date("date"))
+    counts = known.groupBy("merchant", "cents", stamp.alias("day")).agg(F.count("*").alias("n")).withColumn("range", price_range(F.col("cents")))
+    counters = counts.groupBy("merchant", "day", "range").agg(F.sum("n").alias("n")).withColumn("asked", F.lit(False))
+    marks = days.withColumn("range", F.lit(0)).withColumn("n", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
+    walk = counters.unionByName(marks).repartition("merchant").sortWithinPartitions("merchant", "day", "asked")
+    near = walk.mapInPandas(_walk_counters, "merchant string, day_no int, history long, med_skip long, med_ranges array<int>, mad_skip long, mad_ranges array<int>")
+
+    amounts = counts.groupBy("merchant", "range", "cents").agg(F.collect_list(F.struct("day", "n")).alias("stamps"))
+    parts = F.concat(*[F.transform(c, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("range"))) for kind, c in (("med", "med_ranges"), ("mad", "mad_ranges"))])  # noqa: B023
+    probes = near.select("merchant", "day_no", "history", "med_skip", "mad_skip", F.inline(parts))
+    until = F.aggregate(F.filter("stamps", lambda e: e["day"] <= F.col("day_no")), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    met = probes.join(amounts, ["merchant", "range"]).withColumn("n", until).filter("n > 0").drop("stamps", "range")
+    keys = ["merchant", "day_no"]
+    med = _middle(met.filter("kind = 'med'"), keys, "cents", "med_skip").withColumnRenamed("middle", "median")
+    off = met.filter("kind = 'mad'").join(med, keys).withColumn("dev", F.abs(F.col("cents") - F.col("median")))
+    dev = off.groupBy(*keys, "history", "mad_skip", "median", "dev").agg(F.sum("n").alias("n"))
+    size = dev.groupBy(*keys).agg(F.max("history").alias("history"), F.max("median").alias("median"))
+    mad = _middle(dev, keys, "dev", "mad_skip").withColumnRenamed("middle", "mad")
+    return size.join(mad, keys).select("merchant", F.date_from_unix_date("day_no").alias("day"), "history", "median", "mad")
 
 
 def merchant_outliers(ledger: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:

@@ -99,10 +99,11 @@ def test_anomalies(ledger):
     assert not any("Starbucks" in str(x[1]) for x in got)
 
 
-def test_outliers_equal_brute_force(spark):
+@pytest.mark.parametrize("prices", [[1000, 2000, 5000, 9000, 30000], [700, 10 ** 6, 10 ** 6 + 3000, 10 ** 9, 10 ** 12], [3000, 8191, 8192, 16383, 16384, 40000]])
+def test_outliers_equal_brute_force(spark, prices):
     import random
     rng = random.Random(5)
-    rows = [(f"x{i:04d}", dt.date(2026, 1, 1) + dt.timedelta(days=rng.randrange(120)), rng.choice("abc"), -int(rng.choice([1000, 2000, 5000, 9000, 30000]) * rng.uniform(0.5, 2)),
+    rows = [(f"x{i:04d}", dt.date(2026, 1, 1) + dt.timedelta(days=rng.randrange(120)), rng.choice("abc"), -int(rng.choice(prices) * rng.uniform(0.5, 2)),
              "expense", "a1", "c") for i in range(400)]
     df = spark.createDataFrame(rows, "id string, date date, merchant string, amount_cents long, direction string, account_id string, category_id string")
     end = max(r[1] for r in rows)
@@ -121,6 +122,15 @@ def test_outliers_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_price_ranges_cover_every_amount(spark):
+    import numpy as np
+    amounts = sorted({v + d for e in range(62) for v in (2 ** e, 3 * 2 ** e // 2) for d in (-1, 0, 1) if v + d > 0})
+    rows = spark.createDataFrame([(a,) for a in amounts], "a long").select("a", A.price_range(F.col("a")).alias("r")).collect()
+    low, high = A.range_bounds(np.array([r.r for r in rows], np.int64))
+    assert all(lo <= r.a <= hi for r, lo, hi in zip(rows, low.tolist(), high.tolist()))
+    assert [r.r for r in sorted(rows)] == sorted(r.r for r in rows)
+
+
 def greedy_streams(amounts):
     streams = []
     for a in sorted(amounts):

@@ -338,9 +338,10 @@ h AS (SELECT question_id, e.* FROM q1 JOIN e ON date BETWEEN period_start AND pe
 g AS (SELECT question_id, CAST(-sum(amount_cents) AS BIGINT) AS total_cents, count(*) AS count, CAST(sum(CASE WHEN amount_cents>0 THEN amount_cents ELSE 0 END) AS BIGINT) AS refund_cents FROM h GROUP BY 1),
 b AS (SELECT question_id, -amount_cents AS largest_cents, merchant AS largest_merchant, date AS largest_date FROM h QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY amount_cents, merchant, date)=1),
 w AS (SELECT period_start, period_end, CAST(-sum(amount_cents) AS BIGINT) AS alls FROM (SELECT DISTINCT period_start, period_end FROM q1) JOIN e ON date BETWEEN period_start AND period_end GROUP BY 1,2),
-o AS (SELECT question_id, coalesce(total_cents,0) AS total_cents, coalesce(count,0) AS count, coalesce(refund_cents,0) AS refund_cents, coalesce(alls,0) AS alls, largest_cents, largest_merchant, largest_date
- FROM q1 LEFT JOIN g USING (question_id) LEFT JOIN b USING (question_id) LEFT JOIN w USING (period_start, period_end))
-SELECT question_id, total_cents, count, refund_cents, {sql_ratio('total_cents', 'alls')} AS share_pct, largest_cents, largest_merchant, largest_date FROM o""")
+s AS (SELECT DISTINCT period_start, period_end FROM (SELECT DISTINCT period_start, period_end FROM q1) WHERE EXISTS (SELECT 1 FROM v_ledger WHERE date BETWEEN period_start AND period_end)),
+o AS (SELECT question_id, coalesce(total_cents,0) AS total_cents, coalesce(count,0) AS count, coalesce(refund_cents,0) AS refund_cents, coalesce(alls,0) AS alls, largest_cents, largest_merchant, largest_date,
+ (period_start, period_end) IN (SELECT (period_start, period_end) FROM s) AS has_data FROM q1 LEFT JOIN g USING (question_id) LEFT JOIN b USING (question_id) LEFT JOIN w USING (period_start, period_end))
+SELECT question_id, total_cents, count, refund_cents, {sql_ratio('total_cents', 'alls')} AS share_pct, largest_cents, largest_merchant, largest_date, has_data FROM o""")
 def spend_answers(spark, sf):
     q = N.extract_period(asked(spark, sf), F.lit(TODAY), F.lit(LATEST)).withColumnRenamed("category", "category_id")
     return N.spend_answers(q, T.ledger(spark, sf))

@@ -131,35 +131,67 @@ def grounded(rewritten: Column, source: Column) -> Column:
     return F.size(F.array_except(numbers_in(rewritten), numbers_in(source))) == 0
 
 
+BLOCK_STEP, BLOCK_LEVELS = 4, 5
+
+
+def _blocks_of_day(day: Column) -> Column:
+    """The block of each level (of 1, 4, 16, 64 and 256 days) that holds a day."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(day / BLOCK_STEP ** k).alias("block")) for k in range(BLOCK_LEVELS)])
+
+
+def _blocks_of_span(first: Column, last: Column) -> Column:
+    """The fewest blocks that make up the days from ``first`` to ``last``: at most six of a level, and whole ones of the largest."""
+    parts = []
+    for k in range(BLOCK_LEVELS):
+        lo, hi = F.ceil(first / BLOCK_STEP ** k), F.floor((last + 1) / BLOCK_STEP ** k)
+        up_lo, up_hi = F.ceil(first / BLOCK_STEP ** (k + 1)), F.floor((last + 1) / BLOCK_STEP ** (k + 1))
+        covered = (up_lo < up_hi) if k + 1 < BLOCK_LEVELS else F.lit(False)
+
+        def run(a: Column, b: Column, k: int = k) -> Column:
+            numbers = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            return F.transform(numbers, lambda n: F.struct(F.lit(k).alias("level"), n.alias("block")))
+        parts += [run(lo, F.when(covered, up_lo * BLOCK_STEP).otherwise(hi)), run(F.when(covered, up_hi * BLOCK_STEP).otherwise(hi), hi)]
+    return F.concat(*parts)
+
+
 def spend_answers(questions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Facts per question about a merchant or category over its period: total, count, refunds, share, largest.
+    """Facts per question about a merchant or category over its period: total, count, refunds, share, largest, has_data.
+
+    questions: question_id, merchant (or null), category_id (or null), period_start, period_end; a merchant goes before a
+    category, a question that names neither has zeros. ``has_data`` is false when the period holds no ledger row at all, so
+    that "nothing spent" and "no data" differ. A period that ends before it starts or lacks an end holds nothing.
 
-    questions: question_id, merchant (or null), category_id (or null), period_start, period_end. The ledger is
-    first reduced to one row per (merchant, category, date), then each question meets only the days of what it
-    names; the spending of whole periods comes from daily totals.
+    Sums and smallest amounts are kept per entity (merchant, category, whole ledger) for blocks of 1, 4, 16, 64 and 256
+    days. A period is a few blocks (a month at most nine, a year about a dozen), met by one equi-join; equal questions about
+    one entity and period are answered once. Neither the days of an entity nor those of a period are gone through.
     """
-    spent = ledger.filter(F.col("direction") == "expense")
-    daily = spent.groupBy("merchant", "category_id", "date").agg(
-        F.sum("amount_cents").alias("net"), F.count("*").alias("n"),
-        F.sum(F.when(F.col("amount_cents") > 0, F.col("amount_cents")).otherwise(F.lit(0))).alias("refunds"),
-        F.min(F.struct("amount_cents", "merchant", "date")).alias("big"))
-    inside = (F.col("date") >= F.col("period_start")) & (F.col("date") <= F.col("period_end"))
-    by_merchant = questions.filter(F.col("merchant").isNotNull()).select("question_id", "merchant", "period_start", "period_end").join(
-        daily.drop("category_id"), "merchant").filter(inside)
-    by_category = questions.filter(F.col("merchant").isNull() & F.col("category_id").isNotNull()).select(
-        "question_id", "category_id", "period_start", "period_end").join(daily.drop("merchant"), "category_id").filter(inside)
-    rows = by_merchant.select("question_id", "net", "n", "refunds", "big").unionByName(by_category.select("question_id", "net", "n", "refunds", "big"))
-    facts = rows.groupBy("question_id").agg((-F.sum("net")).alias("total_cents"), F.sum("n").alias("count"), F.sum("refunds").alias("refund_cents"),
-                                            F.min("big").alias("big"))
-    per_day = spent.groupBy("date").agg((-F.sum("amount_cents")).alias("day"))
-    spans = questions.select("period_start", "period_end").distinct().select("*", F.explode(F.sequence("period_start", "period_end")).alias("date"))
-    whole = spans.join(per_day, "date").groupBy("period_start", "period_end").agg(F.sum("day").alias("all_cents"))
-    out = questions.join(facts, "question_id", "left").join(whole, ["period_start", "period_end"], "left")
+    spent = F.col("direction") == "expense"
+    cents = F.when(spent, F.col("amount_cents"))
+    sums = lambda: [F.sum("net").alias("net"), F.sum("n").alias("n"), F.sum("refunds").alias("refunds"), F.sum("seen").alias("seen"), F.min("big").alias("big")]
+    entity = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"))
+    whole = entity("all", F.lit(""))
+    daily = ledger.filter(F.col("date").isNotNull()).groupBy("merchant", "category_id", "date").agg(
+        F.coalesce(F.sum(cents), F.lit(0)).alias("net"), F.count(cents).alias("n"), F.coalesce(F.sum(F.when(cents > 0, cents)), F.lit(0)).alias("refunds"),
+        F.count("*").alias("seen"), F.min(F.when(spent, F.struct("amount_cents", "merchant", "date"))).alias("big"))
+    facts = ["net", "n", "refunds", "seen", "big"]
+    per_day = daily.select("date", *facts, F.explode(F.array(entity("merchant", F.col("merchant")), entity("category", F.col("category_id")), whole)).alias("entity")).filter(
+        F.col("entity.name").isNotNull()).groupBy("entity", "date").agg(*sums())
+    blocks = per_day.select("entity", *facts, F.explode(_blocks_of_day(F.unix_date("date"))).alias("at")).groupBy("entity", "at").agg(*sums())
+
+    about = F.when(F.col("merchant").isNotNull(), entity("merchant", F.col("merchant"))).when(F.col("category_id").isNotNull(), entity("category", F.col("category_id")))
+    # entity and period travel as one value, and nothing is filtered by its parts: a filter would be pushed down to the questions
+    # and work out their period and category once more
+    span = lambda e: F.struct(e.alias("entity"), "period_start", "period_end")
+    asked = questions.select("question_id", span(about).alias("own"), span(whole).alias("every"))
+    spans = asked.select(F.explode(F.array("own", "every")).alias("span")).distinct()
+    probes = spans.select("span", F.col("span.entity").alias("entity"), F.explode(_blocks_of_span(F.unix_date("span.period_start"), F.unix_date("span.period_end"))).alias("at"))
+    found = probes.join(blocks, ["entity", "at"]).groupBy("span").agg(*sums())
+    all_of = found.select(F.col("span").alias("every"), (-F.col("net")).alias("all_cents"), F.col("seen").alias("all_seen"))
     zero = F.lit(0).cast("long")
-    out = out.withColumn("total_cents", F.coalesce("total_cents", zero)).withColumn("all_cents", F.coalesce("all_cents", zero))
-    return out.select("question_id", "total_cents", F.coalesce("count", zero).alias("count"), F.coalesce("refund_cents", zero).alias("refund_cents"),
-                      pct(F.col("total_cents"), F.col("all_cents")).alias("share_pct"), (-F.col("big.amount_cents")).alias("largest_cents"),
-                      F.col("big.merchant").alias("largest_merchant"), F.col("big.date").alias("largest_date"))
+    out = asked.join(found.withColumnRenamed("span", "own"), "own", "left").join(all_of, "every", "left").withColumn("total_cents", F.coalesce(-F.col("net"), zero))
+    return out.select("question_id", "total_cents", F.coalesce("n", zero).alias("count"), F.coalesce("refunds", zero).alias("refund_cents"),
+                      pct(F.col("total_cents"), F.coalesce("all_cents", zero)).alias("share_pct"), (-F.col("big.amount_cents")).alias("largest_cents"),
+                      F.col("big.merchant").alias("largest_merchant"), F.col("big.date").alias("largest_date"), (F.coalesce("all_seen", zero) > 0).alias("has_data"))
 
 
 def recommendations(summary: DataFrame, breakdown: DataFrame, subscriptions: DataFrame, budgets: DataFrame) -> DataFrame:

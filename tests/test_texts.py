@@ -286,3 +286,22 @@ def test_plan_keeps_books_without_a_destination(spark):
     books = spark.createDataFrame(rows, "path string, destination string, match_score double, product_id string")
     got = {r.path: r.bucket for r in B.plan(books).collect()}
     assert got == {"a": "undetermined", "b": "undetermined", "c": "conflict", "d": "conflict", "e": "in_place", "f": "held", "g": "move", "h": "undetermined"}
+
+
+def test_spend_answers_equal_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    day = lambda: dt.date(1969, 6, 1) + dt.timedelta(days=rng.randrange(1400))
+    rows = [(rng.choice([day(), day(), None]), rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.randrange(-900, 200), rng.choice(["expense", "expense", "income"])) for _ in range(300)]
+    asks = [(i, rng.choice(["a", "b", "zz", None]), rng.choice(["x", "y", None]), s, s + dt.timedelta(days=rng.choice([-1, 0, 1, 6, 30, 90, 400, 1200]))) for i in range(120) for s in [day()]]
+    asks += [(500, "a", None, None, None), (501, "a", None, dt.date(1900, 1, 1), dt.date(2100, 1, 1)), (502, "a", "x", dt.date(1800, 1, 1), dt.date(1800, 2, 1))]
+    ledger = spark.createDataFrame(rows, "date date, merchant string, category_id string, amount_cents long, direction string")
+    questions = spark.createDataFrame(asks, "question_id long, merchant string, category_id string, period_start date, period_end date")
+    got = {r.question_id: r for r in N.spend_answers(questions, ledger).collect()}
+    assert len(got) == len(asks)
+    for i, merchant, category, start, end in asks:
+        inside = [r for r in rows if start and r[0] and start <= r[0] <= end]
+        hit = [r for r in inside if r[4] == "expense" and (r[1] == merchant if merchant else bool(category) and r[2] == category)]
+        r = got[i]
+        assert (r.total_cents, r["count"], r.refund_cents, r.has_data) == (-sum(h[3] for h in hit), len(hit), sum(h[3] for h in hit if h[3] > 0), bool(inside))
+        assert r.largest_cents == (-min(h[3] for h in hit) if hit else None)

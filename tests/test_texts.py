@@ -305,3 +305,37 @@ def test_spend_answers_equal_brute_force(spark):
         r = got[i]
         assert (r.total_cents, r["count"], r.refund_cents, r.has_data) == (-sum(h[3] for h in hit), len(hit), sum(h[3] for h in hit if h[3] > 0), bool(inside))
         assert r.largest_cents == (-min(h[3] for h in hit) if hit else None)
+
+
+@pytest.mark.parametrize("block", [64, 10 ** 6])
+def test_records_across_line_breaks_in_every_encoding(spark, tmp_path, block):
+    import csv
+    import io
+    rows = [["1", "plain", "x"], ["2", "two\nlines; and ""quoted"" words", "y"], ["3", "caf\u00e9 \u20ac", "z"], ["4", "a\n\nb\nc", "w"], ["5", '5" pipe', "v"]] * 9
+    wide = [["1", "\u0a00\u0100\u010a\u0a0a \u4e0a\u0a4e", "x"], ["2", "in\n\u0a0a\n\u0100", "y"]] * 9
+
+    def write(name, rows, encoding, end="\n", mark=b""):
+        out = io.StringIO()
+        csv.writer(out, delimiter=";", lineterminator=end).writerows(rows)
+        (tmp_path / name).write_bytes(mark + out.getvalue().encode(encoding))
+    want = {"u8.csv": ("UTF-8", rows), "bom.csv": ("UTF-8", rows), "cp.csv": ("cp1252", rows), "le.csv": ("UTF-16LE", rows + wide), "be.csv": ("UTF-16BE", rows + wide)}
+    write("u8.csv", rows, "utf-8")
+    write("bom.csv", rows, "utf-8", "\r\n", b"\xef\xbb\xbf")
+    write("cp.csv", rows, "cp1252")
+    write("le.csv", rows + wide, "utf-16-le", "\r\n", b"\xff\xfe")
+    write("be.csv", rows + wide, "utf-16-be", "\n", b"\xfe\xff")
+    (tmp_path / "odd.csv").write_bytes(b'1;"open;x\n2;b;y\n3;c;z\n')
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        lines = I.read_encoded_lines(spark, str(tmp_path))
+        told = {r.file.rsplit("/", 1)[1]: r.encoding for r in lines.select("file", "encoding").distinct().collect()}
+        got = {}
+        for r in I.split_grid(I.join_quoted_lines(lines)).orderBy("line_no").collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append(list(r.cells))
+        joined = [r.line for r in I.join_quoted_lines(lines).filter("file LIKE '%odd.csv'").orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    for name, (encoding, cells) in want.items():
+        assert told[name] == encoding and got[name] == cells, name
+    assert joined == ['1;"open;x', "2;b;y", "3;c;z"]

@@ -14,6 +14,7 @@ from opsloom.operators import rulesets as R
 from opsloom.operators import summaries as Q
 from opsloom.sources import filters_xml as FX
 from opsloom.sources import tables as T
+from opsloom.functions.linediff import apply_hunks
 
 REG = Registry()
 
@@ -140,6 +141,18 @@ def corpus_preview_rewrite(spark, sf):
         "doc_id", F.size("removed").alias("removed"), F.size("added").alias("added"), F.sha2(F.array_join(F.array_sort("added"), "\n"), 256).alias("added_sha"))
 
 
+@REG.query("corpus_preview_hunks", f"""WITH d AS (SELECT doc_id, text AS o, {rewrite_sql('text')} AS t FROM documents)
+SELECT doc_id, len(string_split(t,chr(10)))-len(string_split(o,chr(10))) AS grown, sha256(t) AS applied_sha, true AS lean FROM d WHERE o<>t""")
+def corpus_preview_hunks(spark, sf):
+    """Hunks applied to the old text give the new one; they add as many lines more than they take as the text grows; none is without a change."""
+    docs = T.corpus(spark, sf)
+    found = X.preview_hunks(docs, RULES).join(docs.select("doc_id", "text"), "doc_id")
+    marked = lambda h, sign: F.filter(h["lines"], lambda x: F.substring(x, 1, 1) == sign)
+    signed = lambda sign: F.size(F.flatten(F.transform("hunks", lambda h: marked(h, sign))))
+    lean = F.forall("hunks", lambda h: F.size(marked(h, "-")) + F.size(marked(h, "+")) > 0)
+    return found.select("doc_id", (signed("+") - signed("-")).cast("long").alias("grown"), F.sha2(apply_hunks(F.col("text"), F.col("hunks")), 256).alias("applied_sha"), lean.alias("lean"))
+
+
 @REG.query("corpus_rules_digest", f"""WITH l AS (SELECT r_regionkey*100+i AS line_no, (['{"','".join(x.replace("'", "''") for x in RULE_LINES)}'])[i] AS raw FROM region, range(1,{len(RULE_LINES) + 1}) t(i))
 SELECT sha256(string_agg(raw, chr(10) ORDER BY line_no)||chr(10)) AS rules_sha256 FROM l WHERE trim(raw)<>'' AND left(ltrim(raw),1)<>'#'""")
 def corpus_rules_digest(spark, sf):

@@ -339,3 +339,26 @@ def test_records_across_line_breaks_in_every_encoding(spark, tmp_path, block):
     for name, (encoding, cells) in want.items():
         assert told[name] == encoding and got[name] == cells, name
     assert joined == ['1;"open;x', "2;b;y", "3;c;z"]
+
+
+def test_line_hunks_lead_from_old_to_new(spark):
+    from opsloom.functions import linediff as D
+    rng = random.Random(11)
+    pairs = [(0, None, "a"), (1, "a", None), (2, "", "a\nb"), (3, "x\ny", "x\ny"), (4, "a\na\na", "a\na"), (5, "- a\n+ b", "+ b\n- a")]
+    for i in range(6, 80):
+        old = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 14))]
+        new = [x for x in old if rng.random() > 0.2] + [rng.choice("abxyz") for _ in range(rng.randrange(3))]
+        rng.shuffle(new) if i % 9 == 0 else None
+        pairs.append((i, "\n".join(old), "\n".join(new)))
+    df = spark.createDataFrame(pairs, "k int, o string, n string").withColumn("h", D.line_hunks(F.col("o"), F.col("n"), 1))
+    for r in df.withColumn("again", D.apply_hunks(F.col("o"), F.col("h"))).collect():
+        assert r.again == r.n, r
+        old = r.o.split("\n") if r.o is not None else []
+        for h in r.h:
+            was = [x[1:] for x in h.lines if x[0] in " -"]
+            assert old[h.old_start - 1:h.old_start - 1 + len(was)] == was and any(x[0] != " " for x in h.lines)
+    # lines all different: as few changes as the longest common subsequence allows
+    old, new = [str(i) for i in range(300)], [str(i) for i in range(300) if i % 7] + ["end"]
+    new[10:10] = ["in"]
+    assert sum(a1 - a0 + b1 - b0 for a0, a1, b0, b1 in D.changed_runs(old, new)) == 43 + 2
+    assert D.hunks_of(["a", "b", "c", "d"], ["a", "B", "c", "d"], 1) == [(1, 1, [" a", "-b", "+B", " c"])]

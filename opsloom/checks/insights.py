@@ -25,17 +25,19 @@ v_sub AS (
  CASE WHEN k%13=0 THEN 'income' ELSE 'expense' END AS direction, {sql_pick('k%6', T.PLANS)} AS category_id
  FROM (SELECT c_custkey AS k, unnest(range(0, 2+c_custkey%8)) AS i, 500+c_custkey%3000 AS base, DATE '2020-01-15'+CAST(c_custkey%40 AS INTEGER) AS start FROM customer))
 """
-DATES = """
-dts AS (SELECT merchant, date, count(*) AS n FROM {src} GROUP BY 1,2),
-gp AS (SELECT *, date - lag(date) OVER (PARTITION BY merchant ORDER BY date) AS gap FROM dts),
-gs AS (SELECT merchant, count(*) AS occurrences, CAST(sum(n) AS BIGINT) AS n, median(gap) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap,
+def dates(src: str, t: str = "") -> str:
+    """Gaps and cadence per merchant of ``src``; ``t`` keeps the names of two uses apart."""
+    return f"""
+dts{t} AS (SELECT merchant, date, count(*) AS n FROM {src} GROUP BY 1,2),
+gp{t} AS (SELECT *, date - lag(date) OVER (PARTITION BY merchant ORDER BY date) AS gap FROM dts{t}),
+gs{t} AS (SELECT merchant, count(*) AS occurrences, CAST(sum(n) AS BIGINT) AS n, median(gap) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap,
  avg(CAST(abs(gap-7.0::DOUBLE)<=3.0 AS DOUBLE)) AS s1, avg(CAST(abs(gap-14.0::DOUBLE)<=4.5 AS DOUBLE)) AS s2, avg(CAST(abs(gap-30.4::DOUBLE)<=7.5 AS DOUBLE)) AS s3,
- avg(CAST(abs(gap-91.0::DOUBLE)<=15.0 AS DOUBLE)) AS s4, avg(CAST(abs(gap-365.0::DOUBLE)<=30.0 AS DOUBLE)) AS s5 FROM gp GROUP BY 1),
-cd AS (SELECT *, CASE WHEN abs(median_gap-7)<=2 THEN 'weekly' WHEN abs(median_gap-14)<=3 THEN 'biweekly' WHEN abs(median_gap-30.4::DOUBLE)<=5 THEN 'monthly'
- WHEN abs(median_gap-91)<=10 THEN 'quarterly' WHEN abs(median_gap-365)<=20 THEN 'annual' END AS cadence FROM gs),
-cx AS (SELECT *, CASE cadence WHEN 'weekly' THEN 7.0::DOUBLE WHEN 'biweekly' THEN 14.0 WHEN 'monthly' THEN 30.4::DOUBLE WHEN 'quarterly' THEN 91.0 WHEN 'annual' THEN 365.0 END AS period,
+ avg(CAST(abs(gap-91.0::DOUBLE)<=15.0 AS DOUBLE)) AS s4, avg(CAST(abs(gap-365.0::DOUBLE)<=30.0 AS DOUBLE)) AS s5 FROM gp{t} GROUP BY 1),
+cd{t} AS (SELECT *, CASE WHEN abs(median_gap-7)<=2 THEN 'weekly' WHEN abs(median_gap-14)<=3 THEN 'biweekly' WHEN abs(median_gap-30.4::DOUBLE)<=5 THEN 'monthly'
+ WHEN abs(median_gap-91)<=10 THEN 'quarterly' WHEN abs(median_gap-365)<=20 THEN 'annual' END AS cadence FROM gs{t}),
+cx{t} AS (SELECT *, CASE cadence WHEN 'weekly' THEN 7.0::DOUBLE WHEN 'biweekly' THEN 14.0 WHEN 'monthly' THEN 30.4::DOUBLE WHEN 'quarterly' THEN 91.0 WHEN 'annual' THEN 365.0 END AS period,
  CASE cadence WHEN 'weekly' THEN 2 WHEN 'biweekly' THEN 3 WHEN 'monthly' THEN 5 WHEN 'quarterly' THEN 10 WHEN 'annual' THEN 20 END AS tolerance,
- CASE cadence WHEN 'weekly' THEN s1 WHEN 'biweekly' THEN s2 WHEN 'monthly' THEN s3 WHEN 'quarterly' THEN s4 WHEN 'annual' THEN s5 END AS regular FROM cd)
+ CASE cadence WHEN 'weekly' THEN s1 WHEN 'biweekly' THEN s2 WHEN 'monthly' THEN s3 WHEN 'quarterly' THEN s4 WHEN 'annual' THEN s5 END AS regular FROM cd{t})
 """
 
 
@@ -43,12 +45,12 @@ def signed(rows):
     return rows.withColumn("sign", F.signum("amount_cents").cast("int"))
 
 
-@REG.query("charge_gaps", f"WITH {CHARGES}, {DATES.format(src='v_charges')} SELECT merchant, occurrences, n, median_gap, min_gap, max_gap FROM gs")
+@REG.query("charge_gaps", f"WITH {CHARGES}, {dates('v_charges')} SELECT merchant, occurrences, n, median_gap, min_gap, max_gap FROM gs")
 def charge_gaps(spark, sf):
     return R.charge_gaps(T.charges(spark, sf), ["merchant"]).select("merchant", "occurrences", "n", "median_gap", "min_gap", "max_gap")
 
 
-@REG.query("classify_cadence", f"""WITH {SUBS}, {DATES.format(src='v_sub')}
+@REG.query("classify_cadence", f"""WITH {SUBS}, {dates('v_sub')}
 SELECT merchant, cadence, period, tolerance, round(regular*1000000) AS regular_ppm FROM cx""")
 def classify_cadence(spark, sf):
     return R.classify_cadence(R.charge_gaps(T.subscriptions(spark, sf), ["merchant"])).select(
@@ -59,21 +61,30 @@ def in_list(values):
     return "(" + ",".join("'" + v + "'" for v in values) + ")"
 
 
-STREAMS = f"""WITH {SUBS}, {DATES.format(src='v_sub')},
-rc AS (SELECT merchant, list(abs(amount_cents) ORDER BY date DESC, id DESC)[1:3] AS c, first(amount_cents ORDER BY date DESC, id DESC) AS last_cents, max(date) AS last_date,
- first(category_id ORDER BY date DESC, id DESC) AS category FROM v_sub GROUP BY 1),
-f AS (SELECT *, CASE WHEN last_cents>0 THEN 1 ELSE -1 END AS sign, list_max(c)-list_min(c) AS spread,
+def streams(src: str, t: str = "") -> str:
+    """Facts and kind per merchant of ``src``, up to the last date of ``v_sub``."""
+    return f"""{dates(src, t)},
+rc{t} AS (SELECT merchant, list(abs(amount_cents) ORDER BY date DESC, id DESC)[1:3] AS c, first(amount_cents ORDER BY date DESC, id DESC) AS last_cents, max(date) AS last_date,
+ first(category_id ORDER BY date DESC, id DESC) AS category FROM {src} GROUP BY 1),
+f{t} AS (SELECT *, CASE WHEN last_cents>0 THEN 1 ELSE -1 END AS sign, list_max(c)-list_min(c) AS spread,
  CASE len(c) WHEN 3 THEN list_sort(c)[2] WHEN 2 THEN (c[1]+c[2])//2 ELSE c[1] END AS typical, (SELECT max(date) FROM v_sub) AS data_end,
  regexp_matches(category,'(?i){SUBSCRIPTION_HINT}') AS hint, CASE category WHEN 'Streaming' THEN 'Subscriptions' WHEN 'Gym' THEN 'Personal Care' ELSE category END AS grp,
- category IN ('Housing','Groceries','Utilities') AS essential FROM cx JOIN rc USING (merchant)),
-g AS (SELECT *, spread<=greatest(100.0::DOUBLE, typical*0.05::DOUBLE) AS fixed FROM f),
-h AS (SELECT *, occurrences>1 AND cadence IS NOT NULL AND regular>=0.6::DOUBLE AND (occurrences>=3 OR (occurrences=2 AND (fixed OR hint)) OR cadence IN ('quarterly','annual')) AS steady FROM g),
-k AS (SELECT *, CASE WHEN NOT steady THEN NULL WHEN sign>0 THEN 'income' WHEN grp IN {in_list(BILL_GROUPS)} THEN 'bill' WHEN hint AND occurrences=n THEN 'subscription'
+ category IN ('Housing','Groceries','Utilities') AS essential FROM cx{t} JOIN rc{t} USING (merchant)),
+g{t} AS (SELECT *, spread<=greatest(100.0::DOUBLE, typical*0.05::DOUBLE) AS fixed FROM f{t}),
+h{t} AS (SELECT *, occurrences>1 AND cadence IS NOT NULL AND regular>=0.6::DOUBLE AND (occurrences>=3 OR (occurrences=2 AND (fixed OR hint)) OR cadence IN ('quarterly','annual')) AS steady FROM g{t}),
+k{t} AS (SELECT *, CASE WHEN NOT steady THEN NULL WHEN sign>0 THEN 'income' WHEN grp IN {in_list(BILL_GROUPS)} THEN 'bill' WHEN hint AND occurrences=n THEN 'subscription'
  WHEN fixed AND occurrences=n AND NOT essential AND grp NOT IN {in_list(ESSENTIAL_GROUPS)} THEN 'subscription'
- WHEN spread::DOUBLE/greatest(typical,1)<=0.15::DOUBLE AND occurrences=n THEN 'recurring' END AS kind FROM h)
+ WHEN spread::DOUBLE/greatest(typical,1)<=0.15::DOUBLE AND occurrences=n THEN 'recurring' END AS kind FROM h{t})
 """
 
 
+# why a stream is no recurring payment, for streams that are worth a reason
+REASON = """CASE WHEN kind IS NOT NULL THEN NULL WHEN occurrences=1 THEN CASE WHEN sign<0 AND hint THEN 'only one charge in the imported data' END
+  WHEN cadence IS NULL THEN CASE WHEN occurrences>=3 AND (fixed OR hint) THEN 'charges are '||CAST(min_gap AS VARCHAR)||'–'||CAST(max_gap AS VARCHAR)||' days apart, not a regular cadence' END
+  WHEN NOT steady AND (fixed OR hint) THEN CASE WHEN regular<0.6::DOUBLE THEN 'irregular timing' ELSE 'only '||CAST(occurrences AS VARCHAR)||' charges and the amounts differ' END END"""
+STREAMS = f"WITH {SUBS}, {streams('v_sub')}"
+
+
 def whole_streams(spark, sf):
     rows = signed(T.subscriptions(spark, sf))
     end = rows.agg(F.max("date")).scalar()
@@ -82,9 +93,7 @@ def whole_streams(spark, sf):
 
 @REG.query("classify_kind", f"""{STREAMS}
 SELECT merchant, kind, CASE WHEN occurrences=2 THEN 'likely' ELSE 'confirmed' END AS confidence, CAST(typical*sign AS BIGINT) AS typical_cents, fixed AS fixed_amount,
- CASE WHEN kind IS NOT NULL THEN NULL WHEN occurrences=1 THEN CASE WHEN sign<0 AND hint THEN 'only one charge in the imported data' END
-  WHEN cadence IS NULL THEN CASE WHEN occurrences>=3 AND (fixed OR hint) THEN 'charges are '||CAST(min_gap AS VARCHAR)||'–'||CAST(max_gap AS VARCHAR)||' days apart, not a regular cadence' END
-  WHEN NOT steady AND (fixed OR hint) THEN CASE WHEN regular<0.6::DOUBLE THEN 'irregular timing' ELSE 'only '||CAST(occurrences AS VARCHAR)||' charges and the amounts differ' END END AS reason FROM k""")
+ {REASON} AS reason FROM k""")
 def classify_kind(spark, sf):
     return whole_streams(spark, sf).select("merchant", "kind", "confidence", "typical_cents", "fixed_amount", "reason")
 
@@ -98,17 +107,81 @@ def recurring_projection(spark, sf):
         "merchant", "active", "next_expected", "monthly_equivalent_cents", "annual_cost_cents", "price_change_cents")
 
 
-@REG.query("amount_streams")
+def split(src: str) -> str:
+    """``v_split``: the rows of ``src`` with price band and billing day. Every price is taken as the start of a band and its
+    successor found from the medians up to each larger price; then the starts are walked, and the dates of crowded bands."""
+    return f"""
+mv AS (SELECT *, CAST(sign(amount_cents) AS INTEGER) AS sign, abs(amount_cents) AS cents FROM {src} WHERE direction<>'transfer' AND amount_cents<>0),
+pc AS (SELECT merchant, sign, cents, row_number() OVER w AS r, CAST(sum(count(*)) OVER w AS BIGINT) AS upto, count(*) AS n
+ FROM mv GROUP BY merchant, sign, cents WINDOW w AS (PARTITION BY merchant, sign ORDER BY cents)),
+pos AS (SELECT merchant, sign, cents, row_number() OVER (PARTITION BY merchant, sign ORDER BY cents) AS p FROM mv),
+trial AS (SELECT a.merchant, a.sign, a.r AS i, b.r AS j, b.cents, a.upto-a.n AS base, b.upto-b.n-a.upto+a.n AS held
+ FROM pc a JOIN pc b ON a.merchant=b.merchant AND a.sign=b.sign AND b.r>a.r),
+mid AS (SELECT t.merchant, t.sign, i, j, t.cents, (x.cents+y.cents)/2::DOUBLE AS med FROM trial t
+ JOIN pos x ON x.merchant=t.merchant AND x.sign=t.sign AND x.p=base+(held+1)//2 JOIN pos y ON y.merchant=t.merchant AND y.sign=t.sign AND y.p=base+held//2+1),
+follow AS (SELECT merchant, sign, i, min(j) AS j FROM mid WHERE abs(cents-med)>greatest(200.0::DOUBLE, med*0.2::DOUBLE) GROUP BY 1,2,3),
+starts AS (SELECT merchant, sign, r, 0 AS band FROM pc WHERE r=1
+ UNION ALL SELECT s.merchant, s.sign, f.j, s.band+1 FROM starts s JOIN follow f ON f.merchant=s.merchant AND f.sign=s.sign AND f.i=s.r),
+banded AS (SELECT p.merchant, p.sign, p.cents, max(band) AS band FROM pc p JOIN starts s ON s.merchant=p.merchant AND s.sign=p.sign AND s.r<=p.r GROUP BY 1,2,3),
+rb AS (SELECT mv.*, band FROM mv JOIN banded USING (merchant, sign, cents)),
+crowd AS (SELECT merchant, sign, band FROM rb GROUP BY 1,2,3 HAVING count(*)>=4 AND count(DISTINCT strftime(date,'%Y-%m'))<count(*)*0.75::DOUBLE),
+dd AS (SELECT merchant, sign, band, date, day(date) AS dom, list(day(date)) AS reps, row_number() OVER (PARTITION BY merchant, sign, band ORDER BY date) AS r
+ FROM rb JOIN crowd USING (merchant, sign, band) GROUP BY merchant, sign, band, date),
+pl AS (SELECT merchant, sign, band, date, r, [reps] AS plans, 0 AS plan FROM dd WHERE r=1
+ UNION ALL SELECT merchant, sign, band, date, r, CASE WHEN hit=0 THEN list_append(plans, reps) ELSE list_concat(list_concat(plans[1:hit-1], [list_concat(plans[hit], reps)]), plans[hit+1:]) END,
+  CASE WHEN hit=0 THEN len(plans) ELSE hit-1 END FROM (SELECT d.*, q.plans,
+   CAST(coalesce(list_position(list_transform(q.plans, lambda z: abs(list_aggregate(z,'median')-d.dom)<=4), true),0) AS INTEGER) AS hit
+   FROM pl q JOIN dd d ON d.merchant=q.merchant AND d.sign=q.sign AND d.band=q.band AND d.r=q.r+1 WHERE len(q.plans)<=4)),
+fine AS (SELECT merchant, sign, band FROM (SELECT merchant, sign, band, max(r) AS last, arg_max(plans, r) AS plans FROM pl GROUP BY 1,2,3)
+ JOIN (SELECT merchant, sign, band, count(*) AS last FROM dd GROUP BY 1,2,3) USING (merchant, sign, band, last)
+ WHERE len(plans)<=4 AND list_min(list_transform(plans, lambda z: len(z)))>=2),
+v_split AS (SELECT rb.*, coalesce(CASE WHEN fine.band IS NOT NULL THEN pl.plan END, 0) AS plan FROM rb LEFT JOIN pl USING (merchant, sign, band, date)
+ LEFT JOIN fine ON fine.merchant=rb.merchant AND fine.sign=rb.sign AND fine.band=rb.band)"""
+
+
+@REG.query("amount_streams", f"WITH RECURSIVE {CHARGES}, {split('v_charges')} SELECT id, merchant, amount_cents, band, plan FROM v_split")
 def amount_streams(spark, sf):
     return R.amount_streams(T.charges(spark, sf)).select("id", "merchant", "amount_cents", "band", "plan")
 
 
-@REG.query("recurring_payments")
+def candidate(t: str) -> str:
+    """Columns of a payment found in the facts of ``streams(..., t)``, with its reason and whether the last three are steady."""
+    return f"""SELECT *, {REASON} AS reason, CAST(typical*sign AS BIGINT) AS typical_cents, CASE WHEN occurrences=2 THEN 'likely' ELSE 'confirmed' END AS confidence,
+ (data_end-last_date)<=period*1.5::DOUBLE+tolerance AS active, CASE WHEN (data_end-last_date)<=period*1.5::DOUBLE+tolerance THEN last_date+CAST(round_even(period,0) AS INTEGER) END AS next_expected,
+ CAST(CASE WHEN kind='subscription' AND abs(last_cents)<>c[2] THEN abs(last_cents)-c[2] ELSE 0 END AS BIGINT) AS price_change_cents,
+ CAST(trunc(typical*30.4::DOUBLE/period) AS BIGINT)*sign AS monthly_equivalent_cents, CAST(trunc(typical*365.0::DOUBLE/period) AS BIGINT)*sign AS annual_cost_cents,
+ CAST(round_even(regular*100,0) AS BIGINT) AS regularity_pct, len(c)=3 AND spread<=greatest(50, abs(last_cents)//100) AS stable FROM k{t}"""
+
+
+FOUND = ("merchant, sign, label, found, reason, kind, cadence, confidence, occurrences, typical_cents, last_cents, last_date, category, active, next_expected, "
+         "fixed AS fixed_amount, price_change_cents, monthly_equivalent_cents, annual_cost_cents, regularity_pct")
+# fixed names of ordinals by SQL: 11th to 20th (and 10th) take "th"
+NTH = "CAST(dom AS VARCHAR)||CASE WHEN dom%100 BETWEEN 10 AND 20 THEN 'th' WHEN dom%10=1 THEN 'st' WHEN dom%10=2 THEN 'nd' WHEN dom%10=3 THEN 'rd' ELSE 'th' END"
+PAYMENTS = f"""WITH RECURSIVE {SUBS}, {streams('v_sub')},
+whole AS ({candidate('')}),
+taken AS (SELECT * FROM whole WHERE kind IS NOT NULL AND occurrences=n),
+v_rest AS (SELECT * FROM v_sub WHERE merchant NOT IN (SELECT merchant FROM taken)), {split('v_rest')},
+v_parts AS (SELECT merchant||'#'||CAST(band AS VARCHAR)||'#'||CAST(plan AS VARCHAR) AS merchant, merchant AS payee, id, date, amount_cents, category_id, cents FROM v_split),
+{streams('v_parts', '2')},
+price AS (SELECT *, count(*) OVER (PARTITION BY payee, price) AS same, count(*) OVER (PARTITION BY payee) AS many FROM
+ (SELECT merchant, payee, round_even(median(cents),0) AS price, CAST(round_even(median(day(date)),0) AS INTEGER) AS dom FROM v_parts GROUP BY 1,2)),
+part AS (SELECT x.* REPLACE (payee AS merchant), payee, same, dom, coalesce(kind='subscription' AND stable AND cadence IN ('monthly','quarterly','annual') AND occurrences=n, false) AS found
+ FROM ({candidate('2')}) x JOIN price USING (merchant) WHERE many>1),
+every AS (
+ SELECT {FOUND} FROM (SELECT *, true AS found, merchant AS label FROM taken)
+ UNION ALL SELECT {FOUND} FROM (SELECT * REPLACE (CASE WHEN NOT found THEN coalesce(reason,'{R.MIXED}') END AS reason),
+  CASE WHEN occurrences=1 THEN merchant WHEN same>1 THEN merchant||' (billed ~'||{NTH}||')' ELSE merchant||' ($'||format('{{:,.2f}}', typical/100.0)||')' END AS label
+  FROM part WHERE found OR ((kind IS NOT NULL OR reason IS NOT NULL) AND hint))
+ UNION ALL SELECT {FOUND} FROM (SELECT *, false AS found, merchant AS label FROM whole WHERE kind IS NULL AND reason IS NOT NULL AND merchant IN (SELECT payee FROM price WHERE many=1)))
+"""
+
+
+@REG.query("recurring_payments", PAYMENTS + "SELECT * EXCLUDE (found, reason) FROM every WHERE found")
 def recurring_payments(spark, sf):
     return R.recurring(T.subscriptions(spark, sf), T.plan_categories(spark))
 
 
-@REG.query("recurring_near_misses")
+@REG.query("recurring_near_misses", PAYMENTS + "SELECT merchant, label, reason, occurrences, typical_cents, last_date, category, cadence FROM every WHERE NOT found")
 def recurring_near_misses(spark, sf):
     return R.near_misses(T.subscriptions(spark, sf), T.plan_categories(spark))
 

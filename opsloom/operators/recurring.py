@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsloom.functions.columns import let
 from opsloom.functions.rules import BILL_GROUPS, ESSENTIAL_GROUPS, SUBSCRIPTION_HINT
 from opsloom.session import cut_lineage
 
@@ -22,104 +24,89 @@ MIXED = "mixed in with other purchases from the same merchant"
 
 # --- amount streams ------------------------------------------------------------------------------------------
 
-class _PriceBand:
-    """The open band of one merchant: ascending amounts with counts and a pointer to the lower middle element."""
-
-    def __init__(self) -> None:
-        self.number, self.cents, self.counts, self.total, self.left, self.below = -1, [], [], 0, 0, 0
-
-    def _median(self) -> float:
-        while (self.below + self.counts[self.left]) * 2 < self.total:
-            self.below += self.counts[self.left]
-            self.left += 1
-        low = self.cents[self.left]
-        if (self.below + self.counts[self.left]) * 2 == self.total:
-            return (low + self.cents[self.left + 1]) / 2
-        return low
-
-    def place(self, cents: int, n: int) -> int:
-        """Band number of the next larger amount: it joins while within 20 % (or 200 cents) of the median so
-        far. A band that refuses one amount refuses all larger ones, so only the newest band is open."""
-        if self.number >= 0:
-            middle = self._median()
-        if self.number < 0 or abs(cents - middle) > max(200, middle * 0.20):
-            self.number, self.cents, self.counts, self.total, self.left, self.below = self.number + 1, [], [], 0, 0, 0
-        self.cents.append(cents)
-        self.counts.append(n)
-        self.total += n
-        return self.number
-
-
-def _billing_days(days: list[int], counts: list[int]) -> list[int]:
-    """Plan number per charge date when the dates fall into two to four billing days, else all zero."""
-    plans: list[dict[int, int]] = []
-    out = []
-    for day, n in zip(days, counts):
-        for i, seen in enumerate(plans):
-            low = high = None
-            run, total = 0, sum(seen.values())
-            for d in sorted(seen):
-                run += seen[d]
-                low = d if low is None and run * 2 >= total else low
-                if run * 2 > total:
-                    high = d
-                    break
-            if abs((low + high) / 2 - day) <= 4:
-                seen[day] = seen.get(day, 0) + n
-                out.append(i)
-                break
+def _breaks(cents: np.ndarray, counts: np.ndarray, seen: int) -> list[int]:
+    """Where bands begin after the one that begins at 0, over ascending distinct prices; it is known to hold ``seen``.
+
+    A price joins while within 20 % (or 200 cents) of the median of the band so far; a band that refuses one
+    price refuses all larger ones. The medians before a whole stretch of candidates come from prefix sums at once.
+    """
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    starts, start, at, step = [], 0, max(seen, 1), 64
+    while at < len(cents):
+        end = min(at + step, len(cents))
+        before = upto[at:end] - upto[start]
+        low = np.searchsorted(upto, upto[start] + (before + 1) // 2) - 1
+        high = np.searchsorted(upto, upto[start] + before // 2 + 1) - 1
+        middle = (cents[low] + cents[high]) / 2
+        refused = np.abs(cents[at:end] - middle) > np.maximum(200, middle * 0.20)
+        if refused.any():
+            start = at + int(refused.argmax())
+            starts.append(start)
+            at, step = start + 1, 64
         else:
-            plans.append({day: n})
-            out.append(len(plans) - 1)
-            if len(plans) > 4:
-                return [0] * len(days)
-    return out if all(sum(p.values()) >= 2 for p in plans) else [0] * len(days)
+            at, step = end, step * 2
+    return starts
 
 
 def _bands_of(keys: list[str]):
-    """Batches sorted by keys and amount -> the same rows with a band; one open band is all the state."""
+    """Batches sorted by keys and price -> the same rows with a band. From one batch to the next only the prices
+    of the open band and their counts are carried."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, band = None, _PriceBand()
+        current, number = None, 0
+        cents = counts = np.empty(0, "int64")
         for pdf in batches:
-            out = []
-            for row in pdf[[*keys, "cents", "n"]].itertuples(index=False, name=None):
-                if row[:-2] != current:
-                    current, band = row[:-2], _PriceBand()
-                out.append(band.place(row[-2], row[-1]))
-            yield pdf[[*keys, "cents"]].assign(band=out)
+            firsts = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            names = list(zip(*[pdf[k].iloc[firsts] for k in keys]))
+            price, n, bands = pdf["cents"].to_numpy(), pdf["n"].to_numpy(), np.empty(len(pdf), "int32")
+            for key, first, end in zip(names, firsts, [*firsts[1:], len(pdf)]):
+                if key != current:
+                    current, number, cents, counts = key, 0, cents[:0], counts[:0]
+                seen = len(cents)
+                cents, counts = np.concatenate([cents, price[first:end]]), np.concatenate([counts, n[first:end]])
+                starts = _breaks(cents, counts, seen)
+                bands[first:end] = number + np.searchsorted(starts, np.arange(seen, len(cents)), side="right")
+                if starts:
+                    number, cents, counts = number + len(starts), cents[starts[-1]:], counts[starts[-1]:]
+            yield pdf[[*keys, "cents"]].assign(band=bands)
     return run
 
 
-def _plans_of(keys: list[str]):
-    """Batches sorted by keys and date -> rows with a plan; a stream's distinct dates are held until it ends."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*keys, "date", "plan"]
-        current, held = None, []
+def _billing_plans(dates: Column) -> Column:
+    """Ascending (date, day, n) -> (date, plan): the number of the date's billing day, 0 throughout unless the dates
+    fall into at most four billing days of two or more charges each.
+
+    A billing day is 31 running counts (charges up to each day of the month), which give its median; a date joins
+    the first one whose median lies within four days. The array holds one stream's distinct dates: its length
+    follows the calendar.
+    """
+    def middle(c):
+        return (F.size(F.filter(c, lambda x: x * 2 < c[30])) + F.size(F.filter(c, lambda x: x * 2 <= c[30])) + 2) / 2
 
-        def finish():
-            plans = _billing_days([r[-2] for r in held], [r[-1] for r in held])
-            return [(*r[:-2], p) for r, p in zip(held, plans)]
+    def added(c, d):
+        return F.transform(c, lambda x, i: x + F.when(i + 1 >= d["day"], d["n"]).otherwise(0))
 
-        for pdf in batches:
-            done = []
-            for row in pdf[[*keys, "date", "day", "n"]].itertuples(index=False, name=None):
-                if row[:-3] != current:
-                    done += finish()
-                    current, held = row[:-3], []
-                held.append(row)
-            if done:
-                yield pd.DataFrame(done, columns=columns)
-        if held:
-            yield pd.DataFrame(finish(), columns=columns)
-    return run
+    def step(acc, d):
+        plans = acc["plans"]
+        none = F.array_repeat(F.lit(0).cast("long"), 31)
+        fits = F.array_position(F.transform(plans, lambda c: F.abs(middle(c) - d["day"]) <= 4), F.lit(True)).cast("int")
+        after = let(fits, lambda hit: F.struct(
+            F.when(hit == 0, F.concat(plans, F.array(added(none, d)))).otherwise(
+                F.transform(plans, lambda c, i: F.when(i + 1 == hit, added(c, d)).otherwise(c))).alias("plans"),
+            F.concat(acc["chosen"], F.array(F.when(hit == 0, F.size(plans)).otherwise(hit - 1))).alias("chosen")))
+        return F.when(F.size(plans) > 4, acc).otherwise(after)
+
+    empty = F.struct(F.expr("CAST(array() AS array<array<bigint>>)").alias("plans"), F.expr("CAST(array() AS array<int>)").alias("chosen"))
+    return let(F.aggregate(dates, empty, step), lambda end: F.transform(dates, lambda d, i: F.struct(d["date"].alias("date"), F.when(
+        (F.size(end["plans"]) <= 4) & F.forall(end["plans"], lambda c: c[30] >= 2), F.get(end["chosen"], i)).otherwise(0).alias("plan"))))
 
 
 def amount_streams(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``sign``, ``band`` (similar price) and ``plan`` (billing day within the price) to each charge.
 
-    The two sequential steps run over distinct amounts per merchant and distinct dates per band, both sorted by
-    Spark and read as a stream; the charges themselves only take part in equi-joins on (merchant, amount) and
-    (merchant, band, date). The small assignment tables are checkpointed because several steps read them.
+    Bands are cut on distinct amounts per merchant, sorted by Spark and read as a stream, whole stretches at a time;
+    billing days are found in one expression over the distinct dates of a band. The charges themselves only take
+    part in equi-joins on (merchant, amount) and (merchant, band, date). The small assignment tables are
+    checkpointed because several steps read them.
     """
     rows = ledger.filter((F.col("direction") != "transfer") & (F.col("amount_cents") != 0)).withColumn(
         "sign", F.signum("amount_cents").cast("int")).withColumn("cents", F.abs("amount_cents"))
@@ -135,9 +122,9 @@ def amount_streams(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     month = F.date_format("date", "yyyy-MM")
     crowded = per_day.groupBy(*stream).agg(F.sum("n").alias("__t"), F.countDistinct(month).alias("__m")).filter(
         (F.col("__t") >= 4) & (F.col("__m") < F.col("__t") * 0.75)).select(*stream)
-    split = per_day.join(crowded, stream).withColumn("day", F.dayofmonth("date"))
-    planned = cut_lineage(split.repartition(*stream).sortWithinPartitions(*stream, "date").mapInPandas(
-        _plans_of(stream), f"{declared}, band int, date date, plan int"))
+    days = F.array_sort(F.collect_list(F.struct("date", F.dayofmonth("date").alias("day"), "n")))
+    planned = cut_lineage(per_day.join(crowded, stream).groupBy(*stream).agg(days.alias("days")).select(
+        *stream, F.explode(_billing_plans(F.col("days"))).alias("d")).select(*stream, "d.date", "d.plan").filter("plan > 0"))
     return rows.join(planned, [*stream, "date"], "left").withColumn("plan", F.coalesce("plan", F.lit(0)))
 
 

@@ -147,13 +147,45 @@ def greedy_streams(amounts):
 def test_price_bands_equal_the_plain_model():
     import random
     rng = random.Random(3)
-    for _ in range(50):
-        amounts = [rng.choice([300, 500, 1299, 2599, 2600, 9900]) + rng.randrange(0, 900) for _ in range(rng.randrange(1, 40))]
-        band = R._PriceBand()
+    for trial in range(200):
+        size = rng.randrange(1, 400 if trial % 4 == 0 else 40)
+        amounts = [rng.choice([300, 500, 1299, 2599, 2600, 9900]) + rng.randrange(0, 900) for _ in range(size)]
         counted = pd.Series(amounts).value_counts().sort_index()
-        placed = {c: band.place(int(c), int(n)) for c, n in counted.items()}
+        frame = pd.DataFrame({"merchant": "m", "cents": counted.index.astype("int64"), "n": counted.to_numpy("int64")})
+        frame = pd.concat([frame, frame.assign(merchant="n")], ignore_index=True)
+        cuts = sorted(rng.sample(range(len(frame) + 1), min(3, len(frame))))
+        parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(frame)])]
+        placed = pd.concat(R._bands_of(["merchant"])(iter(parts)))
         want = {a: i for i, st in enumerate(greedy_streams(amounts)) for a in st}
-        assert placed == want
+        for name in "mn":
+            assert dict(placed[placed.merchant == name][["cents", "band"]].itertuples(index=False, name=None)) == want
+
+
+def plain_plans(days):
+    plans, out = [], []
+    for day, n in days:
+        hit = next((i for i, p in enumerate(plans) if abs(statistics.median(p) - day) <= 4), len(plans))
+        if hit == len(plans):
+            plans.append([])
+        plans[hit] += [day] * n
+        out.append(hit)
+    return out if len(plans) <= 4 and all(len(p) >= 2 for p in plans) else [0] * len(days)
+
+
+def test_billing_days_equal_the_plain_model(spark):
+    import random
+    rng = random.Random(4)
+    streams = {}
+    for s in range(60):
+        centres = rng.sample([2, 9, 15, 21, 28], rng.randrange(1, 6))
+        days = {dt.date(2026, m, min(28, max(1, c + rng.randrange(-2, 3)))) for m in range(1, 9) for c in centres}
+        streams[s] = [(d, rng.choice([1, 1, 1, 2, 5])) for d in sorted(days)]
+    rows = [(s, d, d.day, n) for s, ds in streams.items() for d, n in ds]
+    df = spark.createDataFrame(rows, "s int, date date, day int, n long")
+    held = df.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("date", "day", "n"))).alias("days"))
+    got = {r.s: [p.plan for p in r.plans] for r in held.select("s", R._billing_plans(F.col("days")).alias("plans")).collect()}
+    want = {s: plain_plans([(d.day, n) for d, n in ds]) for s, ds in streams.items()}
+    assert got == want and len({max(p) for p in want.values()}) >= 4
 
 
 def test_two_plans_of_one_merchant(spark, cats):

@@ -12,6 +12,7 @@ from opsloom.operators import corpus as X
 from opsloom.operators import questions as N
 from opsloom.operators import rulesets as R
 from opsloom.operators import summaries as Q
+from opsloom.session import shared_folder
 from opsloom.sources import filters_xml as FX
 from opsloom.sources import tables as T
 from opsloom.functions.linediff import apply_hunks
@@ -290,6 +291,14 @@ def filters_export_counts(spark, sf):
     return R.export_counts(T.filters(spark, sf))
 
 
+@REG.query("filters_feed", f"WITH {FILTERS} SELECT array_to_string(list_sort(list_transform(c, lambda e: e.key||'='||e.value)),';') AS props, '' AS clashes FROM f4 WHERE len(problems)=0")
+def filters_feed(spark, sf):
+    """The filters that can be exported, written as feeds and read back."""
+    folder = shared_folder(spark, "feeds")
+    FX.write_filters(R.import_problems(T.filters(spark, sf)).filter(F.size("problems") == 0), folder)
+    return FX.read_filters(spark, folder).select(flat(F.col("props")).alias("props"), F.array_join("clashes", ",").alias("clashes"))
+
+
 # --- questions ---------------------------------------------------------------------------------------------------------
 
 ASK = f"""qs AS (SELECT conv_id*1000+turn AS question_id, {sql_pick(f'(conv_id*1000+turn)%{len(T.ASKED)}', T.ASKED)}||' / '||text AS question FROM conversations WHERE role='user'),

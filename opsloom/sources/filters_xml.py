@@ -1,26 +1,61 @@
-"""Mail-filter feeds (Atom XML): read with Spark's XML source, write one entry per element."""
+"""Mail-filter feeds (Atom XML): read in splits cut at the entries, write one entry per element."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.operators.rulesets import ordered_props
+from opsloom.session import cut_lineage
 
 ENTRY = "`apps:property` array<struct<_name:string,_value:string>>"
 
 
-def read_filters(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry: id, file, pos, props (first of equal names), clashes (names given twice with another value).
+# a feed root in front of everything but the declaration, comments and a document type
+ROOT = r"(?s)^\uFEFF?\s*((<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)\s*)*<(\w+:)?feed\b[^>]*http://www\.w3\.org/2005/Atom"
+HIDDEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 
-    A file without an Atom feed root is refused.
+
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Feeds cut before each closing tag of an entry: the text source splits large files at that mark, so no task holds a feed."""
+    return spark.read.text(path, lineSep="</entry").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("piece"))
+
+
+def _file_facts(pieces: DataFrame) -> DataFrame:
+    """Per file: ``feed`` (its root is an Atom feed) and ``hidden`` (a comment or CDATA section holds entry tags, or is cut by one)."""
+    bare = F.regexp_replace("piece", HIDDEN, "")
+    tags = lambda c: F.regexp_count(c, F.lit("<entry"))
+    begins = F.col("piece").rlike(ROOT)
+    return pieces.groupBy("file").agg(
+        F.bool_or((F.col("block") == 0) & begins).alias("feed"),
+        F.bool_or(bare.rlike(r"<!--|<!\[CDATA\[") | (tags("piece") != tags(bare)) | ~(begins | F.col("piece").rlike(r"^\s*>"))).alias("hidden"))
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """Entries of pieces: those closed in their own tag, then the one that ends the piece."""
+    last = F.regexp_extract("piece", r"(?s)^.*(<entry(?:[\s/>].*)?)$", 1)
+    closed = F.regexp_extract_all("piece", F.lit(r"<entry(\s[^<>]*)?/>"), F.lit(0))
+    one = F.when((last != "") & ~last.rlike(r"^<entry(\s[^<>]*)?/>"), F.array(F.concat(last, F.lit("</entry>")))).otherwise(F.array().cast("array<string>"))
+    return pieces.select("file", F.explode(F.concat(closed, one)).alias("entry")).select(
+        "file", F.from_xml("entry", ENTRY, {"rowTag": "entry"})["apps:property"].alias("p"))
+
+
+def read_filters(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per entry: id, file, pos (ascending within a file), props (first of equal names), clashes (names given twice with another value).
+
+    A file without an Atom feed root is refused; an empty file holds no entries. Feeds are read in splits. Only files whose
+    comments or CDATA sections hold entry tags go through Spark's XML source, which reads a file in one task.
     """
-    heads = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
-    wrong = heads.filter(~F.col("head").rlike(r"<(\w+:)?feed\b[^>]*http://www\.w3\.org/2005/Atom"))
-    if not wrong.isEmpty():
+    pieces = _pieces(spark, path)
+    facts = cut_lineage(_file_facts(pieces))
+    if not facts.filter("NOT feed").isEmpty():
         raise ValueError("not a filter export: root element is not an Atom feed")
-    entries = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("apps:property").alias("p"))
+    hidden = facts.filter("hidden").select("file")
+    entries = _entries(pieces.join(hidden, "file", "left_anti"))
+    if not hidden.isEmpty():
+        whole = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("apps:property").alias("p"))
+        entries = entries.unionByName(whole.join(hidden, "file", "left_semi"))
     return from_properties(entries.withColumn("pos", F.monotonically_increasing_id()))
 
 

@@ -154,6 +154,48 @@ def test_filter_feed_round_trip(spark, tmp_path):
         FX.read_filters(spark, str(tmp_path / "wrong.xml"))
 
 
+def feed(*entries, head="<?xml version='1.0' encoding='UTF-8'?>\n"):
+    return (head + "<feed xmlns='http://www.w3.org/2005/Atom' xmlns:apps='http://schemas.google.com/apps/2006'>\n<title>x</title>" + "\n".join(entries) + "\n</feed>\n")
+
+
+def entry(*props):
+    return "<entry>\n <title>Mail Filter</title>\n " + "".join(f"<apps:property name='{k}' value='{v}'/>" for k, v in props) + "\n</entry>"
+
+
+def test_feeds_are_read_in_splits(spark, tmp_path):
+    many = [entry(("from", f"a{i}@b &amp; c"), ("subject", "é" * (i % 40)), ("from", "late" if i % 5 == 0 else f"a{i}@b &amp; c")) for i in range(3000)]
+    (tmp_path / "many.xml").write_text(feed(*many), encoding="utf-8")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        pieces = FX._pieces(spark, str(tmp_path / "many.xml"))
+        assert pieces.rdd.getNumPartitions() > 10
+        rows = FX.read_filters(spark, str(tmp_path / "many.xml")).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.props["from"] for r in rows] == [f"a{i}@b & c" for i in range(3000)]
+    assert [r.clashes for r in rows] == [["from"] if i % 5 == 0 else [] for i in range(3000)]
+    assert all(r.props.get("subject") == "é" * (i % 40) for i, r in enumerate(rows))
+    assert len({r.id for r in rows}) == 3000
+
+
+def test_unusual_feeds(spark, tmp_path):
+    def read(text):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        (folder / "f.xml").write_text(text)
+        return [r.props for r in FX.read_filters(spark, str(folder)).orderBy("pos").collect()]
+
+    a, b = entry(("from", "a")), entry(("from", "b"))
+    assert read(feed(a, "<entry/>", b, "<entry />")) == [{"from": "a"}, {}, {"from": "b"}, {}]
+    assert read(feed(a.replace("</entry>", "</entry\n>"), b)) == [{"from": "a"}, {"from": "b"}]
+    assert read(feed(a, "<!-- " + b + " -->", b.replace("Mail Filter", "<![CDATA[</entry>]]>"))) == [{"from": "a"}, {"from": "b"}]
+    assert read(feed(a, b, head="\n<!-- made by hand -->\n")) == [{"from": "a"}, {"from": "b"}]
+    assert read(feed()) == [] and read("") == []
+    with pytest.raises(ValueError):
+        read("<other>" + feed(a) + "</other>")
+
+
 def test_titles(spark):
     assert round(one(spark, X.title_score(F.lit("foundation and earth"), F.lit("foundation"))), 1) == 78.3
     assert one(spark, X.match_score(F.lit("The Last Hope"), F.lit(None), F.lit("Warriors: Omen of the Stars #6: The Last Hope"), F.lit(None))) == 100.0

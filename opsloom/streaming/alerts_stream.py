@@ -5,6 +5,7 @@ later is dropped by Spark. The one keyed state is a few numbers per signature, w
 """
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,8 @@ from opsloom.operators import alerts as S
 from opsloom.operators.alerts import Rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# fixed value: days the archive keeps
+KEEP_DAYS = 90
 NOTES = "signature string, kind string, at bigint, count bigint, message string"
 STATE = "first_seen bigint, last_seen bigint, last_sent bigint, held bigint, escalated boolean, message string, after bigint"
 
@@ -101,11 +104,17 @@ def suppress_stream(matched: DataFrame, rules: Sequence[Rule], grace_s: int = S.
 
 
 def digest_stream(matched: DataFrame, rules: Sequence[Rule], interval_s: int = S.DIGEST_S) -> DataFrame:
-    """Digest counts per interval, group and alert, emitted when the watermark passes the interval."""
+    """Digest counts per interval, group and alert, emitted when the watermark passes the interval.
+
+    Two windowed aggregations, one on the other: first one state row per interval, group, alert and host, so that a
+    host counts once however often it speaks, then their sums.
+    """
     flagged = matched.filter(F.col("rule_ord").isin([i for i, r in enumerate(rules) if r.digest])).withColumn("grp", S.first_group(rules))
-    return flagged.groupBy(F.window("ts", f"{interval_s} seconds").alias("w"), "grp", "alert").agg(
-        F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(
-        F.unix_seconds("w.start").alias("window_start"), "grp", "alert", "events", "first_ts", "last_ts")
+    per_host = flagged.groupBy(F.window("ts", f"{interval_s} seconds").alias("w"), "grp", "alert", "host").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return per_host.groupBy(F.window("w", f"{interval_s} seconds").alias("slot"), "grp", "alert").agg(
+        F.sum("n").alias("events"), F.count("host").alias("hosts"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts")).select(
+        F.unix_seconds("slot.start").alias("window_start"), "grp", "alert", "events", "hosts", "first_ts", "last_ts")
 
 
 def episode_stream(matched: DataFrame, grace_s: int = S.GRACE_S) -> DataFrame:
@@ -116,11 +125,45 @@ def episode_stream(matched: DataFrame, grace_s: int = S.GRACE_S) -> DataFrame:
 
 
 def write_archive(events: DataFrame, path: str, checkpoint: str):
-    """Raw events as compressed parquet by year, month, day, host and hour; old days are dropped by partition."""
+    """Raw events as compressed parquet by year, month, day, host, hour and batch; starts the query.
+
+    Lines of a host-hour are brought together before they are written: one file for each host-hour and batch, more
+    only where Spark splits a host-hour that is too large for a task. The batch number is the last partition and
+    replaces what an interrupted attempt at the same batch left; days go with ``drop_old_days``.
+    """
     ts = F.col("ts")
     rows = events.withColumns({"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts), "h": F.hour(ts)})
-    return (rows.writeStream.format("parquet").option("compression", "zstd").option("checkpointLocation", checkpoint)
-            .partitionBy("y", "m", "d", "host", "h").trigger(availableNow=True).start(path))
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        # streams run without adaptive execution; here it may split and merge what the hint brought together
+        session.conf.set("spark.sql.adaptive.enabled", "true")
+        together = session.sql("SELECT /*+ REBALANCE(y, m, d, host, h) */ * FROM {rows}", rows=batch)
+        together.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "compression", "zstd").partitionBy("y", "m", "d", "host", "h", "batch").parquet(path)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drop_old_days(spark: SparkSession, path: str, keep_days: int = KEEP_DAYS, today: dt.date | None = None) -> list[dt.date]:
+    """Delete the archive's days more than ``keep_days`` before ``today`` (the newest day, if not given) and return them.
+
+    Whole day folders go; no file is read. What the driver lists is one name for each day.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "y=*/m=*/d=*")) or []
+    days = {}
+    for status in found:
+        year, month, day = (int(part.split("=")[1]) for part in status.getPath().toString().rsplit("/", 3)[1:])
+        days[dt.date(year, month, day)] = status.getPath()
+    if not days:
+        return []
+    last = (today or max(days)) - dt.timedelta(days=keep_days)
+    old = sorted(d for d in days if d < last)
+    for d in old:
+        files.delete(days[d], True)
+    return old
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

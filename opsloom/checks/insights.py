@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.checks.registry import Registry, sql_floor_div, sql_pick, sql_ratio
@@ -294,6 +296,43 @@ def dashboard_lists(spark, sf):
                                                    F.col("spent_cents").alias("cents"), F.col("limit_cents").alias("reference_cents")))
 
 
+def payers_budgets(spark, sf):
+    return T.plan_categories(spark).select(F.concat(F.lit("b-"), "id").alias("budget_id"), F.col("id").alias("category_id"),
+                                           (F.length("id") * 1500 * (1 + F.ascii("id") % 3)).cast("long").alias("limit_cents"))
+
+
+# every widget of one dashboard: the cube's sections, payments that go on, anomalies, budgets
+BOARD = all_anomalies(PAYMENTS.removeprefix("WITH ").rstrip() + """,
+v_board AS (SELECT *, 'acct-1' AS account_id, strftime(date,'%Y-%m') AS ym FROM v_sub),
+flow AS (SELECT ym AS month, sum(CASE WHEN direction='income' THEN amount_cents ELSE 0 END) AS inc, -sum(CASE WHEN direction='expense' THEN amount_cents ELSE 0 END) AS sp FROM v_board GROUP BY 1),
+bud AS (SELECT 'b-'||id AS budget_id, length(id)*1500*(1+ascii(id)%3) AS limit_cents, coalesce((SELECT -sum(amount_cents) FROM v_board WHERE ym='2020-08' AND direction='expense' AND category_id=c.id),0) AS spent
+ FROM (VALUES ('Streaming'),('Housing'),('Groceries'),('Gym'),('Shopping'),('Utilities')) c(id))""", "v_board", A.LOOKBACK_DAYS) + """
+SELECT section, label, CAST(cents AS BIGINT) AS cents, note FROM (
+ SELECT CASE month WHEN '2020-08' THEN 'current' ELSE 'previous' END AS section, 'income' AS label, inc AS cents, NULL AS note FROM flow WHERE month IN ('2020-08','2020-07')
+ UNION ALL SELECT CASE month WHEN '2020-08' THEN 'current' ELSE 'previous' END, 'spending', sp, NULL FROM flow WHERE month IN ('2020-08','2020-07')
+ UNION ALL SELECT 'months', month, inc-sp, NULL FROM flow WHERE month BETWEEN '2019-09' AND '2020-08'
+ UNION ALL SELECT 'categories', category_id, -sum(amount_cents), NULL FROM v_board WHERE ym='2020-08' AND direction='expense' GROUP BY 2
+ UNION ALL SELECT * FROM (SELECT 'merchants', merchant, -sum(amount_cents) AS c, NULL FROM v_board WHERE ym='2020-08' AND direction='expense' GROUP BY 2 ORDER BY c DESC, merchant LIMIT 5)
+ UNION ALL SELECT 'recurring', label, typical_cents, kind||' '||cadence FROM every WHERE found AND active
+ UNION ALL SELECT 'anomalies', coalesce(id,category), amount_cents, type FROM an
+ UNION ALL SELECT 'budgets', budget_id, spent, CASE WHEN spent>limit_cents THEN 'over' ELSE 'on_track' END FROM bud)"""
+
+
+@REG.query("dashboard_whole", BOARD)
+def dashboard_whole(spark, sf):
+    """All eight sections from one call."""
+    cats = T.plan_categories(spark).withColumn("parent_id", F.lit(None).cast("string"))
+    parts = D.dashboard(T.subscriptions(spark, sf), cats, payers_budgets(spark, sf), "2020-08")
+    shown = {"recurring": ("label", "typical_cents", F.concat_ws(" ", "kind", "cadence")), "anomalies": (F.coalesce("id", "category"), "amount_cents", F.col("type")),
+             "budgets": ("budget_id", "spent_cents", F.col("status"))}
+    rows = []
+    for name, df in parts.items():
+        label, amount, note = shown.get(name, ("label", "cents", F.lit(None).cast("string")))
+        rows.append(df.select(F.lit(name).alias("section"), (F.col(label) if isinstance(label, str) else label).alias("label"),
+                              F.col(amount).cast("long").alias("cents"), note.alias("note")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 ESSENTIAL = f"""WITH {LEDGER}, {CATEGORIES}, m AS (SELECT strftime(date,'%Y-%m') AS month, max(date) AS d,
  -sum(CASE WHEN direction='expense' THEN amount_cents ELSE 0 END) AS total, -sum(CASE WHEN direction='expense' AND essential THEN amount_cents ELSE 0 END) AS ess
  FROM v_ledger l LEFT JOIN v_path p ON p.id=l.category_id GROUP BY 1),

@@ -167,13 +167,13 @@ v_parts AS (SELECT merchant||'#'||CAST(band AS VARCHAR)||'#'||CAST(plan AS VARCH
 {streams('v_parts', '2')},
 price AS (SELECT *, count(*) OVER (PARTITION BY payee, price) AS same, count(*) OVER (PARTITION BY payee) AS many FROM
  (SELECT merchant, payee, round_even(median(cents),0) AS price, CAST(round_even(median(day(date)),0) AS INTEGER) AS dom FROM v_parts GROUP BY 1,2)),
-part AS (SELECT x.* REPLACE (payee AS merchant), payee, same, dom, coalesce(kind='subscription' AND stable AND cadence IN ('monthly','quarterly','annual') AND occurrences=n, false) AS found
+piece AS (SELECT x.* REPLACE (payee AS merchant), payee, same, dom, coalesce(kind='subscription' AND stable AND cadence IN ('monthly','quarterly','annual') AND occurrences=n, false) AS found
  FROM ({candidate('2')}) x JOIN price USING (merchant) WHERE many>1),
 every AS (
  SELECT {FOUND} FROM (SELECT *, true AS found, merchant AS label FROM taken)
  UNION ALL SELECT {FOUND} FROM (SELECT * REPLACE (CASE WHEN NOT found THEN coalesce(reason,'{R.MIXED}') END AS reason),
   CASE WHEN occurrences=1 THEN merchant WHEN same>1 THEN merchant||' (billed ~'||{NTH}||')' ELSE merchant||' ($'||format('{{:,.2f}}', typical/100.0)||')' END AS label
-  FROM part WHERE found OR ((kind IS NOT NULL OR reason IS NOT NULL) AND hint))
+  FROM piece WHERE found OR ((kind IS NOT NULL OR reason IS NOT NULL) AND hint))
  UNION ALL SELECT {FOUND} FROM (SELECT *, false AS found, merchant AS label FROM whole WHERE kind IS NULL AND reason IS NOT NULL AND merchant IN (SELECT payee FROM price WHERE many=1)))
 """
 

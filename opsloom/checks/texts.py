@@ -5,6 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from opsloom.checks.insights import PAYMENTS
 from opsloom.checks.registry import Registry, sql_first_match, sql_pick, sql_ratio, sql_text
 from opsloom.checks.views import CATEGORIES, LEDGER
 from opsloom.functions import markup as H
@@ -369,17 +370,19 @@ def spend_answers(spark, sf):
     return N.spend_answers(q, T.ledger(spark, sf))
 
 
-@REG.query("spend_recommendations", f"""WITH {LEDGER}, {CATEGORIES}, s AS (SELECT sum(CASE WHEN direction='income' THEN amount_cents ELSE 0 END) AS inc, sum(CASE WHEN direction='expense' THEN amount_cents ELSE 0 END) AS ex FROM v_ledger WHERE year(date)=1998),
+@REG.query("spend_recommendations", f"""{PAYMENTS.rstrip()}, {LEDGER}, {CATEGORIES}, s AS (SELECT sum(CASE WHEN direction='income' THEN amount_cents ELSE 0 END) AS inc, sum(CASE WHEN direction='expense' THEN amount_cents ELSE 0 END) AS ex FROM v_ledger WHERE year(date)=1998),
 b AS (SELECT coalesce(path,'Uncategorized') AS category, coalesce(essential,false) AS essential, CAST(-sum(amount_cents) AS BIGINT) AS a FROM v_ledger l LEFT JOIN v_path p ON p.id=l.category_id WHERE direction='expense' AND year(date)=1998 GROUP BY 1,2),
 m AS (SELECT id, length(id)*100000000 AS lim, coalesce((SELECT -sum(amount_cents) FROM v_ledger WHERE direction='expense' AND category_id=c.id AND strftime(date,'%Y-%m')='1998-08'),0) AS sp FROM v_cat c WHERE kind='expense' AND parent_id IS NOT NULL)
 SELECT 'low_savings_rate' AS kind, CAST(NULL AS VARCHAR) AS subject, CAST(inc+ex AS BIGINT) AS cents FROM s WHERE inc<>0 AND (inc+ex)*100.0/inc<10
+UNION ALL SELECT 'subscriptions', CAST(count(*) AS VARCHAR), CAST(-sum(annual_cost_cents) AS BIGINT) FROM every WHERE found AND active AND kind='subscription' HAVING count(*)>0
 UNION ALL SELECT * FROM (SELECT 'cut_by_a_fifth', category, a//5 FROM b WHERE NOT essential AND category<>'Uncategorized' ORDER BY a DESC, category LIMIT 2)
 UNION ALL SELECT 'over_budget', id, CAST(sp-lim AS BIGINT) FROM m WHERE sp>lim""")
 def spend_recommendations(spark, sf):
     from opsloom.checks.insights import budgets
     from opsloom.operators.planning import budget_status
+    from opsloom.operators.recurring import recurring
     rows, cats = T.ledger(spark, sf), T.categories(spark, sf)
     start, end = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
-    subs = spark.sql("SELECT CAST(NULL AS STRING) AS kind, false AS active, 0L AS annual_cost_cents WHERE false")
+    subs = recurring(T.subscriptions(spark, sf), T.plan_categories(spark))
     return N.recommendations(Q.summary(rows, start, end), Q.category_breakdown(rows, cats, start, end), subs,
                              budget_status(rows, budgets(spark, sf), "1998-08"))

@@ -286,6 +286,14 @@ def test_library_sort_gives_every_game_its_position(spark):
     assert {r.id: r.position for r in rows} == want and len(rows) == len(rated) > 300
 
 
+def test_book_from_its_path(spark):
+    want = {"lib/t": ("lib", None, "t", None), "Ann/Saga/02 - Foo (Dark Tower, Book 4)": ("Ann", "Dark Tower", "Foo", "4"), "Ann/Saga/03 - Bar": ("Ann", "Saga", "Bar", "3"),
+            "Saga/Saga/03 - Bar": ("Saga", None, "Bar", None), "/Ann//Baz mp3/": ("Ann", None, "Baz", None), "Ann/mp3/4 - x": ("Ann", "", "x", None), "": (None, None, "", None), "/": (None, None, "", None),
+            None: (None, None, None, None)}
+    paths = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: tuple(r.m) for r in paths.select("path", B.infer_from_path(F.col("path")).alias("m")).collect()} == want
+
+
 @pytest.mark.parametrize("names,groups", [
     (["01 - One.mp3", "02 - One.mp3"], 1), (["Series Book 1.mp3", "Series Book 2.mp3"], 2), (["The Tale 01.mp3", "The Tale 02.mp3", "The Tale 03.mp3"], 1), (["The Book 01.mp3", "The Book 02.mp3"], 2),
     (["S - 6 Fugitive.mp3", "S - 7 Collapse.mp3"], 2), (["Tale Part 1.mp3", "Tale Part 2.mp3"], 1), (["S 8.m4b", "S 9.m4b", "S 11.m4b"], 3), (["Chapter 1.mp3", "Chapter 2.mp3"], 1),

@@ -4,11 +4,13 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,8 +221,86 @@ def likeness(tag: str, a: frozenset, other: str, b: frozenset) -> int:
     return int(2 * len(a & b) >= min(len(a), len(b)))
 
 
+def _most_alike(a: list[Node], b: list[Node]) -> Iterator[tuple[Node | None, Node | None]]:
+    """The alignment of most likeness; where several have it, a pair comes before a part of ``a`` alone, that before a part of ``b`` alone.
+
+    A part counts as two letters: the first matches that of every part like it, the second that of equal parts, so likeness is the length of a common
+    subsequence. A row of that table is an integer with a bit for each letter of ``b``, 0 where the length grows. Rows are made from the end; one in
+    about sqrt(len(a)) is kept and those between are made again on the way back.
+    """
+    n, m = len(a), len(b)
+    kinds: dict[tuple, int] = {}
+    kind_of = np.array([kinds.setdefault((y.tag, y.words), len(kinds)) for y in reversed(b)])
+    sizes = np.array([len(words) for _, words in kinds])
+    holders = defaultdict(list)
+    for (tag, words), k in kinds.items():
+        for key in (tag, *((tag, w) for w in words)):
+            holders[key].append(k)
+    places = {key: np.array(held) for key, held in holders.items()}
+    full = (1 << 2 * m) - 1
+
+    def packed(first, second) -> int:
+        return int.from_bytes(np.packbits(np.stack([first, second], axis=1), bitorder="little").tobytes(), "little")
+
+    @lru_cache(256)
+    def letters(tag: str, words: frozenset) -> tuple[int, int]:
+        # As ``likeness`` has it, for all of b at once.
+        shared, alike, none = np.zeros(len(kinds), int), np.zeros(len(kinds), bool), np.zeros(m, bool)
+        for w in words:
+            if (tag, w) in places:
+                shared[places[tag, w]] += 1
+        if tag in places:
+            same = places[tag]
+            alike[same] = 2 * shared[same] >= np.minimum(sizes[same], len(words))
+        return packed(alike[kind_of], none), packed(none, kind_of == kinds.get((tag, words), -1))
+
+    def after(row: int, i: int) -> int:
+        for marks in letters(a[n - i].tag, a[n - i].words):
+            met = row & marks
+            row = (row + met | row ^ met) & full
+        return row
+
+    def length(row: int, j: int) -> int:
+        return 2 * j - (row & ((1 << 2 * j) - 1)).bit_count()
+
+    def growth(row: bytes, j: int) -> int:
+        return 2 - (row[(j - 1) // 4] >> 2 * ((j - 1) % 4) & 3).bit_count()
+
+    step = max(64, math.isqrt(n))
+    kept, row = [full], full
+    for i in range(1, (n - 1) // step * step + 1):
+        row = after(row, i)
+        if i % step == 0:
+            kept.append(row)
+    j, now = m, None
+    while kept:
+        rows = [kept.pop()]
+        low = len(kept) * step
+        for i in range(low + 1, min(low + step, n) + 1):
+            rows.append(after(rows[-1], i))
+        while len(rows) > 1:
+            x, here, above = a[n - low - len(rows) + 1], rows.pop(), rows[-1]
+            now, up = length(here, j) if now is None else now, length(above, j)
+            here, above = (r.to_bytes(m // 4 + 1, "little") for r in (here, above))
+            while j:
+                y, grown = b[m - j], growth(above, j)
+                score = likeness(x.tag, x.words, y.tag, y.words)
+                if score and now == up - grown + score:
+                    yield x, y
+                    now, j = now - score, j - 1
+                    break
+                if now == up:
+                    yield x, None
+                    break
+                yield None, y
+                now, up, j = now - growth(here, j), up - grown, j - 1
+            else:
+                yield x, None
+    yield from ((None, y) for y in b[m - j:])
+
+
 def aligned(left: list[Node], right: list[Node]) -> Iterator[tuple[Node | None, Node | None]]:
-    """Parts of two sequences side by side: the alignment of most likeness; beyond a million pairs, each part meets the next like it."""
+    """Parts of two sequences side by side: equal parts at both ends, between them the alignment of most likeness."""
     def like(x, y):
         return likeness(x.tag, x.words, y.tag, y.words)
 
@@ -232,37 +312,11 @@ def aligned(left: list[Node], right: list[Node]) -> Iterator[tuple[Node | None,
     while tail < min(len(left), len(right)) - head and like(left[-1 - tail], right[-1 - tail]) == 2:
         tail += 1
     a, b = left[head:len(left) - tail], right[head:len(right) - tail]
-    if len(a) * len(b) > 1_000_000:
-        at = 0
-        for x in a:
-            found = next((j for j in range(at, min(at + 64, len(b))) if like(x, b[j])), None)
-            if found is None:
-                yield x, None
-                continue
-            yield from ((None, y) for y in b[at:found])
-            yield x, b[found]
-            at = found + 1
-        yield from ((None, y) for y in b[at:])
+    if a and b:
+        yield from _most_alike(a, b)
     else:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                score = like(a[i], b[j])
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + score if score else 0)
-        i = j = 0
-        while i < len(a) and j < len(b):
-            score = like(a[i], b[j])
-            if score and best[i][j] == best[i + 1][j + 1] + score:
-                yield a[i], b[j]
-                i, j = i + 1, j + 1
-            elif best[i][j] == best[i + 1][j]:
-                yield a[i], None
-                i += 1
-            else:
-                yield None, b[j]
-                j += 1
-        yield from ((x, None) for x in a[i:])
-        yield from ((None, y) for y in b[j:])
+        yield from ((x, None) for x in a)
+        yield from ((None, y) for y in b)
     for k in range(tail, 0, -1):
         yield left[-k], right[-k]
 

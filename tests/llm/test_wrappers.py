@@ -98,3 +98,52 @@ def test_many_shapes_of_one_host_are_aligned_in_rounds(spark):
         want[i] = "\n\n".join(s for _, s in parts)
     pages = spark.createDataFrame(rows, PAGES)
     assert {r.page_id: r.text for r in wrappers.main_text(pages).collect()} == want
+
+
+def by_table(a, b):
+    """The alignment of most likeness by the whole table."""
+    like = lambda x, y: wrappers.likeness(x.tag, x.words, y.tag, y.words)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + like(a[i], b[j]))
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if like(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + like(a[i], b[j]):
+            yield a[i], b[j]
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            yield a[i], None
+            i += 1
+        else:
+            yield None, b[j]
+            j += 1
+    yield from [(x, None) for x in a[i:]] + [(None, y) for y in b[j:]]
+
+
+def test_alignments_of_any_length_are_those_of_the_whole_table():
+    rnd = random.Random(4)
+    for n, m, times in ((6, 7, 400), (150, 140, 4), (1200, 1100, 1)):
+        for _ in range(times):
+            kinds = [(rnd.choice(["p", "h2", "pre"]), frozenset(rnd.sample("abcdef", rnd.randint(0, 3)))) for _ in range(rnd.randint(1, 12) if times > 1 else 9)]
+            a, b = ([wrappers.Node(*rnd.choice(kinds)) for _ in range(size)] for size in (n, m))
+            # Ends that are unlike leave the rest to the table.
+            a, b = [wrappers.Node("dl"), *a, wrappers.Node("dl")], [wrappers.Node("ol"), *b, wrappers.Node("ol")]
+            assert [tuple(map(id, pair)) for pair in wrappers.aligned(a, b)] == [tuple(map(id, pair)) for pair in by_table(a, b)]
+
+
+def test_pages_of_many_mixed_parts_keep_all_of_them(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for i in range(4):
+        used = []
+        # No run of up to four elements comes twice in a row, so nothing is folded.
+        while len(used) < 1300:
+            used.append(rnd.choice(["p", "h2", "blockquote", "pre", "h3"]))
+            if any(used[-w:] == used[-2 * w:-w] for w in (1, 2, 3, 4)):
+                used.pop()
+        parts = [(t, sentence(rnd, 4)) for t in used]
+        rows.append((i, "http://long.example/", "<body><article>" + "".join(f"<{t}>{s}</{t}>" for t, s in parts) + "</article></body>", None, None))
+        want[i] = "\n\n".join(s for _, s in parts)
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {i: len(t) for i, t in got.items()} == {i: len(t) for i, t in want.items()} and got == want

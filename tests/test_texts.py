@@ -286,6 +286,19 @@ def test_library_sort_gives_every_game_its_position(spark):
     assert {r.id: r.position for r in rows} == want and len(rows) == len(rated) > 300
 
 
+def test_plan_works_out_a_destination_once_per_branch(spark):
+    rows = [(1, "a/x", "T", "Ann", 100.0, "", ""), (2, "a/y", "t", "ANN", 100.0, "", ""), (3, "a/z", "", "Ann", 100.0, "", ""), (4, "a/u", "U", "Ann", 90.0, "", ""),
+            (5, "Ann/V", "V", "Ann", 100.0, "", ""), (6, "a/w", "W", "Ann", None, None, "Saga"), (7, None, "?", "Bob", 100.0, "B0", None)]
+    books = spark.createDataFrame(rows, "id int, path string, title string, author string, match_score double, product_id string, series string").withColumn("series_index", F.lit("7"))
+    planned = B.plan(B.plan_layout(books.withColumn("title", F.regexp_replace("title", "#", ""))))
+    assert planned.columns == [*books.columns, "destination", "bucket"]
+    assert {r.id: (r.destination, r.bucket) for r in planned.collect()} == {
+        1: ("Ann/T", "conflict"), 2: ("ANN/t", "conflict"), 3: (None, "undetermined"), 4: ("Ann/U", "held"), 5: ("Ann/V", "in_place"),
+        6: ("Ann/Saga/Book 07 - W", "move"), 7: ("Bob/Unknown", "move")}
+    tree = planned.select("id", "bucket")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in tree if re.search(r"(Filter|Join) .*(regexp|transform)", line)]
+
+
 def test_book_from_its_path(spark):
     want = {"lib/t": ("lib", None, "t", None), "Ann/Saga/02 - Foo (Dark Tower, Book 4)": ("Ann", "Dark Tower", "Foo", "4"), "Ann/Saga/03 - Bar": ("Ann", "Saga", "Bar", "3"),
             "Saga/Saga/03 - Bar": ("Saga", None, "Bar", None), "/Ann//Baz mp3/": ("Ann", None, "Baz", None), "Ann/mp3/4 - x": ("Ann", "", "x", None), "": (None, None, "", None), "/": (None, None, "", None),

@@ -277,6 +277,29 @@ def test_title_pairs_are_complete(spark):
     assert {(r.id, r.cat_id, r.how) for r in B.link_catalog(items, entries).collect()} == {("i2", 2, "title")}
 
 
+def test_best_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["mist", "born", "hope", "of", "the", "stars", "foundation", "empire", "a", "very long " * 7 + "word"]
+    names = ["", "ann lee", "bob stone", "b stone", "reader 1"]
+
+    def row():
+        return " ".join(rng.choices(words, k=rng.randrange(1, 6))), rng.choice(names), rng.choice(names)
+    left = [*{row() for _ in range(60)}]
+    right = [(*e, [i, 1000 + i // 3]) for i, e in enumerate({row() for _ in range(150)})]
+    hints, entries = spark.createDataFrame(left, "key string, a_key string, n_key string"), spark.createDataFrame(right, "rkey string, ca_key string, cn_key string, ids array<long>")
+    cols = ["key", "a_key", "n_key", "rkey", "ca_key", "cn_key", "score"]
+    every = {tuple(r[:6]): r.score for r in title_pairs.scored_pairs(hints, entries, 60.0).select(cols).collect()}
+    ids = {e[:3]: e[3] for e in right}
+    for rows in ((20, 40), (2048, 131072)):
+        near = {tuple(r[:6]): r.score for r in title_pairs.scored_pairs(hints, entries, 60.0, rows, margin=0.5).select(cols).collect()}
+        best = {tuple(r[:6]): r.score for r in title_pairs.scored_pairs(hints, entries, 60.0, rows, best=3).select(cols).collect()}
+        assert near.items() <= every.items() and best.items() <= every.items() and len(near) < len(best) < len(every)
+        for h in left:
+            own = sorted(((s, p) for p, s in every.items() if p[:3] == h), reverse=True)
+            assert all(p in near for s, p in own if s >= own[0][0] - 0.5)
+            assert all(p in best or len({i for t, q in own if t > s for i in ids[q[3:]]}) >= 3 for s, p in own)
+
+
 def test_library_sort_gives_every_game_its_position(spark):
     folder = "/root/testdata/sf0.01"
     games = tables.games(spark, folder)

@@ -277,6 +277,12 @@ def test_title_pairs_are_complete(spark):
     assert {(r.id, r.cat_id, r.how) for r in B.link_catalog(items, entries).collect()} == {("i2", 2, "title")}
 
 
+def test_near_paths_measure_no_more_edits_than_allowed(spark):
+    keys = spark.createDataFrame([(f"lib brand {i % 3} red bolt of promo volume {i:04d}",) for i in range(60)], "key string")
+    plan = B.near_keys(keys, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"levenshtein\(lkey#\d+, rkey#\d+, Some\(k#\d+\)|levenshtein\(lkey#\d+, rkey#\d+, k#\d+", plan)
+
+
 def test_best_pairs_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     words = ["mist", "born", "hope", "of", "the", "stars", "foundation", "empire", "a", "very long " * 7 + "word"]

@@ -81,14 +81,18 @@ def recent_counts(df: DataFrame, keys: Sequence[str], second: str, span: int, na
     only through earlier seconds: the frame is ``[t - span, t)``).
 
     Rows are first counted per second, so a window partition holds at most ``2 * span`` rows however hot
-    the key is: each second goes to its own block and, as history, to the next one.
+    the key is: each second goes to its own block and, as history, to the next one. All history counts at the
+    start of a block, and a second of it no longer ``span`` seconds after itself: running sums, no frame is read again for each second.
     """
     keyed = _keyed(df, keys, second)
     per_second = keyed.groupBy(KEY).agg(F.count("*").alias("__n"))
     block = F.floor(F.col(KEY)[second] / span)
-    placed = per_second.withColumn("__own", block).withColumn("__block", F.explode(F.array(block, block + 1)))
-    w = Window.partitionBy(*[F.col(KEY)[k] for k in keys], "__block").orderBy(F.col(KEY)[second]).rangeBetween(-span, -1)
-    counted = placed.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0))).filter(F.col("__own") == F.col("__block"))
+    placed = per_second.withColumn("__block", F.explode(F.array(block, block + 1)))
+    own = block == F.col("__block")
+    history = Window.partitionBy(*[F.col(KEY)[k] for k in keys], "__block")
+    before = history.orderBy(F.when(own, F.col(KEY)[second]).otherwise(F.col(KEY)[second] + span)).rangeBetween(Window.unboundedPreceding, -1)
+    recent = F.coalesce(F.sum(F.when(~own, F.col("__n"))).over(history), F.lit(0)) + F.coalesce(F.sum(F.when(own, F.col("__n")).otherwise(-F.col("__n"))).over(before), F.lit(0))
+    counted = placed.withColumn(name, recent).filter(own)
     return _attach(keyed, counted, [name]).drop(KEY)
 
 

@@ -116,6 +116,18 @@ def test_hot_key_helpers_equal_plain_windows(spark):
     assert value.value == sorted(r.s for r in df.collect())[int(800 * 0.95)]
 
 
+def test_recent_counts_read_no_frame_twice(spark):
+    from pyspark.sql import Window
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.choice(["a", "a", "b", None]), i, rng.choice([None, -700, 0, 100, 200, 299, 300, 301, 600, rng.randrange(-900, 3000)])) for i in range(700)], "k string, i long, s long")
+    got = H.recent_counts(df, ["k"], "s", 100, "c")
+    want = df.filter("s IS NOT NULL").withColumn("c", F.count("*").over(Window.partitionBy("k").orderBy("s").rangeBetween(-100, -1)))
+    counts = {r.i: r.c for r in got.collect()}
+    assert len(counts) == 700 and {i: c for i, c in counts.items() if c is not None} == {r.i: r.c for r in want.collect()}
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", got._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all("unboundedpreceding" in f for f in frames)
+
+
 def test_counters(spark):
     d = lambda new, old, bits: one(spark, M.delta(F.lit(new).cast(M.COUNTER), F.lit(old).cast(M.COUNTER), F.lit(bits)))
     assert d(5, 2 ** 32 - 5, 32) == 10 and d(1, 9, 33) is None and d("3", str(2 ** 64 - 1), 64) == 4

@@ -307,6 +307,7 @@ def test_best_pairs_are_those_of_all_pairs(spark):
     hints, entries = spark.createDataFrame(left, "key string, a_key string, n_key string"), spark.createDataFrame(right, "rkey string, ca_key string, cn_key string, ids array<long>")
     cols = ["key", "a_key", "n_key", "rkey", "ca_key", "cn_key", "score"]
     every = {tuple(r[:6]): r.score for r in title_pairs.scored_pairs(hints, entries, 60.0).select(cols).collect()}
+    assert title_pairs.scored_pairs(hints, entries.limit(0), 60.0, best=3).count() == 0
     ids = {e[:3]: e[3] for e in right}
     for rows in ((20, 40), (2048, 131072)):
         near = {tuple(r[:6]): r.score for r in title_pairs.scored_pairs(hints, entries, 60.0, rows, margin=0.5).select(cols).collect()}
